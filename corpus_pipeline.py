@@ -5,21 +5,41 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quirespark.llm import packing, quality, secrets
+from quirespark.llm import packing, quality, secrets, simhash, suffixes
 from quirespark.session import ship
 
 
+def _sized(docs: DataFrame) -> DataFrame:
+    """Brings n_chars up to date with the text, null where the text is."""
+    if "n_chars" not in docs.columns:
+        return docs
+    return docs.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier keeps. It is trained on the labels of the documents it is given."""
     labels = ship(spark).read.parquet(f"{sf_dir}/labels.parquet")
     return quality.keep(docs, quality.train(docs, labels))
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    ship(spark)
+    return simhash.dedup(docs)
+
+
+def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents; of a passage of 50 words or more that repeats, only the first occurrence is left."""
+    ship(spark)
+    return _sized(suffixes.dedup(docs))
+
+
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with the name of the rule in place of each secret."""
     ship(spark)
-    return secrets.redact(docs)
+    return _sized(secrets.redact(docs))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +48,13 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return packing.pack(docs)
 
 
-STAGES = [("quality classifier", quality_classifier), ("secret scans", secret_scan), ("best-fit packing", best_fit_packing)]
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("SimHash near-dedup", near_dedup),
+    ("suffix-array dedup", suffix_array_dedup),
+    ("secret scans", secret_scan),
+    ("best-fit packing", best_fit_packing),
+]
 
 #: The classifier, the automaton and the packing have no SQL form; tests compare with brute force.
 ORACLE_SQL = None

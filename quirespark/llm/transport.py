@@ -204,9 +204,6 @@ def programs(parts: dict[int, list[tuple[int, bytes]]], pat: list[tuple[int, byt
     return out
 
 
-_NO_TABLES: dict[tuple, dict[int, int]] = {}
-
-
 def demux(buf: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     """Units of all streams: stream, pid, stream_type, unit_no, pts, dts (-1: none), random_access, n_packets, lost_packets, complete, and payload with offsets."""
     at, owner = [], []
@@ -233,7 +230,6 @@ def demux(buf: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     good = ((b1 & 0x80) == 0) & (pid != 0x1FFF) & has
     body = 4 + alen
     # Tables, stream by stream: few packets.
-    types = np.full((len(off) - 1, 8192), -1, np.int16) if len(off) < 64 else None
     known: dict[tuple, dict[int, int]] = {}
     by: dict[int, dict[int, list]] = {}
     table_pids: dict[bytes, set[int]] = {}
@@ -311,10 +307,7 @@ def demux(buf: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     end = np.where(ok & (announced > 0), np.minimum(6 + announced, size), size)
     end = np.maximum(end, skip)
     # What a gap before a unit's first packet took belongs to the unit before it, when there is one.
-    gap_unit = unit - (begin & np.r_[False, True][0] if False else begin.astype(np.int64))
-    prev_same = np.r_[False, g[started][1:] == g[started][:-1]]
-    gap_unit = np.where(begin & ~prev_same, unit, gap_unit)
-    lost_unit = np.bincount(np.maximum(gap_unit, 0), lost, minlength=n_units).astype(np.int64)
+    lost_unit = np.bincount(np.maximum(unit - begin, 0), lost, minlength=n_units).astype(np.int64)
     complete = ok & (lost_unit == 0) & ((announced == 0) | (size >= 6 + announced))
     gg = own[f] * 8192 + pid[f]
     nb = np.flatnonzero(np.r_[True, gg[1:] != gg[:-1]])
