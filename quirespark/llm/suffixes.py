@@ -37,7 +37,8 @@ from .common import Blobs, Spans, U, by_bucket, chunks, cut, in_buckets, key_of,
 LENGTH = 50
 PERIOD = 31
 COVER = (0, 1, 3, 8, 12, 18)  # every difference modulo 31 occurs once
-ROWS_PER_BUCKET = 500_000
+ROWS_PER_BUCKET = 250_000
+DOC_BUCKET_BYTES = 8 << 20
 _SAMPLE = ["u8", "i8", "i4"]
 _TIED = ["i8", "i4"]
 _SEEN = ["i8", "i4", "i8", "i4"]
@@ -70,7 +71,7 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_i
     short = length - PERIOD + 1
     size = total_bytes(d)
     n_sample = max(8, int(size / 6 * len(COVER) / PERIOD) // ROWS_PER_BUCKET)
-    n_docs = max(8, size // (32 << 20))
+    n_docs = max(8, size // DOC_BUCKET_BYTES)
     residue = np.zeros(PERIOD, bool)
     residue[list(COVER)] = True
 

@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+from ..session import ship
+from . import passes
+
+_PARTS = (passes,)
+
 
 def queries() -> dict:
-    return {}
+    out = {}
+    for part in _PARTS:
+        for name, f in part.queries().items():
+            out[name] = lambda spark, sf_dir, f=f: f(ship(spark), sf_dir)
+    return out
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {k: v for part in _PARTS for k, v in part.oracle_sql().items()}
