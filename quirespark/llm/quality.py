@@ -2,8 +2,9 @@
 
 Training uses at most ``sample`` labelled rows, those of the least hashed ids (the bound
 is the documented parameter; scoring covers every row). Statistics of a document come
-from its byte histogram and its words, and from a table of hashed words whose log odds
-are counted over the training rows. Random Fourier features approximate a Gaussian
+from its byte histogram and its words, and from the log odds of words (by hash, without
+punctuation at their ends) that at least ``SUPPORT`` training rows hold; a training row's
+own odds leave that row out. Random Fourier features approximate a Gaussian
 kernel over the standardised statistics. Every partition sums its part of the normal
 equations, Spark adds the parts up, and one small system is solved for two targets:
 quality and toxicity. A fifth of the training rows is held out of the fit; isotonic
@@ -24,26 +25,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, chunks, cut, key_of, mix, record, span_hashes, BYTE_CODE, utf8, words
+from .common import BYTE_CODE, U, chunks, cut, record, span_hashes, utf8, words
 
 SAMPLE = 20_000
-FEATURES = 256
+FEATURES = 512
 RIDGE = 1e-2
-BUCKETS = 1 << 16
-SUPPORT = 8
+SUPPORT = 2
+PRIOR_ROWS = 2  # rows of the average label that a word's count begins with
+ODDS_GAIN = 4  # the kernel is narrower along the statistics that come from odds
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SYMBOL = [ord(c) for c in "#$%&*|<>=+/\\{}[]^~_@`"]
 _STOP = [ord(c) for c in ".!?"]
+_PUNCTUATION = np.zeros(256, bool)
+_PUNCTUATION[[ord(c) for c in ".,;:!?\"'()"]] = True
 
 
-def word_buckets(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    h = span_hashes(BYTE_CODE[_LOWER[buf]], starts, ends) if len(starts) else np.empty(0, U)
-    return h, (h >> U(48)).astype(np.int64) % BUCKETS
+def bare_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the words in lower case, without up to three marks behind and one before."""
+    if not len(starts):
+        return np.empty(0, U)
+    for _ in range(3):
+        ends = ends - (_PUNCTUATION[buf[ends - 1]] & (ends - starts > 1))
+    starts = starts + (_PUNCTUATION[buf[starts]] & (ends - starts > 1))
+    return span_hashes(BYTE_CODE[_LOWER[buf]], starts, ends)
 
 
-def statistics(buf: np.ndarray, off: np.ndarray, odds: np.ndarray) -> np.ndarray:
-    """Statistics of each document, [documents, numbers]."""
+def statistics(buf: np.ndarray, off: np.ndarray, known: np.ndarray, odds: np.ndarray) -> np.ndarray:
+    """Statistics of each document, [documents, numbers]; ``known`` are sorted hashes, ``odds`` has a row for each and one of zeros behind."""
     n = len(off) - 1
     size = np.diff(off)
     doc = np.repeat(np.arange(n), size)
@@ -58,7 +67,10 @@ def statistics(buf: np.ndarray, off: np.ndarray, odds: np.ndarray) -> np.ndarray
     wlen = (ends - starts).astype(np.float64)
     per = lambda x: np.bincount(wdoc, x, minlength=n)
     mean = per(wlen) / some
-    h, bucket = word_buckets(buf, starts, ends)
+    h = bare_hashes(buf, starts, ends)
+    entry = np.searchsorted(known, h)
+    if len(known):
+        entry[known[np.minimum(entry, len(known) - 1)] != h] = len(known)
     again = np.zeros(len(h))
     if len(h) > 1:
         again[1:] = (h[1:] == h[:-1]) & (wdoc[1:] == wdoc[:-1])
@@ -80,7 +92,7 @@ def statistics(buf: np.ndarray, off: np.ndarray, odds: np.ndarray) -> np.ndarray
         p[:, 10], p[:, 32], p[:, 128:].sum(1), hist[:, _STOP].sum(1) / some, hist[:, 10] / some,
     ]
     for t in range(odds.shape[1]):
-        o = odds[bucket, t]
+        o = odds[entry, t]
         strong = np.maximum(o - 1.5, 0)
         most = np.zeros(n)
         np.maximum.at(most, wdoc, strong)
@@ -90,6 +102,7 @@ def statistics(buf: np.ndarray, off: np.ndarray, odds: np.ndarray) -> np.ndarray
 
 @dataclass
 class Model:
+    known: np.ndarray
     odds: np.ndarray
     mean: np.ndarray
     scale: np.ndarray
@@ -128,6 +141,9 @@ def _sum(df: DataFrame, key: str, cols: list[str]) -> list:
     return df.groupBy(key).agg(*[F.sum(c).alias(c) for c in cols]).collect()
 
 
+_COUNTS = pa.schema([("w", pa.int64()), *((f"a{i}", pa.int64()) for i in range(4))])
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", quality_col: str = "quality", toxic_col: str = "toxic", sample: int = SAMPLE, features: int = FEATURES, ridge: float = RIDGE, seed: int = 7) -> Model | None:
     """The fitted model, or None when no row is labelled. Text moves only for the sample."""
     lab = (
@@ -138,37 +154,54 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = cut(docs.select(F.col(id_col).cast("bigint").alias("lid"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(lab), "lid").select("text", "q", "t", (F.pmod(F.xxhash64("lid"), F.lit(5)) == 0).alias("held")))
 
     def count(batches):
-        acc = np.zeros((4, BUCKETS), np.int64)
         totals = np.zeros(4, np.int64)
         for rb in chunks(batches):
             held = np.array(rb.column(3).to_pylist(), bool)
             buf, off = utf8(rb.column(0))
             s, e, first = words(buf, off)
-            _, b = word_buckets(buf, s, e)
-            doc = np.repeat(np.arange(rb.num_rows), np.diff(first))
-            key = np.unique(doc * BUCKETS + b)
+            h, doc = bare_hashes(buf, s, e), np.repeat(np.arange(rb.num_rows), np.diff(first))
+            o = np.lexsort((doc, h))
+            h, doc = h[o], doc[o]
+            new = np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])] if len(h) else np.empty(0, bool)
+            h, doc = h[new], doc[new]
+            at = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.empty(0, np.int64)
             q, t = (rb.column(i).to_numpy() > 0 for i in (1, 2))
+            cols = []
             for i, m in enumerate((q, ~q, t, ~t)):
                 m = m & ~held
                 totals[i] += m.sum()
-                acc[i] += np.bincount((key % BUCKETS)[m[key // BUCKETS]], minlength=BUCKETS)
-        at = np.flatnonzero(acc.sum(0))
-        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, at], pa.int64()), *(pa.array(np.r_[totals[i], acc[i][at]], pa.int64()) for i in range(4))], ["b", "a0", "a1", "a2", "a3"])
-
-    cells = _sum(rows.mapInArrow(count, "b bigint, a0 bigint, a1 bigint, a2 bigint, a3 bigint"), "b", ["a0", "a1", "a2", "a3"])
-    tot = next((np.array(r[1:], float) for r in cells if r.b == -1), np.zeros(4))
+                cols.append(np.add.reduceat(m[doc].astype(np.int64), at) if len(at) else at)
+            yield record(_COUNTS, h[at].view(np.int64), *cols)
+        yield record(_COUNTS, pa.nulls(1, pa.int64()), *totals[:, None])
+
+    # Words of the sample that enough rows hold: bounded by the sample.
+    cells = rows.mapInArrow(count, "w bigint, a0 bigint, a1 bigint, a2 bigint, a3 bigint").groupBy("w").agg(*[F.sum(c).alias(c) for c in ("a0", "a1", "a2", "a3")]).where(f"w is null or a0 + a1 >= {SUPPORT}").toArrow()
+    w = cells.column("w")
+    tally = np.stack([cells.column(f"a{i}").to_numpy().astype(float) for i in range(4)], 1)
+    total = np.asarray(w.is_null())
+    tot = tally[total].sum(0)
     if tot[:2].sum() == 0:
         return None
-    odds = np.zeros((BUCKETS, 2), np.float32)
-    for r in cells:
-        if r.b >= 0:
-            for j, (x, y) in enumerate(((1, 0), (2, 3))):  # words of poor and of toxic documents
-                if r[1 + x] + r[1 + y] >= SUPPORT:
-                    odds[r.b, j] = np.log((r[1 + x] + 0.5) / (tot[x] + 1)) - np.log((r[1 + y] + 0.5) / (tot[y] + 1))
+    known = w.drop_null().to_numpy().astype(np.int64).view(U)
+    order = np.argsort(known)
+    known, tally = known[order], tally[~total][order]
+    # Words of poor and of toxic rows: over all rows, and without a row that has the label, or has not.
+    odds, without_one, without_other = (np.zeros((len(known) + 1, 2), np.float32) for _ in range(3))
+    for j, (x, y) in enumerate(((1, 0), (2, 3))):
+        share = (tot[x] + 0.5) / (tot[x] + tot[y] + 1)
+        for table, less_x, less_y in ((odds, 0, 0), (without_one, 1, 0), (without_other, 0, 1)):
+            a, c = np.maximum(tally[:, x] - less_x, 0), np.maximum(tally[:, y] - less_y, 0)
+            table[:-1, j] = np.log((a + PRIOR_ROWS * share) / (c + PRIOR_ROWS * (1 - share))) - np.log(share / (1 - share))
 
     def stats(batches):
         for rb in chunks(batches):
-            yield statistics(*utf8(rb.column(0)), odds), np.stack([rb.column(1).to_numpy(), rb.column(2).to_numpy()], 1), np.array(rb.column(3).to_pylist(), bool)
+            buf, off = utf8(rb.column(0))
+            y, held = np.stack([rb.column(1).to_numpy(), rb.column(2).to_numpy()], 1), np.array(rb.column(3).to_pylist(), bool)
+            x, one, other = (statistics(buf, off, known, t) for t in (odds, without_one, without_other))
+            for j, has in enumerate((y[:, 0] <= 0, y[:, 1] > 0)):
+                at = slice(2 * j - 4, 2 * j - 2 or None)
+                x[~held, at] = np.where(has[:, None], one[:, at], other[:, at])[~held]
+            yield x, y, held
 
     def moments(batches):
         for x, _, held in stats(batches):
@@ -181,7 +214,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     scale = np.sqrt(np.maximum(s2 / n - mean**2, 1e-9)) + 1e-6
     rng = np.random.default_rng(seed)
     d = len(mean)
-    model = Model(odds, mean, scale, rng.standard_normal((d, features)) / np.sqrt(d) * 1.5, rng.uniform(0, 2 * np.pi, features), np.zeros((features + 1, 2)), [])
+    weights = rng.standard_normal((d, features)) / np.sqrt(d) * 1.5
+    weights[-4:] *= ODDS_GAIN
+    model = Model(known, odds, mean, scale, weights, rng.uniform(0, 2 * np.pi, features), np.zeros((features + 1, 2)), [])
 
     def normal(batches):
         k = features + 1
@@ -211,7 +246,7 @@ def judge(model: Model | None, col: pa.Array, least: float, most_toxic: float) -
     if model is None:
         one = np.ones(len(col))
         return one, one, one * 0, one > 0
-    raw = model.raw(statistics(*utf8(col), model.odds))
+    raw = model.raw(statistics(*utf8(col), model.known, model.odds))
     p = model.probability(raw)
     return raw[:, 0], p[:, 0], p[:, 1], (p[:, 0] >= least) & (p[:, 1] <= most_toxic)
 
