@@ -54,7 +54,7 @@ def pack(values: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
         a = wide[w // 2]
         b = np.zeros(n, np.int8)
         h = w // 2
-        b[: n - h] = a[h:]
+        b[: max(0, n - h)] = a[h:]
         wide[w] = np.maximum(a, np.where(left > h, b, 0)) if n > h else a
     for s in range(15, 0, -1):
         c = int(COUNT[s])
