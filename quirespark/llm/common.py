@@ -35,9 +35,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+NO_ID = 1 << 62
+
+
 def key_of(id_col: str, text_col: str) -> Column:
-    """Bigint key of a row: its id, or for a null id a negative number made from the text."""
-    made = F.lit(-1) - F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).bitwiseAND(F.lit((1 << 62) - 1))
+    """Bigint key of a row: its id, or for a null id a number from NO_ID on, made from the text; so ids come before rows without one."""
+    made = F.lit(NO_ID) + F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).bitwiseAND(F.lit(NO_ID - 1))
     return F.coalesce(F.col(f"`{id_col}`").cast("bigint"), made)
 
 

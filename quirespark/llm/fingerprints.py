@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_CODE, Blobs, Spans, U, by_bucket, chunks, cut, in_buckets, keyed, record, spread, strings, unpack, utf8
+from .common import BYTE_CODE, NO_ID, Blobs, Spans, U, by_bucket, chunks, cut, in_buckets, keyed, record, spread, strings, unpack, utf8
 
 WINDOW = 64
 RUN = 64
@@ -201,5 +201,5 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     best = sides.mapInArrow(compare, "k bigint, first bigint, score int").where("score > 0").groupBy("k").agg(F.max(F.struct("score", (-F.col("first")).alias("f"))).alias("m"))
     return digests.join(best, "k", "left").select(
         F.col("id").alias("doc_id"), "n_features", (F.length("digest") / (FILTER_BITS // 8)).cast("int").alias("n_filters"), "digest",
-        F.when(F.col("m.f") <= 0, -F.col("m.f")).alias("match_id"), F.col("m.score").alias("match_score"),
+        F.when(-F.col("m.f") < NO_ID, -F.col("m.f")).alias("match_id"), F.col("m.score").alias("match_score"),
     )

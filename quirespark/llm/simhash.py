@@ -22,8 +22,9 @@ At much larger corpora wider segments keep buckets selective: ``segments=4`` ove
 
 Defined results: null and empty texts are copies of each other; texts of the same words are
 copies whatever the order; rows that share a doc_id are one document, of which one row
-stays; a null id is a document of its own per distinct text, and stays after any integer id
-only if no smaller key is in its group (its key is negative, made from the text).
+stays (the first by its JSON); a null id is a document of its own per distinct text, whose key
+comes after every integer id (below 2**62), so it stays only in a group without an integer id,
+and such a group's group_id is null.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import BYTE_CODE, Blobs, U, by_bucket, chunks, cut, in_buckets, key_of, keyed, mix, ranges, record, span_hashes, unpack, utf8, words
+from .common import BYTE_CODE, NO_ID, Blobs, U, by_bucket, chunks, cut, in_buckets, key_of, keyed, mix, ranges, record, span_hashes, unpack, utf8, words
 from .components import components
 from .quality import _LOWER
 
@@ -222,7 +223,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     g = groups(docs, id_col, text_col, segments)
     return g.select(
         F.col("id").alias("doc_id"), F.concat(F.lpad(F.hex("hi"), 16, "0"), F.lpad(F.hex("lo"), 16, "0")).alias("signature"),
-        F.when(F.col("root") < 0, F.lit(None)).otherwise(F.col("root")).alias("group_id"), (F.col("k") != F.col("root")).alias("duplicate"),
+        F.when(F.col("root") < NO_ID, F.col("root")).alias("group_id"), (F.col("k") != F.col("root")).alias("duplicate"),
     )
 
 
@@ -234,5 +235,5 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", segme
     kept = rows.join(gone, "k", "left_anti")
     if once.isEmpty():
         return kept.select("r.*")
-    first = kept.join(once, "k", "left_semi").withColumn("rn", F.row_number().over(Window.partitionBy("k").orderBy(F.xxhash64("r"), F.to_json("r")))).where("rn = 1").select("r.*")
+    first = kept.join(once, "k", "left_semi").withColumn("rn", F.row_number().over(Window.partitionBy("k").orderBy(F.to_json("r")))).where("rn = 1").select("r.*")
     return kept.join(once, "k", "left_anti").select("r.*").union(first)

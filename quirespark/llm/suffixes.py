@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Blobs, Spans, U, by_bucket, chunks, cut, in_buckets, key_of, keyed, lists, mix, ranges, record, spread, strings, total_bytes, unpack, utf8, word_hashes, words
+from .common import NO_ID, Blobs, Spans, U, by_bucket, chunks, cut, in_buckets, key_of, keyed, lists, mix, ranges, record, spread, strings, total_bytes, unpack, utf8, word_hashes, words
 
 LENGTH = 50
 PERIOD = 31
@@ -193,7 +193,7 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_
         for rb in batches:
             rows = []
             for k, w in zip(rb.column(0).to_pylist(), _windows(rb)):
-                rows += [(k if k >= 0 else None, s, e, flag, f if f >= 0 else None) for s, e, flag, f in spans_of(k, *w, length)]
+                rows += [(k if k < NO_ID else None, s, e, flag, f if f < NO_ID else None) for s, e, flag, f in spans_of(k, *w, length)]
             if rows:
                 yield record(_OUT, *map(list, zip(*rows)))
 
