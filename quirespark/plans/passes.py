@@ -108,8 +108,8 @@ PASSES = {
     "orphan_fragments": (H.demote_fragments, "book", f"g as (select *, {rm(_S, r'^(#{1,6})\s+(.+?)\s*$')} h, length({ex(_S, r'^(#{1,6})\s+(.+?)\s*$')}) level, {st(rr(rr(_FT, r'<span id="page-\d+-\d+"></span>'), r'\s+', ' '))} t, {_FB} b from lines), d as (select *, max(case when h then level end) {DOC} deep, min(case when h then level end) {DOC} least_, sum(h::int) {UPTO} grp from g), e as (select *, max((b <> '' and not h and not {rm('b', r'^\s*!\[[^\]]*\]\([^)]+\)\s*$')} and {rm('b', r'[\p{L}\p{N}_]')})::int) over (partition by doc_id, grp) body, h and level = deep and (length(t) <= 3 or not {rm('t', r'[\p{L}\p{N}_]')}) frag from d), f as (select *, sum((h and not frag)::int) {UPTO} run from e), z as (select *, sum(frag::int) over (partition by doc_id, run) size from f) select {_case('frag and deep > least_ and body = 0 and size < 5', ex('line', r'^(\s*)#{1,6}\s+(.*)$') + ' || ' + st(ex('line', r'^(\s*)#{1,6}\s+(.*)$', 2)))} from z"),
     "span_strip": (R.strip_heading_spans, "noise", f"g as (select *, {_AT} t, {st(rr(_AT, r'</?span[^>]*>'))} c from lines) select {_case('t <> ' + chr(39) * 2 + ' and c <> ' + chr(39) * 2 + ' and c <> t', ex('line', _ATX, 1) + ' || ' + ex('line', _ATX, 2) + ' || chr(32) || c')} from g"),
     "number_only": (R.demote_number_only, "noise", f"g as (select *, {_AT} t from lines) select {_case(rm('t', r'^\d+$'), ex('line', _ATX, 1) + ' || t')} from g"),
-    "doubled_text": (R.dedupe_doubled, "noise", f"g as (select *, {_AT} t from lines), d as (select *, list_filter(range(2, greatest(length(t) // 2 + 1, 2)), n -> length({st('substr(t, 1, n)')}) >= 2 and {rm('substr(t, n + 1)', r'^\s')} and {rr('substr(t, n + 1)', r'^\s+')} = substr(t, 1, n))[1] n from g) select {_case('n is not null', ex('line', _ATX, 1) + ' || ' + ex('line', _ATX, 2) + ' || chr(32) || substr(t, 1, n)')} from d"),
-    "spaced_letters": (R.demote_spaced_letters, "noise", rf"g as (select *, {_AT} t, regexp_split_to_array({_AT}, '\s+') w from lines), d as (select *, len(list_filter(w, x -> length(x) = 1)) one from g) select {_case(chr(116) + ' <> ' + chr(39) * 2 + ' and one >= 4 and one / len(w) >= 0.6', ex('line', _ATX, 1) + ' || t')} from d"),
+    "doubled_text": (R.dedupe_doubled, "noise", f"g as (select *, {_AT} t from lines), d as (select *, list_filter(range(2, greatest(length(t) // 2 + 1, 2)), lambda n: length({st('substr(t, 1, n)')}) >= 2 and {rm('substr(t, n + 1)', r'^\s')} and {rr('substr(t, n + 1)', r'^\s+')} = substr(t, 1, n))[1] n from g) select {_case('n is not null', ex('line', _ATX, 1) + ' || ' + ex('line', _ATX, 2) + ' || chr(32) || substr(t, 1, n)')} from d"),
+    "spaced_letters": (R.demote_spaced_letters, "noise", rf"g as (select *, {_AT} t, regexp_split_to_array({_AT}, '\s+') w from lines), d as (select *, len(list_filter(w, lambda x: length(x) = 1)) one from g) select {_case(chr(116) + ' <> ' + chr(39) * 2 + ' and one >= 4 and one / len(w) >= 0.6', ex('line', _ATX, 1) + ' || t')} from d"),
     "close_level_gaps": (R.close_level_gaps, "out", None),
     "enumerated_nest": (R.nest_enumerated, "noise", f"g as (select *, {rm('line', r'^(#{1,6})\s+(.*?)\s*$')} h, length({ex('line', r'^(#{1,6})\s+(.*?)\s*$')}) level, {ex('line', r'^(#{1,6})\s+(.*?)\s*$', 2)} t from lines), k as (select *, case when h and level = 1 then ({_EN})::int end kind from g), d as (select *, last_value(kind ignore nulls) {UPTO} state, max(case when kind = 0 then 1 end) {UPTO} seen from k) select {_case('h and level < 6 and state = 1 and seen = 1', chr(39) + '#' + chr(39) + ' || line')} from d"),
     "flat_h1_runs": (R.demote_flat_runs, "noise", f"g as (select *, {rm('line', r'^#{1,6}\s+\S')} h, {rm('line', r'^#\s+\S')} one from lines), r as (select *, sum((h and not one)::int) {UPTO} run from g), d as (select *, sum(one::int) over (partition by doc_id, run) size, sum(one::int) over (partition by doc_id, run order by line_no rows between unbounded preceding and current row) nth from r) select {_case('one and size >= 5 and nth > 1', chr(39) + '#' + chr(39) + ' || line')} from d"),
@@ -119,7 +119,7 @@ PASSES = {
 # Parents of the outline's headings by level, for the clamp: 1, 3, 5 become 1, 2, 3.
 _GAP = f"""g as (select *, case when {rm('line', _ATX)} then length({ex('line', _ATX, 2)}) end level from lines),
 p as (select *, {', '.join(f'max(case when level = {k} then line_no end) {BEFORE} p{k}' for k in range(1, 7))} from g),
-c as (select *, list_filter([{', '.join('case when p%d is not null and %d < level%s then %d end' % (k, k, ''.join(f' and coalesce(p{k} > p{j}, true)' for j in range(1, k)), k) for k in range(1, 7))}], x -> x is not null) up from p),
+c as (select *, list_filter([{', '.join('case when p%d is not null and %d < level%s then %d end' % (k, k, ''.join(f' and coalesce(p{k} > p{j}, true)' for j in range(1, k)), k) for k in range(1, 7))}], lambda x: x is not null) up from p),
 n as (select *, case len(up) when 0 then level when 1 then least(level, up[1] + 1) when 2 then least(level, least(up[2], up[1] + 1) + 1) else least(level, least(up[3], least(up[2], up[1] + 1) + 1) + 1) end new from c)
 select {_case('level is not null and new <> level', ex('line', _ATX, 1) + " || repeat('#', new::int) || ' ' || " + _AT)} from n"""
 PASSES["close_level_gaps"] = (R.close_level_gaps, "out", _GAP)

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from ..session import ship
-from . import passes
+from . import passes, structure
 
-_PARTS = (passes,)
+_PARTS = (passes, structure)
 
 
 def queries() -> dict:
