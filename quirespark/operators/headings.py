@@ -143,10 +143,8 @@ PASSES = (
 
 
 def heading_passes(lines: DataFrame) -> DataFrame:
-    """All passes in order; ``changed`` is how many passes changed the line."""
+    """All passes in order."""
     df = lines.select("doc_id", "line_no", "line")
-    count = lines.select("doc_id", "line_no", F.lit(0).alias("n"))
-    del count
     for rule in PASSES:
         df = rule(df).drop("changed")
     return df

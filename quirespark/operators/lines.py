@@ -7,8 +7,6 @@ running the same window backwards, which Spark evaluates in linear time.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -70,6 +68,20 @@ def rewritten(df: DataFrame, when: Column, to: Column) -> DataFrame:
     return df.select("doc_id", "line_no", F.when(when, to).otherwise(F.col("line")).alias("line"), F.coalesce(when, F.lit(False)).cast("int").alias("changed"))
 
 
+def each_line(rule):
+    """A pass made of a rule line -> (when, new line). The line is bound once, so that a chain of passes grows by their sum and not by their product."""
+
+    def run(lines: DataFrame) -> DataFrame:
+        def one(x: Column) -> Column:
+            when, to = rule(x)
+            return F.struct(F.when(when, to).otherwise(x).alias("line"), F.coalesce(when, F.lit(False)).cast("int").alias("changed"))
+
+        return lines.select("doc_id", "line_no", F.element_at(F.transform(F.array("line"), one), 1).alias("x")).select("doc_id", "line_no", "x.line", "x.changed")
+
+    run.__name__ = rule.__name__
+    return run
+
+
 def fence_flags(lines: DataFrame) -> DataFrame:
     """Adds ``fenced``: inside a code fence, its delimiters included (1 or 0)."""
     mark = strip(F.col("line")).rlike(r"^(```|~~~)").cast("int")
@@ -80,14 +92,3 @@ def squeeze_blanks(lines: DataFrame) -> DataFrame:
     """At most one blank line in a row."""
     blank = strip(F.col("line")) == ""
     return lines.withColumn("p", F.lag(blank).over(forward())).where(~(blank & F.coalesce("p", F.lit(False)))).drop("p")
-
-
-def chain(lines: DataFrame, *passes) -> DataFrame:
-    """Passes one after the other; ``changed`` counts the changes of a line."""
-    start = lines.select("doc_id", "line_no", "line", F.lit(0).alias("total"))
-
-    def step(df: DataFrame, rule) -> DataFrame:
-        done = rule(df.select("doc_id", "line_no", "line", "total"))
-        return done
-
-    return reduce(step, passes, start)

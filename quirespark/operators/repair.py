@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import strip
-from .lines import after, atx_heading, before, demote, rewritten, upto, whole
+from .lines import atx_heading, before, each_line, rewritten, upto, whole
 
 FLAT_RUN = 5
 ORPHAN_PERCENT = 70
@@ -18,28 +18,32 @@ def _parts(line):
     return F.regexp_extract(line, _P, 1), F.regexp_extract(line, _P, 2), F.regexp_extract(line, _P, 3)
 
 
-def strip_heading_spans(lines: DataFrame) -> DataFrame:
-    lead, marks, text = _parts(F.col("line"))
+@each_line
+def strip_heading_spans(line):
+    lead, marks, text = _parts(line)
     clean = strip(F.regexp_replace(text, r"</?span[^>]*>", ""))
-    return rewritten(lines, (text != "") & (clean != "") & (clean != text), F.concat(lead, marks, F.lit(" "), clean))
+    return ((text != "") & (clean != "") & (clean != text), F.concat(lead, marks, F.lit(" "), clean))
 
 
-def demote_number_only(lines: DataFrame) -> DataFrame:
-    lead, _, text = _parts(F.col("line"))
-    return rewritten(lines, text.rlike(r"^\d+$"), F.concat(lead, text))
+@each_line
+def demote_number_only(line):
+    lead, _, text = _parts(line)
+    return (text.rlike(r"^\d+$"), F.concat(lead, text))
 
 
-def dedupe_doubled(lines: DataFrame) -> DataFrame:
-    lead, marks, text = _parts(F.col("line"))
+@each_line
+def dedupe_doubled(line):
+    lead, marks, text = _parts(line)
     half = F.regexp_extract(text, r"^(.+?)\s+\1$", 1)
-    return rewritten(lines, F.length(strip(half)) >= 2, F.concat(lead, marks, F.lit(" "), half))
+    return (F.length(strip(half)) >= 2, F.concat(lead, marks, F.lit(" "), half))
 
 
-def demote_spaced_letters(lines: DataFrame) -> DataFrame:
-    lead, _, text = _parts(F.col("line"))
+@each_line
+def demote_spaced_letters(line):
+    lead, _, text = _parts(line)
     tokens = F.split(text, r"\s+")
     single = F.size(F.filter(tokens, lambda t: F.length(t) == 1))
-    return rewritten(lines, (text != "") & (single >= 4) & (single / F.size(tokens) >= 0.6), F.concat(lead, text))
+    return ((text != "") & (single >= 4) & (single / F.size(tokens) >= 0.6), F.concat(lead, text))
 
 
 def ancestors(level, order: str = "line_no"):
@@ -125,6 +129,3 @@ def rebalance_orphans(lines: DataFrame, percent: int = ORPHAN_PERCENT) -> DataFr
     df = df.withColumn("orphans", F.sum(orphan.cast("int")).over(whole())).withColumn("ones", F.sum(F.col("one").cast("int")).over(whole()))
     fire = (F.col("ones") >= 2) & (F.floor(F.col("orphans") * 100 / (F.col("ones") - 1)) >= percent)
     return rewritten(df, orphan & fire, F.concat(F.lit("#"), line))
-
-
-__all__ = ["after", "ancestors", "close_level_gaps", "dedupe_doubled", "demote", "demote_flat_runs", "demote_number_only", "demote_spaced_letters", "nest_enumerated", "rebalance_orphans", "repair_headings", "strip_heading_spans"]

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 RAW_SPARK = "select doc_id, cast(p as bigint) line_no, line from {documents} lateral view posexplode(split(text, '\\\\n')) e as p, line"
 RAW_DUCK = "select doc_id, unnest(range(len(string_split(text, chr(10)))))::bigint line_no, unnest(string_split(text, chr(10))) line from documents"
@@ -100,8 +103,6 @@ def spark_lines(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         return spark.sql(NOISE.replace("~", "\\\\").replace("from raw", "from {raw}"), raw=raw)
     body, with_, tables = _SOURCES[name]
     sql = f"with {with_} {body}"
-    import re
-
     for t in tables:
         sql = re.sub(rf"\b(from|join) {t}\b", rf"\1 {{{t}}}", sql)
-    return spark.sql(sql, **{t: read(t) for t in tables}).withColumn("line_no", __import__("pyspark").sql.functions.col("line_no").cast("bigint"))
+    return spark.sql(sql, **{t: read(t) for t in tables}).withColumn("line_no", F.col("line_no").cast("bigint"))

@@ -120,8 +120,8 @@ PASSES = {
 _GAP = f"""g as (select *, case when {rm('line', _ATX)} then length({ex('line', _ATX, 2)}) end level from lines),
 p as (select *, {', '.join(f'max(case when level = {k} then line_no end) {BEFORE} p{k}' for k in range(1, 7))} from g),
 c as (select *, list_filter([{', '.join('case when p%d is not null and %d < level%s then %d end' % (k, k, ''.join(f' and coalesce(p{k} > p{j}, true)' for j in range(1, k)), k) for k in range(1, 7))}], lambda x: x is not null) up from p),
-n as (select *, case len(up) when 0 then level when 1 then least(level, up[1] + 1) when 2 then least(level, least(up[2], up[1] + 1) + 1) else least(level, least(up[3], least(up[2], up[1] + 1) + 1) + 1) end new from c)
-select {_case('level is not null and new <> level', ex('line', _ATX, 1) + " || repeat('#', new::int) || ' ' || " + _AT)} from n"""
+nw as (select *, case len(up) when 0 then level when 1 then least(level, up[1] + 1) when 2 then least(level, least(up[2], up[1] + 1) + 1) else least(level, least(up[3], least(up[2], up[1] + 1) + 1) + 1) end new from c)
+select {_case('level is not null and new <> level', ex('line', _ATX, 1) + " || repeat('#', new::int) || ' ' || " + _AT)} from nw"""
 PASSES["close_level_gaps"] = (R.close_level_gaps, "out", _GAP)
 
 
@@ -164,11 +164,4 @@ def oracle_sql() -> dict[str, str]:
     out["line_explode"] = f"with {duck('raw')} select doc_id, line_no, line, length(line)::int n from lines"
     out["line_collect_roundtrip"] = "select doc_id, text from documents"
     out["cleanup_chain"] = _chain_sql()
-    chain = [duck("noise").replace("lines as (", "l0 as ("), f"l1 as (select doc_id, line_no, {RULES['lock_depth'][1]} line from l0)"]
-    at = 1
-    for name in ("span_strip", "number_only", "doubled_text", "spaced_letters"):
-        chain.append(f"l{at + 1} as (with {PASSES[name][2].replace('from lines', f'from l{at}')})")
-        at += 1
-    out["repair_chain"] = None
-    del out["repair_chain"]
     return out
