@@ -214,7 +214,9 @@ def by_bucket(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, list[byt
     """Whole buckets of a partition that is sorted by bucket, one at a time."""
     now, held = None, []
     for rb in batches:
-        for b, blob in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist()):
+        blobs = rb.column(1)
+        for i, b in enumerate(rb.column(0).to_pylist()):
+            blob = blobs[i].as_py()  # one at a time: no second copy of the batch
             if b != now and held:
                 yield now, held
                 held = []

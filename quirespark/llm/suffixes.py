@@ -39,6 +39,7 @@ PERIOD = 31
 COVER = (0, 1, 3, 8, 12, 18)  # every difference modulo 31 occurs once
 ROWS_PER_BUCKET = 250_000
 DOC_BUCKET_BYTES = 8 << 20
+CHUNK = 512 << 10  # bytes of text that are hashed at a time
 _SAMPLE = ["u8", "i8", "i4"]
 _TIED = ["i8", "i4"]
 _SEEN = ["i8", "i4", "i8", "i4"]
@@ -77,7 +78,7 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_i
 
     def cover(batches):
         blobs = Blobs(_SAMPLE)
-        for rb in chunks(batches):
+        for rb in chunks(batches, most=CHUNK):
             buf, off = utf8(rb.column(2))
             s, e, first = words(buf, off)
             at = np.arange(len(s)) - np.repeat(first[:-1], np.diff(first))
@@ -112,7 +113,7 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_i
 
     def blocks(batches):
         blobs = Blobs(_SAMPLE)
-        for rb in chunks(batches):
+        for rb in chunks(batches, most=CHUNK):
             buf, off = utf8(rb.column(2))
             s, e, first = words(buf, off)
             count = np.diff(first)
