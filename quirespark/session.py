@@ -10,10 +10,15 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: dict[str, str] = {}
+#: Bytes of an Arrow batch that goes to a Python worker; Spark's own default keeps several of 64 MB per task.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = "8m"
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Make this package importable in the Python workers of every executor; done once per application."""
+    """Make this package importable in the Python workers of every executor, and bound their batches where the session says nothing else; done once per application."""
+    if spark.conf.get(BATCH, "67108864b") == "67108864b":
+        spark.conf.set(BATCH, BATCH_BYTES)
     sc = spark.sparkContext
     if sc.applicationId not in _shipped:
         root = Path(__file__).resolve().parent
