@@ -1,0 +1,40 @@
+"""Page-range chunks of long documents, resumption, usage and comparison of runs."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+CHUNK_PAGES = 50
+
+
+def plan_chunks(docs: DataFrame, pages: int = CHUNK_PAGES) -> DataFrame:
+    """(doc_id, chunk_no, page_range) of doc_id and n_pages; documents without pages have none."""
+    n = F.col("n_pages").cast("long")
+    starts = F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1, F.lit(pages).cast("long")))
+    df = docs.select("doc_id", n.alias("n"), F.posexplode(starts).alias("chunk_no", "a"))
+    return df.select("doc_id", "chunk_no", F.concat(F.col("a").cast("string"), F.lit("-"), (F.least(F.col("a") + pages, F.col("n")) - 1).cast("string")).alias("page_range"))
+
+
+def to_do(plans: DataFrame, state: DataFrame) -> DataFrame:
+    """Planned chunks that no run completed."""
+    return plans.join(state.where("status = 'completed'").select("doc_id", "page_range"), ["doc_id", "page_range"], "left_anti")
+
+
+def concat_chunks(done: DataFrame) -> DataFrame:
+    """(doc_id, md): chunks of a document in order of their first page."""
+    first = F.split_part("page_range", F.lit("-"), F.lit(1)).cast("int")
+    rows = F.array_sort(F.collect_list(F.struct(first.alias("a"), "raw_md")))
+    return done.groupBy("doc_id").agg(F.array_join(F.transform(rows, lambda r: r["raw_md"]), "\n\n").alias("md"))
+
+
+def usage(calls: DataFrame) -> DataFrame:
+    """Calls, tokens and models per task, and over all (task null)."""
+    return calls.rollup("task").agg(F.count("*").alias("calls"), F.sum("tokens").alias("tokens"), F.sum((~F.col("success")).cast("int")).alias("failed"), F.array_join(F.sort_array(F.collect_set("model")), ",").alias("models"))
+
+
+def baseline_diff(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(path, change, delta): files of two runs by path with their lines: added, removed, changed; equal ones are left out."""
+    o, n = old.select("path", F.col("n_lines").alias("o"), F.col("sha256").alias("os")), new.select("path", F.col("n_lines").alias("n"), F.col("sha256").alias("ns"))
+    change = F.when(F.col("os").isNull(), "added").when(F.col("ns").isNull(), "removed").when(F.col("os") != F.col("ns"), "changed")
+    return o.join(n, "path", "full_outer").select("path", change.alias("change"), (F.coalesce("n", F.lit(0)) - F.coalesce("o", F.lit(0))).alias("delta")).where("change is not null")

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from ..session import ship
-from . import passes, structure
+from . import passes, rest, structure
 
-_PARTS = (passes, structure)
+_PARTS = (passes, structure, rest)
 
 
 def queries() -> dict:
