@@ -24,8 +24,8 @@ def rstrip(c: Column) -> Column:
 
 def split_lines(md: Column) -> Column:
     """Lines of a text, without the empty one behind a final line break."""
-    a = F.split(md, LINE_BREAK)
-    return F.when(md == "", F.array().cast("array<string>")).when(F.element_at(a, -1) == "", F.slice(a, 1, F.size(a) - 1)).otherwise(a)
+    whole = lambda a: F.when(F.element_at(a, -1) == "", F.slice(a, 1, F.size(a) - 1)).otherwise(a)
+    return F.element_at(F.transform(F.array(F.split(md, LINE_BREAK)), whole), 1)  # bound, so that the text's expression is there once
 
 
 def outside_fences(md: Column, rule) -> Column:

@@ -189,11 +189,34 @@ def file_names(sections: DataFrame) -> DataFrame:
 
 
 def chunks(lines: DataFrame, min_body: int = MIN_BODY) -> DataFrame:
-    """(doc_id, sec_no, level, number, title, crumb, file, text): all of the above, a row per file that would be written."""
-    s = ancestors(find_parents(drop_toc_phantoms(parse_sections(lines))))
-    s = keep_sections(s, min_body)
+    """(doc_id, sec_no, level, number, title, crumb, file, text): all of the above, a row per file that would be written.
+
+    The tree is walked inside one row per document, so that sections are made once and not
+    once for the paths, the names and what is kept.
+    """
+    s = find_parents(drop_toc_phantoms(parse_sections(lines)))
+    name = display_name(F.col("number"), F.col("title"))
+    row = F.struct("sec_no", "level", "number", "title", "ancestor_only", "body", F.coalesce("parent_sec_no", F.lit(-1)).alias("parent"), crumb(strip_links(name)).alias("name"), file_slug(name).alias("slug"), (body_chars(F.col("body")) >= min_body).alias("real"))
+    docs = s.groupBy("doc_id").agg(F.array_sort(F.collect_list(row)).alias("secs"))
+    pick = lambda field: F.transform("secs", lambda x: x[field])
+    docs = docs.select("doc_id", "secs", F.map_from_arrays(pick("sec_no"), pick("parent")).alias("up"), F.map_from_arrays(pick("sec_no"), pick("name")).alias("names"))
+
+    def path(x: Column) -> Column:
+        def climb(p: Column, _: Column) -> Column:
+            top = F.coalesce(F.try_element_at(F.col("up"), F.get(p, F.lit(0))), F.lit(-1))
+            return F.when(top >= 0, F.concat(F.array(top), p)).otherwise(p)
+
+        return F.aggregate(F.sequence(F.lit(1), F.lit(8)), F.filter(F.array(x["parent"]), lambda y: y >= 0), climb)
+
+    docs = docs.withColumn("paths", F.transform("secs", path))
+    needed = F.array_distinct(F.flatten(F.zip_with("secs", "paths", lambda x, p: F.when(x["real"], F.concat(p, F.array(x["sec_no"]))).otherwise(F.array().cast("array<int>")))))
+    docs = docs.withColumn("kept", F.map_from_arrays(needed, needed))
+    trails = F.transform("paths", lambda p: F.when(F.size(p) > 0, F.concat(F.lit("> ↑ "), F.array_join(F.transform(p, lambda n: F.when(F.map_contains_key("kept", n), F.try_element_at("names", n)).otherwise(F.lit("…"))), " / "))))
+    rows = F.filter(F.zip_with("secs", trails, lambda x, c: F.struct(x.alias("x"), c.alias("crumb"))), lambda y: F.map_contains_key("kept", y["x"]["sec_no"]))
+    df = docs.select("doc_id", F.explode(rows).alias("y")).select("doc_id", "y.crumb", "y.x.*")
+    w = Window.partitionBy("doc_id", "slug").orderBy("sec_no")
+    df = df.withColumn("b", strip(F.regexp_replace(F.array_join("body", "\n"), r"\s+", " "))).withColumn("first", F.first("b").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("rn", F.row_number().over(w))
+    df = df.where((F.col("rn") == 1) | (F.col("b") != F.col("first"))).withColumn("n", F.row_number().over(w)).where("ancestor_only = 0")
     text = F.concat(F.repeat(F.lit("#"), F.col("level")), F.lit(" "), F.when(F.col("number").isNotNull(), F.concat("number", F.lit(". "))).otherwise(F.lit("")), F.col("title"), F.lit("\n\n"), strip(F.array_join("body", "\n")))
-    return (
-        s.where("ancestor_only = 0").join(file_names(s), ["doc_id", "sec_no"]).join(breadcrumbs(s), ["doc_id", "sec_no"])
-        .select("doc_id", "sec_no", "level", "number", "title", "crumb", "file", text.alias("text"))
-    )
+    file = F.concat("slug", F.when(F.col("n") > 1, F.concat(F.lit("-"), F.col("n").cast("string"))).otherwise(F.lit("")), F.lit(".md"))
+    return df.select("doc_id", "sec_no", "level", "number", "title", "crumb", file.alias("file"), text.alias("text"))
