@@ -96,9 +96,12 @@ _AUDIT = {
 }
 
 
-def _audit_sql(name: str) -> str:
-    corpus, ctes, (severity, message, frm) = _AUDIT[name]
-    return f"with {duck(corpus)}, {_PROSE}{', ' + ctes if ctes else ''} {_find(name, severity, message, frm)}"
+def _audit_sql(name: str, corpus: str | None = None) -> str:
+    own, ctes, (severity, message, frm) = _AUDIT[name]
+    return f"with {duck(corpus or own)}, {_PROSE}{', ' + ctes if ctes else ''} {_find(name, severity, message, frm)}"
+
+
+_NOISE = "noise"
 
 
 def _joined(df):
@@ -152,6 +155,7 @@ def oracle_sql() -> dict[str, str]:
         out[f"section_parent_{c}"] = f"with {duck(c)}, {_PARENTS} select doc_id, sec_no, number, title, parent_sec_no from tree"
         out[f"min_body_keep_{c}"] = f"with recursive {duck(c)}, {_PARENTS}, {_KEPT} select doc_id, sec_no, title from kept"
         out[f"breadcrumbs_{c}"] = f"with recursive {duck(c)}, {_PARENTS}, {_TRAIL} select doc_id, sec_no, crumb from trail"
+    out["audit_summary"] = f"select \"check\", severity, count(*) n, count(distinct doc_id) n_docs from ({' union all '.join(f'(select * from ({_audit_sql(n, _NOISE)}))' for n in _AUDIT)}) group by 1, 2"
     for name in _AUDIT:
         out[f"audit_{name}"] = _audit_sql(name)
     return out
