@@ -32,6 +32,7 @@ FEATURES = 512
 RIDGE = 1e-2
 SUPPORT = 2
 PRIOR_ROWS = 2  # rows of the average label that a word's count begins with
+TRAIN_PARTITIONS = 16  # of the sample, whose size is bounded; each sends one part of the normal equations
 ODDS_GAIN = 4  # the kernel is narrower along the statistics that come from odds
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -151,7 +152,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         .where("lid is not null and q is not null and t is not null").groupBy("lid").agg(F.max("q").alias("q"), F.max("t").alias("t"))
         .orderBy(F.xxhash64("lid"), "lid").limit(sample)
     )
-    rows = cut(docs.select(F.col(id_col).cast("bigint").alias("lid"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(lab), "lid").select("text", "q", "t", (F.pmod(F.xxhash64("lid"), F.lit(5)) == 0).alias("held")))
+    rows = cut(docs.select(F.col(id_col).cast("bigint").alias("lid"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(lab), "lid").repartition(TRAIN_PARTITIONS, "lid").select("text", "q", "t", (F.pmod(F.xxhash64("lid"), F.lit(5)) == 0).alias("held")))
 
     def count(batches):
         totals = np.zeros(4, np.int64)
