@@ -7,13 +7,15 @@ document's features. Features are hashed into chained Bloom filters of 256 bytes
 features each. Two digests are compared filter by filter through the bits they share, normalised
 between what chance shares and what equality shares (0..100).
 
-A search compares every document with the first document (least key) that holds each
-of its features: as many candidates as it has distinct first holders, without a cap, and
-linear in the corpus. The best of them is the match.
+A search compares every document with every other that shares a feature with it, without
+a cap and in both directions. Documents of equal features are one group and compared once;
+the holders of a feature are paired block by block, so a hot feature is spread over tasks.
+The best partner is the match.
 
 Defined results: null, empty and short texts (under 127 bytes) have no feature, an empty
 digest and no match; equal rows match with 100 if their ids differ; rows that share an
-id do not match each other; of equal scores the least id is the match.
+id do not match each other; of equal scores the least id is the match. Groups are told apart by a 64-bit hash of their
+features.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import BYTE_CODE, NO_ID, Blobs, Spans, U, by_bucket, chunks, cut, in_buckets, keyed, record, spread, strings, unpack, utf8
 
@@ -34,6 +37,7 @@ FILTER_BITS = 2048
 PER_FILTER = 160
 _F = np.round(np.array([0.0, *[c * np.log2(c) for c in range(1, WINDOW + 1)]]) * (1 << 20)).astype(np.int64)
 _FEATURES_PER_BUCKET = 500_000
+_BLOCK = 1024  # holders of a feature that are paired at once
 
 
 def entropies(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -157,7 +161,7 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             h, at = features(*utf8(rb.column(2)), rank)
             yield record(kept, rb.column(0), rb.column(1), strings(h.view(np.uint8), at * 8, pa.binary()))
 
-    table = cut(d.mapInArrow(select, "k bigint, id bigint, features binary"))
+    table = cut(d.mapInArrow(select, "k bigint, id bigint, features binary").withColumn("g", F.xxhash64("features")))
     total = (table.agg(F.sum(F.length("features"))).first()[0] or 0) // 8
     n = max(8, total // _FEATURES_PER_BUCKET)
 
@@ -171,35 +175,68 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def meet(batches):
         for _, held in by_bucket(batches):
-            h, k = unpack(held, ["u8", "i8"])
-            o = np.lexsort((k, h))
-            h, k = h[o], k[o]
+            h, g = unpack(held, ["u8", "i8"])
+            o = np.lexsort((g, h))
+            h, g = h[o], g[o]
+            new = np.r_[True, (h[1:] != h[:-1]) | (g[1:] != g[:-1])]
+            h, g = h[new], g[new]
             at = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-            first = np.repeat(k[at], np.diff(np.r_[at, len(h)]))
-            m = first != k
-            pair = np.unique(np.stack([k[m], first[m]], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy())], ["k", "first"])
-
-    pairs = in_buckets(table.select("k", "features").mapInArrow(send, Blobs.schema), n).mapInArrow(meet, "k bigint, first bigint").distinct()
-    made = pa.schema([("k", pa.int64()), ("id", pa.int64()), ("n_features", pa.int32()), ("digest", pa.binary())])
+            to = np.r_[at[1:], len(h)]
+            many = to - at > 1
+            sets = {g[s:e].tobytes() for s, e in zip(at[many].tolist(), to[many].tolist())}  # features of equal holders pair them once
+            for x in sets:
+                parts = [x[p : p + 8 * _BLOCK] for p in range(0, len(x), 8 * _BLOCK)]
+                for p, a in enumerate(parts):
+                    yield pa.RecordBatch.from_arrays([pa.array([a] * (len(parts) - p), pa.binary()), pa.array(parts[p:], pa.binary())], ["a", "b"])
+
+    def pair(batches):
+        for rb in batches:
+            got = []
+            size = 0
+            for a, b in zip(rb.column(0), rb.column(1)):
+                x, y = np.frombuffer(a.as_py(), np.int64), np.frombuffer(b.as_py(), np.int64)
+                x, y = np.repeat(x, len(y)), np.tile(y, len(x))
+                got.append(np.stack([x, y], 1)[x < y])
+                size += len(got[-1])
+                if size > _BLOCK * _BLOCK:
+                    yield from distinct(got)
+                    got, size = [], 0
+            yield from distinct(got)
+
+    def distinct(got):
+        if got:
+            p = np.unique(np.concatenate(got), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(p[:, 0].copy()), pa.array(p[:, 1].copy())], ["a", "b"])
+
+    holders = in_buckets(table.select("g", "features").mapInArrow(send, Blobs.schema), n).mapInArrow(meet, "a binary, b binary")
+    pairs = holders.repartition(n).mapInArrow(pair, "a bigint, b bigint").distinct()
+    made = pa.schema([("k", pa.int64()), ("id", pa.int64()), ("g", pa.int64()), ("n_features", pa.int32()), ("digest", pa.binary())])
 
     def build(batches):
         for rb in batches:
             rows = [digest(np.frombuffer(x, U)).tobytes() for x in rb.column(2).to_pylist()]
-            yield record(made, rb.column(0), rb.column(1), pa.compute.divide(pa.compute.binary_length(rb.column(2)), 8).cast(pa.int32()), rows)
+            yield record(made, rb.column(0), rb.column(1), rb.column(3), pa.compute.divide(pa.compute.binary_length(rb.column(2)), 8).cast(pa.int32()), rows)
 
-    digests = table.mapInArrow(build, "k bigint, id bigint, n_features int, digest binary")
-    one = digests.groupBy("k").agg(F.max("digest").alias("digest"))  # rows that share an id count as one document
-    scored = pa.schema([("k", pa.int64()), ("first", pa.int64()), ("score", pa.int32())])
+    digests = table.mapInArrow(build, "k bigint, id bigint, g bigint, n_features int, digest binary")
+    one = digests.where("n_features > 0").groupBy("g").agg(F.max("digest").alias("digest"))
+    scored = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("ab", pa.int32()), ("ba", pa.int32())])
 
     def compare(batches):
         for rb in batches:
             a, b = ([np.frombuffer(x, np.uint8).reshape(-1, FILTER_BITS // 8) for x in rb.column(i).to_pylist()] for i in (2, 3))
-            yield record(scored, rb.column(0), rb.column(1), np.array([similarity(x, y) for x, y in zip(a, b)], np.int32))
-
-    sides = pairs.join(one.withColumnRenamed("digest", "a"), "k").join(one.select(F.col("k").alias("first"), F.col("digest").alias("b")), "first").select("k", "first", "a", "b")
-    best = sides.mapInArrow(compare, "k bigint, first bigint, score int").where("score > 0").groupBy("k").agg(F.max(F.struct("score", (-F.col("first")).alias("f"))).alias("m"))
-    return digests.join(best, "k", "left").select(
+            ab = [similarity(x, y) for x, y in zip(a, b)]
+            ba = [similarity(y, x) if len(x) == len(y) else s for x, y, s in zip(a, b, ab)]
+            yield record(scored, rb.column(0), rb.column(1), np.array(ab, np.int32), np.array(ba, np.int32))
+
+    sides = pairs.join(one.select(F.col("g").alias("a"), F.col("digest").alias("x")), "a").join(one.select(F.col("g").alias("b"), F.col("digest").alias("y")), "b").select("a", "b", "x", "y")
+    both = sides.mapInArrow(compare, "a bigint, b bigint, ab int, ba int").select(F.explode(F.array(F.struct(F.col("a").alias("g"), F.col("b").alias("h"), F.col("ab").alias("score")), F.struct(F.col("b").alias("g"), F.col("a").alias("h"), F.col("ba").alias("score")))).alias("r")).select("r.*").where("score > 0")
+    # The two least keys of a group and the two best partners of a group are enough: a row leaves out at most one, its own key.
+    least = table.where("length(features) > 0").select("g", "k").distinct().withColumn("n", F.row_number().over(Window.partitionBy("g").orderBy("k"))).where("n <= 2").select("g", "k")
+    partners = both.join(least.select(F.col("g").alias("h"), F.col("k").alias("f")), "h").select("g", "f", "score").union(least.select("g", F.col("k").alias("f"), F.lit(100)))
+    ranked = partners.groupBy("g", "f").agg(F.max("score").alias("score")).withColumn("n", F.row_number().over(Window.partitionBy("g").orderBy(F.desc("score"), "f"))).where("n <= 2")
+    m = F.struct("f", "score")
+    best = ranked.groupBy("g").agg(F.max(F.when(F.col("n") == 1, m)).alias("one"), F.max(F.when(F.col("n") == 2, m)).alias("two"))
+    return digests.join(best, "g", "left").withColumn("m", F.when(F.col("one.f") == F.col("k"), F.col("two")).otherwise(F.col("one"))).select(
         F.col("id").alias("doc_id"), "n_features", (F.length("digest") / (FILTER_BITS // 8)).cast("int").alias("n_filters"), "digest",
-        F.when(-F.col("m.f") < NO_ID, -F.col("m.f")).alias("match_id"), F.col("m.score").alias("match_score"),
+        F.when(F.col("m.f") < NO_ID, F.col("m.f")).alias("match_id"), F.col("m.score").alias("match_score"),
     )

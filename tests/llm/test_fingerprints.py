@@ -76,3 +76,31 @@ def test_odd_rows(odd, odd_rows, nothing):
     assert by[1].n_features == by[2].n_features == by[4].n_features == 0 and by[2].digest == b"" and by[2].match_id is None
     assert (by[6].match_id, by[6].match_score) == (5, 100)
     assert fp.fingerprint(nothing).count() == 0
+
+
+def test_search_equals_all_pairs(spark, prose):
+    """Every row against every other that shares a feature: exact copies both ways, near copies of a later document, an id with two texts, a hot passage."""
+    part = [prose(300, 50 + i) for i in range(3)]
+    texts = [(0, " ".join(part))] + [(10 + i, p) for i, p in enumerate(part)] + [(20 + i, p + " " + prose(30, 70 + i)) for i, p in enumerate(part)]
+    texts += [(30 + i, prose(300, 50)) for i in range(3)] + [(40, prose(300, 90)), (40, prose(300, 91)), (41, prose(300, 90)), (42, prose(300, 91)), (None, prose(300, 90))]
+    texts += [(100 + i, prose(120, 200 + i) + " " + prose(150, 199) + " " + prose(120, 300 + i)) for i in range(12)]
+    texts += [(200 + i, prose(400, 400 + i)) for i in range(5)] + [(300, ""), (301, None)]
+    buf, off = utf8(pa.array([t for _, t in texts]))
+    rank = fp.ranks_of(np.bincount([e for _, t in texts for e in windows((t or "").encode())], minlength=fp.BINS))
+    h, at = fp.features(buf, off, rank)
+    held = [h[at[i] : at[i + 1]] for i in range(len(texts))]
+    made = [fp.digest(x) for x in held]
+    far = 1 << 62
+    want = []
+    for i, (k, _) in enumerate(texts):
+        found = [(-fp.similarity(made[i], made[j]), far if o is None else o) for j, (o, _) in enumerate(texts) if o != k and set(held[i].tolist()) & set(held[j].tolist())]
+        s, m = min((x for x in found if x[0] < 0), default=(None, None))
+        want.append((-1 if k is None else k, len(held[i]), None if m == far else m, None if s is None else -s))
+    old = fp._BLOCK
+    try:
+        for fp._BLOCK in (old, 3):
+            got = fp.fingerprint(spark.createDataFrame(texts, "doc_id bigint, text string").repartition(4)).collect()
+            key = lambda x: tuple(-9 if v is None else v for v in x)
+            assert sorted(((-1 if r.doc_id is None else r.doc_id, r.n_features, r.match_id, r.match_score) for r in got), key=key) == sorted(want, key=key)
+    finally:
+        fp._BLOCK = old
