@@ -1,4 +1,4 @@
-"""Secret scan: all rules in one deterministic automaton, one pass over the bytes.
+"""Secret scan: all rules in three deterministic automata, each walked once over the bytes.
 
 Rules are regular expressions over bytes (literals, classes, groups, alternation,
 ``? * + {m,n}``). They are parsed into one non-deterministic automaton, made
@@ -9,6 +9,9 @@ walked from the start state; where the stretch before it turns out to end in ano
 state, it is walked again from that one, until all agree. So long documents are cut
 without losing a match, whatever its length.
 
+Rules share an automaton only with rules of their ``group``: a token that may begin inside
+another's alphabet (after ``-`` or ``/``) would multiply the states of both.
+
 A rule may start with ``before`` (a class that the preceding byte must have) and end
 with ``after``; the edges of a text count as a line end. A hit is where a rule's last
 byte is seen; its start is found by the automaton of the reversed rule, run only at
@@ -34,6 +37,8 @@ from .common import chunks, record, strings, utf8
 _NAMED = {"d": set(range(48, 58)), "w": {*range(48, 58), *range(65, 91), 95, *range(97, 123)}, "s": {9, 10, 11, 12, 13, 32}, "n": {10}, "t": {9}, "r": {13}}
 ANY = set(range(256))
 EDGE = ANY - _NAMED["w"] - {ord(c) for c in "+/=-"}
+OPEN = frozenset(EDGE | {ord(c) for c in "=+/"})  # before a token: assignments, URLs and paths; "-" too where the token itself can't hold one
+WIDE = frozenset(OPEN | {ord("-")})
 
 
 @dataclass(frozen=True)
@@ -42,20 +47,21 @@ class Rule:
     pattern: str
     before: frozenset[int] = frozenset(EDGE)
     after: frozenset[int] = frozenset(EDGE)
+    group: int = 0
 
 
 RULES = (
-    Rule("aws_access_key", r"(AKIA|ASIA|AROA|AIDA)[A-Z0-9]{16}"),
-    Rule("github_token", r"gh[pousr]_[A-Za-z0-9]{36}"),
-    Rule("gitlab_token", r"glpat-[A-Za-z0-9_\-]{20}"),
-    Rule("slack_token", r"xox[abprs]-[A-Za-z0-9\-]{10,}"),
-    Rule("google_api_key", r"AIza[A-Za-z0-9_\-]{35}"),
-    Rule("stripe_key", r"(sk|rk)_(live|test)_[A-Za-z0-9]{16,}"),
-    Rule("npm_token", r"npm_[A-Za-z0-9]{36}"),
-    Rule("json_web_token", r"eyJ[A-Za-z0-9_\-]+\.eyJ[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+"),
+    Rule("aws_access_key", r"(AKIA|ASIA|AROA|AIDA)[A-Z0-9]{16}", WIDE),
+    Rule("github_token", r"gh[pousr]_[A-Za-z0-9]{36}", WIDE),
+    Rule("gitlab_token", r"glpat-[A-Za-z0-9_\-]{20}", OPEN, group=1),
+    Rule("slack_token", r"xox[abprs]-[A-Za-z0-9\-]{10,}", OPEN, group=1),
+    Rule("google_api_key", r"AIza[A-Za-z0-9_\-]{35}", OPEN, group=1),
+    Rule("stripe_key", r"(sk|rk)_(live|test)_[A-Za-z0-9]{16,}", WIDE),
+    Rule("npm_token", r"npm_[A-Za-z0-9]{36}", WIDE),
+    Rule("json_web_token", r"eyJ[A-Za-z0-9_\-]+\.eyJ[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+", OPEN, group=1),
     Rule("private_key", r"-----BEGIN ((RSA|EC|DSA|OPENSSH|PGP) )?PRIVATE KEY( BLOCK)?-----", frozenset(ANY), frozenset(ANY)),
-    Rule("hex_secret", r"([0-9a-f]{40}|[0-9a-f]{64}|[0-9A-F]{40}|[0-9A-F]{64})"),
-    Rule("assigned_secret", r"([Pp]assword|PASSWORD|[Ss]ecret|SECRET|[Aa]pi[_\-]?[Kk]ey|API[_\-]?KEY|[Tt]oken|TOKEN)[ ]{0,2}[=:][ ]{0,2}[\"']?[A-Za-z0-9_\-+/]{8,}", frozenset(ANY - {*range(65, 91), *range(97, 123)}), frozenset(ANY - {ord(c) for c in "-+/"} - _NAMED["w"])),
+    Rule("hex_secret", r"([0-9a-f]{40}|[0-9a-f]{64}|[0-9A-F]{40}|[0-9A-F]{64})", WIDE),
+    Rule("assigned_secret", r"([Pp]assword|PASSWORD|[Ss]ecret|SECRET|[Aa]pi[_\-]?[Kk]ey|API[_\-]?KEY|[Tt]oken|TOKEN)[\"']?[ ]{0,2}[=:][ ]{0,2}[\"']?[A-Za-z0-9_\-+/]{8,}", frozenset(ANY - {*range(65, 91), *range(97, 123)}), frozenset(ANY - {ord(c) for c in "-+/"} - _NAMED["w"]), 2),
 )
 
 
@@ -247,7 +253,7 @@ def determinise(nfa: Nfa, start: int, accept: dict[int, int]) -> tuple[np.ndarra
 
 
 class Scanner:
-    """Compiled rules; made once on the driver and sent to the executors as arrays."""
+    """Compiled rules of one group; made once on the driver and sent to the executors as arrays."""
 
     def __init__(self, rules: tuple[Rule, ...] = RULES):
         self.names = [r.name for r in rules]
@@ -332,9 +338,24 @@ class Scanner:
         return lambda p: int(buf[lo + p - base - 1]) if 0 < p - base <= n else 10
 
 
+class Scanners:
+    """A scanner for each group of the rules."""
+
+    def __init__(self, rules: tuple[Rule, ...] = RULES):
+        self.names = [r.name for r in rules]
+        by: dict[int, list[int]] = {}
+        for i, r in enumerate(rules):
+            by.setdefault(r.group, []).append(i)
+        self.parts = [(at, Scanner(tuple(rules[i] for i in at))) for at in by.values()]
+
+    def hits(self, buf: np.ndarray, off: np.ndarray, stretch: int = 512) -> list[tuple[int, int, int, int]]:
+        """(document, rule, start, end) with byte offsets within the document."""
+        return sorted((d, at[r], s, e) for at, scanner in self.parts for d, r, s, e in scanner.hits(buf, off, stretch))
+
+
 @functools.lru_cache(4)
-def compiled(rules: tuple[Rule, ...] = RULES) -> Scanner:
-    return Scanner(rules)
+def compiled(rules: tuple[Rule, ...] = RULES) -> Scanners:
+    return Scanners(rules)
 
 
 def _leftmost(found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:

@@ -85,3 +85,30 @@ def test_redact_and_odd_rows(spark, odd, odd_rows, nothing):
     r = secrets.scan(spark.createDataFrame([(1, long)], "doc_id bigint, text string")).collect()
     assert [(x.rule, x.start_byte, x.end_byte) for x in r] == [("aws_access_key", 200_001, 200_021)]
     assert np.all([len(x.secret_sha256) == 64 for x in r])
+
+
+def test_secrets_in_assignments_urls_and_json():
+    g = random.Random(3)
+    pick = lambda s, n: "".join(g.choice(s) for _ in range(n))
+    al, hx = "abcdefghijABCDEFGHIJ0123456789", "0123456789abcdef"
+    made = [
+        ("aws_access_key", "AKIA" + pick("ABCDEFGH0123", 16)), ("github_token", "ghp_" + pick(al, 36)), ("gitlab_token", "glpat-" + pick(al, 20)), ("slack_token", "xoxb-" + pick(al, 14)), ("google_api_key", "AIza" + pick(al, 35)),
+        ("stripe_key", "sk_live_" + pick(al, 20)), ("npm_token", "npm_" + pick(al, 36)), ("json_web_token", "eyJ" + pick(al, 10) + ".eyJ" + pick(al, 12) + "." + pick(al, 9)), ("hex_secret", pick(hx, 40)), ("hex_secret", pick(hx, 64)),
+    ]
+    texts, want = [], []
+    for name, token in made:
+        for before, after in (("NAME=", "\n"), ("https://a.example/x?key=", "&y=1"), ("https://a.example/", "?y"), ("a+", " "), ('{"k": "', '"}'), ("k: ", "\n")) + ((("a-", " "),) if "-" not in token and name not in ("google_api_key", "json_web_token") else ()):
+            texts.append(before + token + after)
+            want.append((name, len(before), len(before) + len(token)))
+    for before, value in (('{"', 'password": "hunter2hunter2'), ("{'", "api_key' : 'abcdefgh12345678"), ("DB_", "PASSWORD=abcdefgh1234"), ('"', 'token":"abcdefgh1234')):
+        texts.append(before + value + before[-1] + "}")
+        want.append(("assigned_secret", len(before), len(before) + len(value)))
+    texts[-2], want[-2] = "DB_PASSWORD=abcdefgh1234\n", ("assigned_secret", 3, 24)
+    s = secrets.compiled()
+    buf, off = utf8(pa.array(texts))
+    got = [set() for _ in texts]
+    for d, r, a, b in s.hits(buf, off):
+        got[d].add((s.names[r], a, b))
+    assert not [(t, x, w) for t, x, w in zip(texts, got, want) if w not in x]
+    for t, x in zip(texts, got):
+        assert x == by_hand(t.encode()), t
