@@ -15,7 +15,9 @@ another's alphabet (after ``-`` or ``/``) would multiply the states of both.
 A rule may start with ``before`` (a class that the preceding byte must have) and end
 with ``after``; the edges of a text count as a line end. A hit is where a rule's last
 byte is seen; its start is found by the automaton of the reversed rule, run only at
-hits. Of overlapping hits of one rule the earliest-starting, then longest, is kept.
+hits. What may follow a hit (``rest``: the body and the end of a private key) is found by
+an automaton of its own, run forward only at hits; the longest is taken, and none is as
+good. Of overlapping hits of one rule the earliest-starting, then longest, is kept.
 
 Defined results: null text gives no row and stays null when redacted; equal rows give
 equal rows; an id may be null.
@@ -48,8 +50,14 @@ class Rule:
     before: frozenset[int] = frozenset(EDGE)
     after: frozenset[int] = frozenset(EDGE)
     group: int = 0
+    rest: str = ""
 
 
+_KEY = r"((RSA|EC|DSA|OPENSSH|PGP|ENCRYPTED) )?PRIVATE KEY( BLOCK)?-----"
+_GAP = r"([ \t\r\n]|\\[nrt])*"  # also line ends written as in JSON
+#: Up to the end line; without one, header lines and whole lines of base64, and a shorter line after these.
+_BODY = rf"(([^\-]|-[^\-]|--[^\-]|---[^\-]|----[^\-])*-----END {_KEY}|{_GAP}([A-Za-z\-]+: [^\n\\]*{_GAP})*([A-Za-z0-9+/=]{{16,}}{_GAP})+([A-Za-z0-9+/=]+)?)"
+
 RULES = (
     Rule("aws_access_key", r"(AKIA|ASIA|AROA|AIDA)[A-Z0-9]{16}", WIDE),
     Rule("github_token", r"gh[pousr]_[A-Za-z0-9]{36}", WIDE),
@@ -59,7 +67,7 @@ RULES = (
     Rule("stripe_key", r"(sk|rk)_(live|test)_[A-Za-z0-9]{16,}", WIDE),
     Rule("npm_token", r"npm_[A-Za-z0-9]{36}", WIDE),
     Rule("json_web_token", r"eyJ[A-Za-z0-9_\-]+\.eyJ[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+", OPEN, group=1),
-    Rule("private_key", r"-----BEGIN ((RSA|EC|DSA|OPENSSH|PGP) )?PRIVATE KEY( BLOCK)?-----", frozenset(ANY), frozenset(ANY)),
+    Rule("private_key", rf"-----BEGIN {_KEY}", frozenset(ANY), frozenset(ANY), rest=_BODY),
     Rule("hex_secret", r"([0-9a-f]{40}|[0-9a-f]{64}|[0-9A-F]{40}|[0-9A-F]{64})", WIDE),
     Rule("assigned_secret", r"([Pp]assword|PASSWORD|[Ss]ecret|SECRET|[Aa]pi[_\-]?[Kk]ey|API[_\-]?KEY|[Tt]oken|TOKEN)[\"']?[ ]{0,2}[=:][ ]{0,2}[\"']?[A-Za-z0-9_\-+/]{8,}", frozenset(ANY - {*range(65, 91), *range(97, 123)}), frozenset(ANY - {ord(c) for c in "-+/"} - _NAMED["w"]), 2),
 )
@@ -260,7 +268,7 @@ class Scanner:
         nfa, accept = Nfa(), {}
         start = nfa.new()
         nfa.step[start].append((frozenset(ANY), start))
-        self.back = []
+        self.back, self.rest = [], []
         for i, r in enumerate(rules):
             tree = parse(r.pattern)
             s = nfa.new()
@@ -269,6 +277,9 @@ class Scanner:
             b = Nfa()
             z = b.new()
             self.back.append(determinise(b, z, {b.add(("cat", [reverse(tree), ("set", r.before)]), z): 0}))
+            b = Nfa()
+            z = b.new()
+            self.rest.append(determinise(b, z, {b.add(parse(r.rest), z): 0}) if r.rest else None)
         self.dead = [next((q for q in range(len(acc)) if not acc[q] and (tr[q] == q).all()), -1) for _, tr, acc in self.back]
         cls, tr, acc = determinise(nfa, start, accept)
         self.cls, self.k, self.acc = cls, tr.shape[1], acc
@@ -329,9 +340,26 @@ class Scanner:
                         best = p + 1
                     p -= 1
                 if best >= 0:
-                    out.append((int(docs[d]), r, best - int(fo[d]) - 1, e - int(fo[d]) - 1))
+                    end_at = e - int(fo[d]) - 1
+                    if self.rest[r]:
+                        end_at += self._on(self.rest[r], buf[off[docs[d]] + end_at : off[docs[d] + 1]])
+                    out.append((int(docs[d]), r, best - int(fo[d]) - 1, end_at))
         return _leftmost(out)
 
+    @staticmethod
+    def _on(rest: tuple[np.ndarray, np.ndarray, np.ndarray], text: np.ndarray) -> int:
+        """Length of the longest match of the automaton at the start of the text, or 0."""
+        cls, tr, acc = rest
+        dead = next((q for q in range(len(acc)) if not acc[q] and (tr[q] == q).all()), -1)
+        s, best = 0, 0
+        for p, c in enumerate(cls[text].tolist()):
+            s = tr[s, c]
+            if acc[s]:
+                best = p + 1
+            elif s == dead:
+                break
+        return best
+
     @staticmethod
     def _raw(buf: np.ndarray, off: np.ndarray, doc: int, base: int):
         lo, n = int(off[doc]), int(off[doc + 1] - off[doc])

@@ -112,3 +112,37 @@ def test_secrets_in_assignments_urls_and_json():
     assert not [(t, x, w) for t, x, w in zip(texts, got, want) if w not in x]
     for t, x in zip(texts, got):
         assert x == by_hand(t.encode()), t
+
+
+def test_no_private_key_body_survives(spark):
+    g = random.Random(5)
+    line = lambda n: "".join(g.choice("abcdefghijABCDEFGHIJ0123456789+/") for _ in range(n))
+    kinds = ["RSA PRIVATE KEY", "EC PRIVATE KEY", "DSA PRIVATE KEY", "OPENSSH PRIVATE KEY", "ENCRYPTED PRIVATE KEY", "PRIVATE KEY", "PGP PRIVATE KEY BLOCK"]
+    texts, bodies, want = [], [], []
+    for kind in kinds:
+        body = [line(64) for _ in range(9)] + [line(21) + "=="]
+        extra = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0011AABB\n\n" if kind == "RSA PRIVATE KEY" else ""
+        begin, end = f"-----BEGIN {kind}-----", f"-----END {kind}-----"
+        whole = f"{begin}\n{extra}" + "\n".join(body) + f"\n{end}"
+        for t, left in (
+            (f"before {whole}\nafter it.", "before [private_key]\nafter it."),
+            (f"{whole}\n{whole}", "[private_key]\n[private_key]"),
+            ('{"k": "' + whole.replace("\n", "\\n") + '\\n"}', '{"k": "[private_key]\\n"}'),
+            (f"cut {begin}\n{extra}" + "\n".join(body), "cut [private_key]"),
+            (f"see {begin}, as said.", "see [private_key], as said."),
+        ):
+            texts.append(t)
+            bodies.append(body)
+            want.append(left)
+    # The end of another document's key is not this one's.
+    texts += ["a -----BEGIN PRIVATE KEY----- b", "c -----END PRIVATE KEY----- d"]
+    bodies += [[], []]
+    want += ["a [private_key] b", "c -----END PRIVATE KEY----- d"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
+    got = {r.doc_id: r.text for r in secrets.redact(df).collect()}
+    for i, (body, left) in enumerate(zip(bodies, want)):
+        assert not any(x in got[i] for x in body)
+        assert got[i] == left
+    found = [r for r in secrets.scan(df).collect() if r.rule == "private_key"]
+    assert len(found) == len(kinds) * 6 + 1
+    assert len({r.secret_sha256 for r in found if r.doc_id % 5 == 0}) >= len(kinds)
