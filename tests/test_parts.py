@@ -80,3 +80,20 @@ def test_the_inbox_reads_each_file_once(spark, tmp_path):
         return spark.read.parquet(out).count()
 
     assert [add(1), add(2)] == [2, 4]
+
+
+def test_non_english_has_the_reference_lists_and_scripts(spark):
+    from pyspark.sql import functions as F
+
+    from quirespark.functions import language
+
+    german, plain = "für den Motor auch dem Werk zum Start ", "Motor Pumpe Ventil Sensor Kabel Platte Schraube "
+    caption = "![the pump and the valve that you have with this unit, which is for you and your work](x.png) "
+    rows = [
+        (1, german * 4, True), (2, german * 4 + caption * 2, True), (3, plain * 4, False), (4, "la pompe en a le que de in to on " * 4, False),
+        (5, "this is what you should have when they were there " * 4, False), (6, "\u0561\u0562\u0563\u0564\u0565 " * 8, False), (7, "насос и клапан работают", True), (8, "για την αντλία", False), (9, "short", False),
+    ]
+    got = {r.i: r.v for r in spark.createDataFrame(rows, "i int, t string, w boolean").select("i", language.non_english(F.col("t")).alias("v")).collect()}
+    want = {i: w for i, _, w in rows}
+    want[8] = True  # Greek letters, twelve of them
+    assert len(language.ENGLISH) == 51 and got == want
