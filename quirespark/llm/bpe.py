@@ -3,9 +3,9 @@
 A pair of adjacent bytes that occurs inside no vocabulary token can never be joined,
 so a text may be cut there beyond doubt. Together with the pre-tokeniser's cuts these
 boundaries are found for a whole chunk of documents by array operations. Each distinct
-fragment is encoded once (whole fragments that are tokens are looked up, the rest go
-through the merges), kept for the life of the worker up to a bound, and documents are
-concatenations of fragments' ids.
+fragment of a chunk is encoded once: those that are tokens are looked up, the merges of
+all others run side by side as array operations. Documents are concatenations of
+fragments' ids.
 
 Defined results: null or empty text has an empty list of ids; bytes decode to what
 they were, so decoding returns the text; ids are those of the reference encoders for
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import heapq
 import unicodedata
 
 import numpy as np
@@ -24,9 +25,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, chunks, lists, ranges, record, strings, utf8
+from .common import BYTE_CODE, chunks, lists, ranges, record, span_hashes, strings, utf8
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+CHUNK = 8 << 20  # bytes of text that are encoded at a time: the more, the fewer fragments occur twice
+LONG = 64
+_NONE = np.int64(1 << 40)
 _L, _N, _S, _O = range(4)
 
 
@@ -113,35 +117,81 @@ class Bpe:
         self.lens = np.array([len(t) for t in self.token], np.int64)
         self.at = np.r_[0, np.cumsum(self.lens)[:-1]]
         self.bytes = np.frombuffer(b"".join(self.token), np.uint8)
-        self.known: dict[bytes, list[int]] = {}
+        # Every way to join two tokens into one, and the hash of every token, for lookups of many at a time.
+        pairs = {(self.ranks[t[:i]] << 32) | self.ranks[t[i:]]: r for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks}
+        key = np.fromiter(pairs, np.int64, len(pairs))
+        o = np.argsort(key)
+        self.pair, self.joined = np.r_[key[o], 1 << 62], np.r_[np.fromiter(pairs.values(), np.int64, len(pairs))[o], _NONE]
+        self.single = np.array([self.ranks[bytes([i])] for i in range(256)], np.int64)
+        h = span_hashes(BYTE_CODE[self.bytes], self.at, self.at + self.lens)
+        self.by_hash = np.argsort(h)
+        self.hash = h[self.by_hash]
 
-    def merge(self, raw: bytes) -> list[int]:
-        """Ids of one fragment: the adjacent pair of least rank is joined until none is left."""
-        whole = self.ranks.get(raw)
-        if whole is not None:
-            return [whole]
-        parts = [raw[i : i + 1] for i in range(len(raw))]
-        get, none = self.ranks.get, 1 << 60
-        if len(parts) > 400:
-            return self._merge_long(parts)
-        pair = [get(parts[i] + parts[i + 1], none) for i in range(len(parts) - 1)]
-        while pair:
-            least = min(pair)
-            if least == none:
-                break
-            i = pair.index(least)
-            parts[i] += parts.pop(i + 1)
-            pair.pop(i)
-            if i < len(pair):
-                pair[i] = get(parts[i] + parts[i + 1], none)
-            if i:
-                pair[i - 1] = get(parts[i - 1] + parts[i], none)
-        return [self.ranks[p] for p in parts]
-
-    def _merge_long(self, parts: list[bytes]) -> list[int]:
-        """The same with a heap, for fragments of many bytes."""
-        import heapq
+    def rank_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rank of the token that each pair of tokens makes."""
+        key = (a << 32) | b
+        i = np.searchsorted(self.pair, key)
+        return np.where(self.pair[i] == key, self.joined[i], _NONE)
+
+    def whole(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Ids of the fragments that are tokens, -1 for the others; found by hash, verified by byte."""
+        h = span_hashes(BYTE_CODE[buf], off[:-1], off[1:])
+        t = self.by_hash[np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)]
+        out = np.where(self.lens[t] == np.diff(off), t, -1)
+        f = np.flatnonzero(out >= 0)
+        n = self.lens[out[f]]
+        same = self.bytes[ranges(self.at[out[f]], n)] == buf[ranges(off[f], n)]
+        wrong = np.r_[0, np.cumsum(~same)][np.r_[0, np.cumsum(n)]]
+        out[f[wrong[1:] > wrong[:-1]]] = -1
+        return out
+
+    def merge(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of all fragments and each one's number of ids: the adjacent pair of least rank is joined until none is left.
+
+        One round joins a pair of every fragment that has one left. Fragments of more than
+        ``LONG`` bytes, whose number of rounds would hold up the others, go through a heap.
+        """
+        known, lens = self.whole(buf, off), np.diff(off)
+        many = np.flatnonzero((known < 0) & (lens <= LONG))
+        size = lens[many]
+        tok = self.single[buf[ranges(off[many], size)]]
+        frag = np.repeat(np.arange(len(many)), size)
+        done: list[tuple[np.ndarray, np.ndarray]] = [(np.flatnonzero(known >= 0), known[known >= 0])]
+        rank = np.full(len(tok), _NONE)
+        inner = np.flatnonzero(frag[1:] == frag[:-1])
+        rank[inner] = self.rank_of(tok[inner], tok[inner + 1])
+        while len(tok):
+            at = np.flatnonzero(np.r_[True, frag[1:] != frag[:-1]])
+            count = np.diff(np.r_[at, len(frag)])
+            least = np.minimum.reduceat(rank, at)
+            live = np.repeat(least < _NONE, count)
+            if not live.all():
+                done.append((many[frag[~live]], tok[~live]))
+                tok, frag, rank, least, count = tok[live], frag[live], rank[live], least[least < _NONE], count[least < _NONE]
+                if not len(tok):
+                    break
+            i = np.flatnonzero(rank == np.repeat(least, count))
+            i = i[np.r_[True, frag[i[1:]] != frag[i[:-1]]]]  # the leftmost of equals
+            tok[i] = rank[i]
+            stay = np.ones(len(tok), bool)
+            stay[i + 1] = False
+            place = (np.cumsum(stay) - 1)[i]
+            tok, frag, rank = tok[stay], frag[stay], rank[stay]
+            rank[place] = _NONE
+            right = place[(place + 1 < len(tok)) & (frag[np.minimum(place + 1, len(tok) - 1)] == frag[place])]
+            left = place[(place > 0) & (frag[place - 1] == frag[place])] - 1
+            for x in (right, left):
+                rank[x] = self.rank_of(tok[x], tok[x + 1])
+        for f in np.flatnonzero((known < 0) & (lens > LONG)).tolist():
+            ids = self._merge_long(buf[off[f] : off[f + 1]].tobytes())
+            done.append((np.full(len(ids), f), np.array(ids, np.int64)))
+        who = np.concatenate([x for x, _ in done])
+        o = np.argsort(who, kind="stable")
+        return np.concatenate([x for _, x in done])[o].astype(np.int32), np.bincount(who, minlength=len(lens))
 
+    def _merge_long(self, raw: bytes) -> list[int]:
+        """Ids of one fragment, with a heap of its pairs."""
+        parts = [raw[i : i + 1] for i in range(len(raw))]
         n, get = len(parts), self.ranks.get
         nxt, prv, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
         heap = [(r, i, parts[i], parts[i + 1]) for i in range(n - 1) if (r := get(parts[i] + parts[i + 1])) is not None]
@@ -167,21 +217,11 @@ class Bpe:
             return np.empty(0, np.int32), np.zeros(len(off), np.int64)
         flag = np.zeros(len(buf), bool)
         flag[pretoken_starts(buf, off)] = True
-        b = buf.astype(np.int32)
-        flag[1:] |= self.cut[b[:-1] * 256 + b[1:]]
+        flag[1:] |= self.cut[buf[:-1].astype(np.int32) * 256 + buf[1:]]
         starts = np.flatnonzero(flag)
         coded = strings(buf, np.r_[starts, len(buf)], pa.binary()).dictionary_encode()
         code = coded.indices.to_numpy(zero_copy_only=False)
-        if len(self.known) > 400_000:
-            self.known.clear()
-        ids, known = [], self.known
-        for raw in coded.dictionary.to_pylist():
-            x = known.get(raw)
-            if x is None:
-                x = known[raw] = self.merge(raw)
-            ids.append(x)
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), np.int32, int(size.sum()))
+        flat, size = self.merge(*utf8(coded.dictionary))
         first = np.r_[0, np.cumsum(size)[:-1]]
         per = size[code]
         out = flat[ranges(first[code], per)]
@@ -193,6 +233,13 @@ class Bpe:
         return self.bytes[ranges(self.at[ids], n)], np.r_[0, np.cumsum(n)][off]
 
 
+def _text(raw: bytes) -> str | None:
+    try:
+        return raw.decode()
+    except UnicodeDecodeError:
+        return None
+
+
 @functools.lru_cache(2)
 def vocabulary(path: str = VOCABULARY) -> Bpe:
     return Bpe(path)
@@ -204,7 +251,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
 
     def run(batches):
         bpe = vocabulary(path)
-        for rb in chunks(batches):
+        for rb in chunks(batches, most=CHUNK):
             buf, off = utf8(rb.column(1))
             ids, at = bpe.encode(buf, off)
             back, boff = bpe.decode(ids, at)
@@ -224,16 +271,15 @@ def decode(tokens: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path
 
     def run(batches):
         bpe = vocabulary(path)
-        known = len(bpe.token)
         for rb in batches:
-            out = []
-            for ids in rb.column(1).to_pylist():
-                try:
-                    if ids is None or any(i is None or not 0 <= i < known for i in ids):
-                        raise ValueError
-                    out.append(b"".join([bpe.token[i] for i in ids]).decode())
-                except ValueError:
-                    out.append(None)
+            col = rb.column(1)
+            n = pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = pc.fill_null(col.flatten(), -1).to_numpy(zero_copy_only=False)
+            at = np.r_[0, np.cumsum(n)]
+            wrong = np.r_[0, np.cumsum((flat < 0) | (flat >= len(bpe.token)))][at]
+            raw, off = bpe.decode(np.clip(flat, 0, len(bpe.token) - 1), at)
+            whole = strings(raw, off, pa.large_binary())
+            out = [None if bad else _text(x.as_py()) for x, bad in zip(whole, (wrong[1:] > wrong[:-1]) | ~np.asarray(col.is_valid()))]
             yield record(schema, rb.column(0), out)
 
     return tokens.select(F.col(id_col).cast("bigint").alias("id"), F.col(ids_col).cast("array<int>").alias("ids")).mapInArrow(run, "doc_id bigint, text string")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import VOCABULARY, vocabulary
+from .bpe import CHUNK, VOCABULARY, vocabulary
 from .common import U, chunks, lists, record, strings, utf8
 
 BLOCK = 256
@@ -151,7 +151,7 @@ def encode_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def run(batches):
         bpe = vocabulary(path)
-        for rb in chunks(batches):
+        for rb in chunks(batches, most=CHUNK):
             ids, off = bpe.encode(*utf8(rb.column(1)))
             yield _rows(rb.column(0), ids.astype(np.int64), off)
 
