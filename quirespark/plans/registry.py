@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from ..session import ship
-from . import passes, rest, structure
+from . import links, passes, rest, structure
 
-_PARTS = (passes, structure, rest)
+_PARTS = (passes, structure, rest, links)
 
 
 def queries() -> dict:
