@@ -7,14 +7,19 @@ document's features. Features are hashed into chained Bloom filters of 256 bytes
 features each. Two digests are compared filter by filter through the bits they share, normalised
 between what chance shares and what equality shares (0..100).
 
-A search compares every document with every other that shares a feature with it, without
-a cap and in both directions. Documents of equal features are one group and compared once;
-the holders of a feature are paired block by block, so a hot feature is spread over tasks.
-The best partner is the match.
+The search takes as queries every row whose id is divisible by ``every`` (20; 1 for all)
+and compares them with all rows. Documents of equal features are a class; two classes are linked
+if they share at least half of the features of the smaller, and the score of a link is that of the
+digests. A link must show in any choice of more than half of the smaller's features, so of each
+class only the cheapest such choice is looked up (those that fewest others hold), and those held
+by nobody on the other side need not be: a passage that very many documents share is looked up only for
+documents that are mostly that passage. Where holders of a feature are very many they are spread over
+all buckets and the look-ups sent to each. No link is lost and nothing is capped.
 
 Defined results: null, empty and short texts (under 127 bytes) have no feature, an empty
-digest and no match; equal rows match with 100 if their ids differ; rows that share an
-id do not match each other; of equal scores the least id is the match. Groups are told apart by a 64-bit hash of their
+digest, no class and no match; equal rows match with 100 if their ids differ; rows that share an
+id do not match each other; of equal scores the least id is the match; rows without an id are
+no queries, but are found (with a null match_id). Classes are told apart by a 64-bit hash of their
 features.
 """
 
@@ -26,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import BYTE_CODE, NO_ID, Blobs, Spans, U, by_bucket, chunks, cut, in_buckets, keyed, record, spread, strings, unpack, utf8
+from .common import BYTE_CODE, NO_ID, Blobs, Spans, U, by_bucket, chunks, cut, in_buckets, keyed, mix, record, spread, strings, unpack, utf8
 
 WINDOW = 64
 RUN = 64
@@ -38,6 +43,9 @@ PER_FILTER = 160
 _F = np.round(np.array([0.0, *[c * np.log2(c) for c in range(1, WINDOW + 1)]]) * (1 << 20)).astype(np.int64)
 _FEATURES_PER_BUCKET = 500_000
 _BLOCK = 1024  # holders of a feature that are paired at once
+_HOT = 64  # holders of a feature among those that a task sends at a time, beyond which they are spread
+_POSTING = ["u8", "i8", "i4", "u1", "i4"]  # feature, class, number of the class's features, flags, others that hold it
+_QUERY, _MORE, _SPREAD, _PROBE = 1, 2, 4, 8
 
 
 def entropies(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -150,54 +158,123 @@ def histogram(docs: DataFrame) -> np.ndarray:
     return out
 
 
-def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_features, n_filters, digest, match_id, match_score (null without a match)."""
-    d = keyed(docs, id_col, text_col)
-    rank = ranks_of(histogram(d))
-    kept = pa.schema([("k", pa.int64()), ("id", pa.int64()), ("features", pa.binary())])
+def _needed(n: np.ndarray) -> np.ndarray:
+    return (n + 1) // 2
 
-    def select(batches):
-        for rb in chunks(batches):
-            h, at = features(*utf8(rb.column(2)), rank)
-            yield record(kept, rb.column(0), rb.column(1), strings(h.view(np.uint8), at * 8, pa.binary()))
 
-    table = cut(d.mapInArrow(select, "k bigint, id bigint, features binary").withColumn("g", F.xxhash64("features")))
-    total = (table.agg(F.sum(F.length("features"))).first()[0] or 0) // 8
-    n = max(8, total // _FEATURES_PER_BUCKET)
+def _runs(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    new = np.ones(len(keys[0]), bool)
+    if len(new):
+        new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    return np.flatnonzero(new)
+
+
+def _postings(classes: DataFrame, n: int) -> DataFrame:
+    """Blobs by feature: every holder, but of more than ``_HOT`` in one go only so many, queries first; the rest goes to its class's bucket at once."""
 
     def send(batches):
-        blobs = Blobs(["u8", "i8"])
+        blobs, held, size = Blobs(_POSTING), [], 0
+
+        def flush():
+            h, g, m, f = (np.concatenate(c) for c in zip(*held))
+            o = np.lexsort((g, f & _QUERY == 0, h))
+            h, g, m, f = h[o], g[o], m[o], f[o]
+            at = _runs(h)
+            count = np.diff(np.r_[at, len(h)])
+            rest = np.arange(len(h)) - np.repeat(at, count) >= _HOT
+            f = f | np.where(np.repeat(count > _HOT, count), _MORE | _SPREAD, 0).astype(np.uint8)
+            many = np.full(len(h), 1 << 30, np.int32)
+            yield from blobs.add(np.where(rest, n + spread(mix(g.view(U)), n), spread(h, n)), h, g, m, f, many)
+
         for rb in batches:
             raw, at = utf8(rb.column(1))
-            h = np.frombuffer(raw.tobytes(), U)
-            yield from blobs.add(spread(h, n), h, np.repeat(rb.column(0).to_numpy(), np.diff(at) // 8))
+            h, count = np.frombuffer(raw.tobytes(), U), np.diff(at) // 8
+            held.append((h, np.repeat(rb.column(0).to_numpy(), count), np.repeat(count, count).astype(np.int32), np.repeat(rb.column(2).to_numpy(zero_copy_only=False).astype(np.uint8) * _QUERY, count)))
+            size += len(h)
+            if size > 300_000:
+                yield from flush()
+                held, size = [], 0
+        if size:
+            yield from flush()
+        yield from blobs.take()
+
+    return classes.select("g", "features", "query").mapInArrow(send, Blobs.schema)
+
+
+def _candidates(classes: DataFrame, n: int) -> DataFrame:
+    """(a, b): classes of queries and others that may be linked, each pair once."""
+
+    def count(batches):
+        blobs = Blobs(_POSTING)
+        for bucket, held in by_bucket(batches):
+            h, g, m, f, many = unpack(held, _POSTING)
+            if bucket < n:
+                o = np.lexsort((g, h))
+                h, g, m, f = h[o], g[o], m[o], f[o]
+                at = _runs(h)
+                size = np.diff(np.r_[at, len(h)])
+                asking, all_, hot = np.repeat(np.add.reduceat(f & _QUERY, at, dtype=np.int32), size), np.repeat(size, size).astype(np.int32), np.repeat(np.bitwise_or.reduceat(f & _MORE, at), size) > 0
+                many = np.where(hot, 1 << 30, np.where(f & _QUERY, all_ - 1, asking)).astype(np.int32)
+                f = (f & _QUERY) | np.where(hot, _SPREAD, 0).astype(np.uint8)
+                keep = many > 0
+                h, g, m, f, many = h[keep], g[keep], m[keep], f[keep], many[keep]
+            yield from blobs.add(spread(mix(g.view(U)), n), h, g, m, f & ~np.uint8(_MORE), many)
+        yield from blobs.take()
+
+    def choose(batches):
+        blobs = Blobs(_POSTING)
+        for _, held in by_bucket(batches):
+            h, g, m, f, many = unpack(held, _POSTING)
+            o = np.lexsort((h, many, g))
+            h, g, m, f, many = h[o], g[o], m[o], f[o], many[o]
+            at = _runs(g)
+            size = np.diff(np.r_[at, len(g)])
+            probe = np.arange(len(g)) - np.repeat(at, size) <= np.repeat(size, size) - _needed(m)
+            f = f | np.where(probe, _PROBE, 0).astype(np.uint8)
+            hot = f & _SPREAD > 0
+            yield from blobs.add(np.where(hot, spread(mix(g.view(U)), n), spread(h, n)), h, g, m, np.where(hot, f & ~np.uint8(_PROBE), f), many)
+            far = np.flatnonzero(hot & probe)
+            for at_ in range(0, len(far), 4096):
+                p = far[at_ : at_ + 4096]
+                r = np.repeat(p, n)
+                yield from blobs.add(np.tile(np.arange(n), len(p)), h[r], g[r], m[r], f[r] | np.uint8(_MORE), many[r])  # a look-up, not a holder
         yield from blobs.take()
 
     def meet(batches):
         for _, held in by_bucket(batches):
-            h, g = unpack(held, ["u8", "i8"])
+            h, g, m, f, _ = unpack(held, _POSTING)
             o = np.lexsort((g, h))
-            h, g = h[o], g[o]
-            new = np.r_[True, (h[1:] != h[:-1]) | (g[1:] != g[:-1])]
-            h, g = h[new], g[new]
-            at = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+            h, g, m, f = h[o], g[o], m[o], f[o]
+            at = _runs(h)
             to = np.r_[at[1:], len(h)]
-            many = to - at > 1
-            sets = {g[s:e].tobytes() for s, e in zip(at[many].tolist(), to[many].tolist())}  # features of equal holders pair them once
-            for x in sets:
-                parts = [x[p : p + 8 * _BLOCK] for p in range(0, len(x), 8 * _BLOCK)]
-                for p, a in enumerate(parts):
-                    yield pa.RecordBatch.from_arrays([pa.array([a] * (len(parts) - p), pa.binary()), pa.array(parts[p:], pa.binary())], ["a", "b"])
+            asks = np.add.reduceat((f & _PROBE > 0).astype(np.int64), at) if len(h) else at
+            seen = set()
+            for s, e in zip(at[(asks > 0) & (to - at > 1)].tolist(), to[(asks > 0) & (to - at > 1)].tolist()):
+                asking, holds = np.flatnonzero(f[s:e] & _PROBE > 0) + s, np.flatnonzero(f[s:e] & _MORE == 0) + s
+                own = f[asking] & _QUERY > 0
+                for x, y in ((asking[own], holds), (asking[~own], holds[f[holds] & _QUERY > 0])):
+                    job = tuple(np.stack([g[z], m[z], f[z] & _QUERY], 1).astype(np.int64).tobytes() for z in (x, y))
+                    if job in seen:
+                        continue  # features of equal holders pair them once
+                    seen.add(job)
+                    step = 24 * _BLOCK
+                    right = [job[1][q : q + step] for q in range(0, len(job[1]), step)]
+                    for p in range(0, len(job[0]), step):
+                        yield pa.RecordBatch.from_arrays([pa.array([job[0][p : p + step]] * len(right), pa.binary()), pa.array(right, pa.binary())], ["a", "b"])
 
     def pair(batches):
         for rb in batches:
-            got = []
-            size = 0
+            got, size = [], 0
             for a, b in zip(rb.column(0), rb.column(1)):
-                x, y = np.frombuffer(a.as_py(), np.int64), np.frombuffer(b.as_py(), np.int64)
-                x, y = np.repeat(x, len(y)), np.tile(y, len(x))
-                got.append(np.stack([x, y], 1)[x < y])
-                size += len(got[-1])
+                x, y = (np.frombuffer(z.as_py(), np.int64).reshape(-1, 3) for z in (a, b))
+                i, j = np.repeat(np.arange(len(x)), len(y)), np.tile(np.arange(len(y)), len(x))
+                # The one that asks is the smaller; one of the two is a query's, and comes first.
+                ok = (x[i, 0] != y[j, 0]) & (x[i, 1] <= y[j, 1])
+                i, j = i[ok], j[ok]
+                for left, right, q in ((x[i], y[j], x[i, 2]), (y[j], x[i], y[j, 2])):
+                    got.append(np.stack([left[q > 0, 0], right[q > 0, 0]], 1))
+                    size += len(got[-1])
                 if size > _BLOCK * _BLOCK:
                     yield from distinct(got)
                     got, size = [], 0
@@ -208,35 +285,72 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             p = np.unique(np.concatenate(got), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(p[:, 0].copy()), pa.array(p[:, 1].copy())], ["a", "b"])
 
-    holders = in_buckets(table.select("g", "features").mapInArrow(send, Blobs.schema), n).mapInArrow(meet, "a binary, b binary")
-    pairs = holders.repartition(n).mapInArrow(pair, "a bigint, b bigint").distinct()
-    made = pa.schema([("k", pa.int64()), ("id", pa.int64()), ("g", pa.int64()), ("n_features", pa.int32()), ("digest", pa.binary())])
+    sent = in_buckets(_postings(classes, n), n).mapInArrow(count, Blobs.schema)
+    sent = in_buckets(in_buckets(sent, n).mapInArrow(choose, Blobs.schema), n)
+    return sent.mapInArrow(meet, "a binary, b binary").repartition(n).mapInArrow(pair, "a bigint, b bigint").distinct()
 
-    def build(batches):
-        for rb in batches:
-            rows = [digest(np.frombuffer(x, U)).tobytes() for x in rb.column(2).to_pylist()]
-            yield record(made, rb.column(0), rb.column(1), rb.column(3), pa.compute.divide(pa.compute.binary_length(rb.column(2)), 8).cast(pa.int32()), rows)
 
-    digests = table.mapInArrow(build, "k bigint, id bigint, g bigint, n_features int, digest binary")
-    one = digests.where("n_features > 0").groupBy("g").agg(F.max("digest").alias("digest"))
-    scored = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("ab", pa.int32()), ("ba", pa.int32())])
+def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", every: int = 20) -> DataFrame:
+    """doc_id, n_features, n_filters, digest of every row, class_id (least id of equal features), and for queries n_links (linked classes), match_id and match_score (null for others and without a match)."""
+    d = keyed(docs, id_col, text_col)
+    rank = ranks_of(histogram(d))
+    made = pa.schema([("k", pa.int64()), ("id", pa.int64()), ("features", pa.binary())])
+
+    def select(batches):
+        for rb in chunks(batches):
+            h, at = features(*utf8(rb.column(2)), rank)
+            yield record(made, rb.column(0), rb.column(1), strings(h.view(np.uint8), at * 8, pa.binary()))
+
+    asks = F.coalesce(F.col("id") % every == 0, F.lit(False))
+    table = cut(d.mapInArrow(select, "k bigint, id bigint, features binary").withColumn("g", F.xxhash64("features")))
+    some = table.where("length(features) > 0")
+    classes = cut(some.groupBy("g").agg(F.max("features").alias("features"), F.max(asks).alias("query"), F.min("k").alias("k1")))
+    total = (table.agg(F.sum(F.length("features"))).first()[0] or 0) // 8
+    n = max(8, total // _FEATURES_PER_BUCKET)
+    scored = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("score", pa.int32())])
 
     def compare(batches):
+        last: dict[bytes, np.ndarray] = {}
+
+        def of(raw: bytes) -> np.ndarray:
+            if raw not in last:
+                if len(last) > 2000:
+                    last.clear()
+                last[raw] = digest(np.frombuffer(raw, U))
+            return last[raw]
+
         for rb in batches:
-            a, b = ([np.frombuffer(x, np.uint8).reshape(-1, FILTER_BITS // 8) for x in rb.column(i).to_pylist()] for i in (2, 3))
-            ab = [similarity(x, y) for x, y in zip(a, b)]
-            ba = [similarity(y, x) if len(x) == len(y) else s for x, y, s in zip(a, b, ab)]
-            yield record(scored, rb.column(0), rb.column(1), np.array(ab, np.int32), np.array(ba, np.int32))
-
-    sides = pairs.join(one.select(F.col("g").alias("a"), F.col("digest").alias("x")), "a").join(one.select(F.col("g").alias("b"), F.col("digest").alias("y")), "b").select("a", "b", "x", "y")
-    both = sides.mapInArrow(compare, "a bigint, b bigint, ab int, ba int").select(F.explode(F.array(F.struct(F.col("a").alias("g"), F.col("b").alias("h"), F.col("ab").alias("score")), F.struct(F.col("b").alias("g"), F.col("a").alias("h"), F.col("ba").alias("score")))).alias("r")).select("r.*").where("score > 0")
-    # The two least keys of a group and the two best partners of a group are enough: a row leaves out at most one, its own key.
-    least = table.where("length(features) > 0").select("g", "k").distinct().withColumn("n", F.row_number().over(Window.partitionBy("g").orderBy("k"))).where("n <= 2").select("g", "k")
-    partners = both.join(least.select(F.col("g").alias("h"), F.col("k").alias("f")), "h").select("g", "f", "score").union(least.select("g", F.col("k").alias("f"), F.lit(100)))
-    ranked = partners.groupBy("g", "f").agg(F.max("score").alias("score")).withColumn("n", F.row_number().over(Window.partitionBy("g").orderBy(F.desc("score"), "f"))).where("n <= 2")
-    m = F.struct("f", "score")
-    best = ranked.groupBy("g").agg(F.max(F.when(F.col("n") == 1, m)).alias("one"), F.max(F.when(F.col("n") == 2, m)).alias("two"))
-    return digests.join(best, "g", "left").withColumn("m", F.when(F.col("one.f") == F.col("k"), F.col("two")).otherwise(F.col("one"))).select(
+            out = []
+            for a, b, x, y in zip(*(rb.column(i).to_pylist() for i in range(4))):
+                p, q = np.frombuffer(x, U), np.frombuffer(y, U)
+                if len(np.intersect1d(p, q, assume_unique=True)) >= _needed(min(len(p), len(q))):
+                    out.append((a, b, similarity(of(x), of(y))))
+            if out:
+                yield record(scored, *map(list, zip(*out)))
+
+    left, right = classes.select(F.col("g").alias("a"), F.col("features").alias("x")), classes.select(F.col("g").alias("b"), F.col("features").alias("y"))
+    links = _candidates(classes, n).join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(compare, "a bigint, b bigint, score int")
+    links = cut(links)
+    # The two least keys of a class and the two best partners of a class are enough: a row leaves out at most one, its own key.
+    least = some.select("g", "k").distinct().withColumn("n", F.row_number().over(Window.partitionBy("g").orderBy("k"))).where("n <= 2").select("g", "k")
+    least = cut(least)
+    partner = links.where("score > 0").join(least.select(F.col("g").alias("b"), F.col("k").alias("f")), "b").select(F.col("a").alias("g"), (-F.col("score")).alias("s"), "f")
+    partner = partner.union(least.join(classes.where("query").select("g"), "g").select("g", F.lit(-100), F.col("k"))).groupBy("g", "f").agg(F.min("s").alias("s"))
+    one = partner.groupBy("g").agg(F.min(F.struct("s", "f")).alias("one"))
+    two = partner.join(one, "g").where("f <> one.f").groupBy("g").agg(F.min(F.struct("s", "f")).alias("two"))
+    count = links.groupBy(F.col("a").alias("g")).agg(F.count("*").alias("n_links"))
+    found = classes.join(one, "g", "left").join(two, "g", "left").join(count, "g", "left").select("g", "k1", "one", "two", "n_links")
+    shown = pa.schema([*made, ("g", pa.int64()), ("n_features", pa.int32()), ("digest", pa.binary())])
+
+    def build(batches):
+        for rb in batches:
+            rows = [digest(np.frombuffer(x, U)).tobytes() for x in rb.column(2).to_pylist()]
+            yield record(shown, *rb.columns, pa.compute.divide(pa.compute.binary_length(rb.column(2)), 8).cast(pa.int32()), rows)
+
+    digests = table.select("k", "id", "features", "g").mapInArrow(build, "k bigint, id bigint, features binary, g bigint, n_features int, digest binary").drop("features")
+    m = F.when(asks, F.when(F.col("one.f") == F.col("k"), F.col("two")).otherwise(F.col("one")))
+    return digests.join(found, "g", "left").withColumn("m", m).select(
         F.col("id").alias("doc_id"), "n_features", (F.length("digest") / (FILTER_BITS // 8)).cast("int").alias("n_filters"), "digest",
-        F.when(F.col("m.f") < NO_ID, F.col("m.f")).alias("match_id"), F.col("m.score").alias("match_score"),
+        F.when(F.col("k1") < NO_ID, F.col("k1")).alias("class_id"), F.when(asks, F.coalesce("n_links", F.lit(0))).alias("n_links"),
+        F.when(F.col("m.f") < NO_ID, F.col("m.f")).alias("match_id"), (-F.col("m.s")).alias("match_score"),
     )

@@ -57,18 +57,22 @@ def test_features_and_digests_by_hand(prose):
             assert fp.similarity(d, d) == 100
 
 
-def test_search_finds_first_holders(spark, prose):
+def test_search_finds_copies_both_ways(spark, prose):
     rows = [(i, prose(400, i)) for i in range(30)]
     rows += [(100 + i, prose(400, i)) for i in range(5)] + [(200 + i, prose(400, i) + " " + prose(40, 900 + i)) for i in range(5)]
-    got = {r.doc_id: r for r in fp.fingerprint(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()}
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = {r.doc_id: r for r in fp.fingerprint(df, every=1).collect()}
     for i in range(5):
-        assert (got[100 + i].match_id, got[100 + i].match_score) == (i, 100)
-        assert got[200 + i].match_id == i and got[200 + i].match_score > 50
-    assert all(got[i].match_id is None for i in range(30))
+        assert (got[100 + i].match_id, got[100 + i].match_score, got[100 + i].class_id) == (i, 100, i)
+        assert (got[i].match_id, got[i].match_score) == (100 + i, 100)
+        assert got[200 + i].match_id == i and got[200 + i].match_score > 50 and got[200 + i].n_links == 1
+    assert all(got[i].match_id is None and got[i].n_links == 0 for i in range(5, 30))
+    some = {r.doc_id: r for r in fp.fingerprint(df).collect()}
+    assert all(some[i] == got[i] if i % 20 == 0 else (some[i].digest, some[i].match_id, some[i].n_links) == (got[i].digest, None, None) for i in got)
 
 
 def test_odd_rows(odd, odd_rows, nothing):
-    rows = fp.fingerprint(odd).collect()
+    rows = fp.fingerprint(odd, every=1).collect()
     assert len(rows) == len(odd_rows)
     by = {}
     for r in rows:
@@ -78,13 +82,14 @@ def test_odd_rows(odd, odd_rows, nothing):
     assert fp.fingerprint(nothing).count() == 0
 
 
-def test_search_equals_all_pairs(spark, prose):
-    """Every row against every other that shares a feature: exact copies both ways, near copies of a later document, an id with two texts, a hot passage."""
+def test_search_equals_all_pairs(spark, prose, monkeypatch):
+    """Every row against every other that shares half of the smaller's features: exact copies both ways, near copies of a later document, an id with two texts, a hot passage, documents that are mostly it."""
     part = [prose(300, 50 + i) for i in range(3)]
     texts = [(0, " ".join(part))] + [(10 + i, p) for i, p in enumerate(part)] + [(20 + i, p + " " + prose(30, 70 + i)) for i, p in enumerate(part)]
     texts += [(30 + i, prose(300, 50)) for i in range(3)] + [(40, prose(300, 90)), (40, prose(300, 91)), (41, prose(300, 90)), (42, prose(300, 91)), (None, prose(300, 90))]
     texts += [(100 + i, prose(120, 200 + i) + " " + prose(150, 199) + " " + prose(120, 300 + i)) for i in range(12)]
     texts += [(200 + i, prose(400, 400 + i)) for i in range(5)] + [(300, ""), (301, None)]
+    texts += [(400 + i, prose(300, 199) + " " + prose(20 + 40 * i, 600 + i)) for i in range(9)]
     buf, off = utf8(pa.array([t for _, t in texts]))
     rank = fp.ranks_of(np.bincount([e for _, t in texts for e in windows((t or "").encode())], minlength=fp.BINS))
     h, at = fp.features(buf, off, rank)
@@ -93,14 +98,14 @@ def test_search_equals_all_pairs(spark, prose):
     far = 1 << 62
     want = []
     for i, (k, _) in enumerate(texts):
-        found = [(-fp.similarity(made[i], made[j]), far if o is None else o) for j, (o, _) in enumerate(texts) if o != k and set(held[i].tolist()) & set(held[j].tolist())]
-        s, m = min((x for x in found if x[0] < 0), default=(None, None))
-        want.append((-1 if k is None else k, len(held[i]), None if m == far else m, None if s is None else -s))
-    old = fp._BLOCK
-    try:
-        for fp._BLOCK in (old, 3):
-            got = fp.fingerprint(spark.createDataFrame(texts, "doc_id bigint, text string").repartition(4)).collect()
-            key = lambda x: tuple(-9 if v is None else v for v in x)
-            assert sorted(((-1 if r.doc_id is None else r.doc_id, r.n_features, r.match_id, r.match_score) for r in got), key=key) == sorted(want, key=key)
-    finally:
-        fp._BLOCK = old
+        linked = [j for j in range(len(texts)) if len(held[i]) and len(held[j]) and len(set(held[i].tolist()) & set(held[j].tolist())) >= (min(len(held[i]), len(held[j])) + 1) // 2]
+        found = [(-fp.similarity(made[i], made[j]), far if texts[j][0] is None else texts[j][0]) for j in linked if texts[j][0] != k]
+        s, m = min((x for x in found if x[0] < 0), default=(None, None)) if k is not None else (None, None)
+        others = len({held[j].tobytes() for j in linked} - {held[i].tobytes()})
+        want.append((-1 if k is None else k, len(held[i]), None if m == far else m, None if s is None else -s, None if k is None else others))
+    for block, hot in ((fp._BLOCK, fp._HOT), (3, fp._HOT), (3, 2), (1024, 1)):
+        monkeypatch.setattr(fp, "_BLOCK", block)
+        monkeypatch.setattr(fp, "_HOT", hot)
+        got = fp.fingerprint(spark.createDataFrame(texts, "doc_id bigint, text string").repartition(4), every=1).collect()
+        key = lambda x: tuple(-9 if v is None else v for v in x)
+        assert sorted(((-1 if r.doc_id is None else r.doc_id, r.n_features, r.match_id, r.match_score, r.n_links) for r in got), key=key) == sorted(want, key=key)
