@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import cut
 
@@ -15,18 +14,19 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     Self loops and repeated edges are ignored; an empty edge list gives an empty
     result. Each round moves every edge once or twice and is written to the
     checkpoint folder, so a lost executor costs one round; the number of rounds grows
-    with the logarithm of the longest chain.
+    with the logarithm of the longest chain; ``most_rounds`` is far beyond any that can be
+    stored, and an error where it is not. Least neighbours are aggregated before they are
+    shuffled, and a node of very many edges is joined, not gathered, so that the skew join can split it.
     """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     e = cut(e)
     before = None
     for _ in range(most_rounds):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        m = F.least(F.min("v").over(Window.partitionBy("u")), F.col("u"))
-        e = both.select("u", "v", m.alias("m")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        w = Window.partitionBy("u")
-        s = e.select("u", "v", F.min("v").over(w).alias("m"))
-        e = cut(s.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.*").where("u <> v").distinct())
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        e = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = e.groupBy("u").agg(F.min("v").alias("m"))
+        e = cut(e.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct())
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break

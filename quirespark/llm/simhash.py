@@ -1,24 +1,23 @@
 """SimHash near-duplicates by deletion-variant signatures.
 
 A document's signature has 128 bits, over its set of distinct words (lower case). Two
-documents are near-duplicates if their signatures differ in at most 19 bits, or 13 where one
-has under 32 distinct words, since signatures of few words are coarse. Cut into 7
-segments, signatures that differ in up to 13 bits have a segment that differs in at most one
-(13 differences cannot put two into each of 7). So a segment is indexed by its variants
-with one bit left out: equal variants are candidates, and every candidate is verified over
-128 bits. Up to 13 bits the search is therefore exact. From 14 to 19 bits it is very likely: the
-same is done a second time with the bits in another order, and of pairs that differ in 19 bits
-about 0.98 meet in one of the 14 segments (all pairs: measured 0.99 and more). No cap, no sampling.
-
-To index 128 variants per signature without shuffling 128 rows, a signature goes twice
-per segment to a bucket: by the upper and by the lower half of the segment. Wherever the
-left-out bit lies, one half is whole, so both partners are in that half's bucket, where
-the variants are made, sorted and joined on equality as arrays. Within a bucket verified pairs
-become stars, so a group of thousands of copies sends one edge per member. Groups are the
-connected components. Of each group the least doc_id stays.
-
-At much larger corpora wider segments keep buckets selective: ``segments=4`` over the same
-128 bits is exact up to 7 differing bits.
+signatures are linked if they differ in at most 19 bits and one of 14 segments differs in at
+most one: 7 segments, and 7 more with the bits in another order. Signatures that differ in up
+to 13 bits always have such a segment (13 differences cannot put two into each of 7), so
+up to there the link is the distance alone; of pairs at 19 bits about 0.98 are linked. Documents
+are near-duplicates along chains of links. No cap, no sampling.
+
+A segment is indexed by its variants with one bit left out: equal variants are candidates,
+and every candidate is verified over 128 bits. To index 128 variants per signature without
+shuffling 128 rows, a segment is cut into parts and a signature goes once per part to the
+bucket of all the other parts. Wherever the left-out bit lies, both partners are in the bucket
+without that part, where the variants are made, sorted and joined on equality as arrays. The
+more signatures, the more parts (2 to the segment's width), so that a bucket's key has bits enough
+for its rows to be as many at any size; the links are the same. Within a bucket verified pairs become
+stars, so a group of thousands of copies sends one edge per member. Groups are the connected
+components. Of each group the least doc_id stays. With 18-bit segments candidates grow as
+the square of the signatures over 2**17; ``segments=4`` (32 bits, exact up to 7) is for
+corpora of billions.
 
 Defined results: null and empty texts are copies of each other; texts of the same words are
 copies whatever the order; rows that share a doc_id are one document, of which one row
@@ -41,19 +40,17 @@ from .quality import _LOWER
 
 SEGMENTS = 7
 MOST = 19
-FEW_WORDS = 32
 _ORDERS = (np.arange(128), np.arange(128) * 53 % 128)
 ROWS_PER_BUCKET = 60_000
-_SIG = pa.schema([("k", pa.int64()), ("id", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("few", pa.int32())])
+_SIG = pa.schema([("k", pa.int64()), ("id", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64())])
 _M52 = U((1 << 52) - 1)
 
 
-def sign(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Upper and lower 64 bits of each document's signature, and whether it has few words."""
+def sign(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Upper and lower 64 bits of each document's signature."""
     n = len(off) - 1
     starts, ends, first = words(buf, off)
     out = np.zeros((n, 16), np.uint8)
-    few = np.ones(n, bool)
     if len(starts):
         h = span_hashes(BYTE_CODE[_LOWER[buf]], starts, ends)
         doc = np.repeat(np.arange(n, dtype=U), np.diff(first))
@@ -69,19 +66,18 @@ def sign(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
             bits = np.unpackbits(np.stack([mix(m), mix(m ^ U(0x5851F42D4C957F2D))], 1).view(np.uint8), axis=1)
             count = np.diff(np.r_[at, len(key)])
             total = np.stack([bits[s : s + c].sum(0, dtype=np.int32) for s, c in zip(at.tolist(), count.tolist())])
-            few[lo + d[at]] = count < FEW_WORDS
             out[lo + d[at]] = np.packbits(2 * total > count[:, None], axis=1)
     v = out.view(U)
-    return v[:, 0].copy(), v[:, 1].copy(), few
+    return v[:, 0].copy(), v[:, 1].copy()
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     def run(batches):
         for rb in chunks(batches, "text"):
-            hi, lo, few = sign(*utf8(rb.column(2)))
-            yield record(_SIG, rb.column(0), rb.column(1), hi.view(np.int64), lo.view(np.int64), few.astype(np.int32))
+            hi, lo = sign(*utf8(rb.column(2)))
+            yield record(_SIG, rb.column(0), rb.column(1), hi.view(np.int64), lo.view(np.int64))
 
-    return keyed(docs, id_col, text_col).mapInArrow(run, "k bigint, id bigint, hi bigint, lo bigint, few int")
+    return keyed(docs, id_col, text_col).mapInArrow(run, "k bigint, id bigint, hi bigint, lo bigint")
 
 
 def bounds(segments: int) -> list[tuple[int, int]]:
@@ -127,7 +123,18 @@ class Stars:
                 self.label = up
 
 
-def near_pairs(hi: np.ndarray, lo: np.ndarray, most: np.ndarray, seg: np.ndarray, free: range, same: bool, step: int = 2_000_000):
+def parts(width: int, rows: int) -> list[tuple[int, int]]:
+    """First bit and width of the parts of a segment: the fewest that leave a bucket key of enough values for so many rows."""
+    for t in (2, 3, 6):
+        if 1 << (width - -(-width // t)) >= rows // ROWS_PER_BUCKET:
+            break
+    else:
+        t = width
+    at = [width * i // t for i in range(t + 1)]
+    return [(a, b - a) for a, b in zip(at, at[1:])]
+
+
+def near_pairs(hi: np.ndarray, lo: np.ndarray, most: int, seg: np.ndarray, free: range, same: bool, step: int = 2_000_000):
     """Verified pairs whose segments agree (if ``same``) or differ in one of the ``free`` bits."""
 
     def candidates(starts, lens):
@@ -139,7 +146,7 @@ def near_pairs(hi: np.ndarray, lo: np.ndarray, most: np.ndarray, seg: np.ndarray
             at = to
 
     def ok(a, b):
-        near = np.bitwise_count(hi[a] ^ hi[b]).astype(np.int16) + np.bitwise_count(lo[a] ^ lo[b]) <= np.minimum(most[a], most[b])
+        near = np.bitwise_count(hi[a] ^ hi[b]).astype(np.int16) + np.bitwise_count(lo[a] ^ lo[b]) <= most
         return a[near], b[near]
 
     if same:
@@ -161,49 +168,50 @@ def near_pairs(hi: np.ndarray, lo: np.ndarray, most: np.ndarray, seg: np.ndarray
 
 
 def edges(sigs: DataFrame, count: int, segments: int = SEGMENTS) -> DataFrame:
-    """Star edges (a, b) between representatives of near signatures; ``sigs`` has rep, hi, lo, few, ``count`` rows."""
+    """Star edges (a, b) between representatives of linked signatures; ``sigs`` has rep, hi, lo, about ``count`` rows."""
     segs = bounds(segments)
-    split = min(512, max(1, -(-count // ROWS_PER_BUCKET)))
-    kinds = ["i8", "u8", "u8", "u1"]
+    cuts = [parts(width, count) for _, width in segs]
+    each = max(map(len, cuts))
+    split = max(1, -(-count // ROWS_PER_BUCKET))
+    kinds = ["i8", "u8", "u8"]
 
     def send(batches):
         blobs = Blobs(kinds)
         for rb in batches:
-            rep, hi, lo, few = (rb.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            rep, hi, lo = (rb.column(i).to_numpy(zero_copy_only=False) for i in range(3))
             hi, lo = hi.view(U), lo.view(U)
             for t, order in enumerate(_ORDERS):
                 h, l = reordered(hi, lo, order)
                 for s, (at, width) in enumerate(segs):
-                    x, low = segment(h, l, at, width), width // 2
-                    for half, v in enumerate((x & U((1 << low) - 1), x >> U(low))):
-                        yield from blobs.add((mix(v + U(1)) % U(split)).astype(np.int32) + ((t * segments + s) * 2 + half) * split, rep, hi, lo, few)
+                    x = segment(h, l, at, width)
+                    for part, (first, size) in enumerate(cuts[s]):
+                        rest = x & U(~(((1 << size) - 1) << first) & ((1 << 64) - 1))
+                        yield from blobs.add((mix(rest + U(1)) % U(split)).astype(np.int32) + ((t * segments + s) * each + part) * split, rep, hi, lo)
         yield from blobs.take()
 
     def meet(batches):
         for bucket, held in by_bucket(batches):
-            rep, hi, lo, few = unpack(held, kinds)
+            rep, hi, lo = unpack(held, kinds)
             o = np.argsort(rep, kind="stable")
             rep, hi, lo = rep[o], hi[o], lo[o]
-            most = np.where(few[o] > 0, 2 * segments - 1, max(MOST, 2 * segments - 1)).astype(np.int16)
-            s, half = divmod(bucket // split, 2)
+            s, part = divmod(bucket // split, each)
             at, width = segs[s % segments]
-            low = width // 2
+            first, size = cuts[s % segments][part]
             stars = Stars(len(rep))
-            # Bucketed by the lower half, the left-out bit lies in the upper one, and the other way round.
-            for a, b in near_pairs(hi, lo, most, segment(*reordered(hi, lo, _ORDERS[s // segments]), at, width), range(low, width) if half == 0 else range(low), half == 0):
+            for a, b in near_pairs(hi, lo, max(MOST, 2 * segments - 1), segment(*reordered(hi, lo, _ORDERS[s // segments]), at, width), range(first, first + size), part == 0):
                 stars.add(a, b)
             m = np.flatnonzero(stars.label != np.arange(len(rep)))
             if len(m):
                 yield pa.RecordBatch.from_arrays([pa.array(rep[m]), pa.array(rep[stars.label[m]])], ["a", "b"])
 
-    sent = sigs.select("rep", "hi", "lo", "few").mapInArrow(send, Blobs.schema)
+    sent = sigs.select("rep", "hi", "lo").mapInArrow(send, Blobs.schema)
     return in_buckets(sent, max(12, 2 * segments * split)).mapInArrow(meet, "a bigint, b bigint")
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", segments: int = SEGMENTS) -> DataFrame:
     """(k, id, hi, lo, root): each row's key, id, signature and the key of its group's document that stays."""
     sigs = cut(signatures(docs, id_col, text_col))
-    reps = sigs.groupBy("hi", "lo").agg(F.min("k").alias("rep"), F.max("few").alias("few"))
+    reps = sigs.groupBy("hi", "lo").agg(F.min("k").alias("rep"))
     linked = components(edges(reps, sigs.count(), segments).union(_same_key(sigs)))
     rooted = reps.join(linked, reps.rep == linked.node, "left").select("hi", "lo", F.coalesce("root", "rep").alias("root"))
     return sigs.join(rooted, ["hi", "lo"]).select("k", "id", "hi", "lo", "root")
@@ -219,11 +227,11 @@ def _same_key(sigs: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", segments: int = SEGMENTS) -> DataFrame:
-    """doc_id, signature (32 hex digits), group_id (the group's least doc_id), duplicate (whether another document of the group stays instead)."""
-    g = groups(docs, id_col, text_col, segments)
-    return g.select(
-        F.col("id").alias("doc_id"), F.concat(F.lpad(F.hex("hi"), 16, "0"), F.lpad(F.hex("lo"), 16, "0")).alias("signature"),
-        F.when(F.col("root") < NO_ID, F.col("root")).alias("group_id"), (F.col("k") != F.col("root")).alias("duplicate"),
+    """doc_id, group_id (the group's least doc_id), group_rows (rows of the group), duplicate (whether another document of the group stays instead); one row per row."""
+    g = cut(groups(docs, id_col, text_col, segments).select("k", "id", "root"))
+    size = g.groupBy("root").agg(F.count("*").alias("group_rows"))
+    return g.join(size, "root").select(
+        F.col("id").alias("doc_id"), F.when(F.col("root") < NO_ID, F.col("root")).alias("group_id"), "group_rows", (F.col("k") != F.col("root")).alias("duplicate"),
     )
 
 
