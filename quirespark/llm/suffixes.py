@@ -1,23 +1,25 @@
-"""Repeated passages by difference-cover blockwise suffix sorting.
+"""Repeated passages by difference-cover blockwise suffix grouping.
 
 Suffixes start at words; a passage is a run of at least ``LENGTH`` words that occurs at
-two places. The whole corpus is never sorted at once:
+two places. The whole corpus is never ordered at once:
 
 1. Cover sample. Positions p with p mod 31 in a perfect difference set, 6 of 31. For any two
    suffixes some shift below 31 puts both into the sample, so two equal runs of 50 words hold
-   sampled suffixes that agree on 20 words. The sample is sorted by its first 20 words (by
-   their hash: any fixed order of words serves), bucket by bucket, and suffixes whose rank
-   is shared are tied.
+   sampled suffixes that agree on 20 words. The sample is ordered by its first 20 words (by
+   their hash: any fixed order of words serves), bucket by bucket, and suffixes that share
+   their place are tied. What ties within a task is told at once, and one of it goes on, so a
+   passage of very many documents sends a row per task.
 2. Blocks. Only suffixes that a tied cover suffix can reach within its shift may be part of a
    repeat; the rest are proven unique by step 1. They are ordered by their first 50
    words, one bucket (a range of the order) at a time, so memory is a bucket's. Suffixes that
-   stay equal through all 50 are a repeat; their order is by (doc_id, position), and the first
-   of them is the occurrence that stays.
+   stay equal through all 50 (two hashes of 96 bits in all) are a repeat; their order is by
+   (doc_id, position), and the first of them is the occurrence that stays.
 3. Passages. Repeated windows of a document are joined to spans.
 
-Order beyond 50 words is not needed to find the spans, so ties are cut off there instead
-of being followed to their ends; see the README. Buckets travel as packed columns. Every window
-of the corpus is covered: nothing is sampled away, no group is capped.
+This departs from a suffix array: order is needed up to 50 words only, which one hash of a window
+gives, so no tie is left for cover ranks to resolve; see the README for what ranks would cost.
+Buckets travel as packed columns. Every window of the corpus is covered: nothing is sampled
+away, no group is capped.
 
 Defined results: words are separated by ASCII white space; texts of fewer words have no
 passage; null and empty texts stay as they are; equal rows (same id, same text) are one
@@ -41,27 +43,28 @@ ROWS_PER_BUCKET = 250_000
 DOC_BUCKET_BYTES = 8 << 20
 CHUNK = 512 << 10  # bytes of text that are hashed at a time
 _SAMPLE = ["u8", "i8", "i4"]
+_WINDOW = ["u8", "u4", "i8", "i4"]
 _TIED = ["i8", "i4"]
 _SEEN = ["i8", "i4", "i8", "i4"]
 
 
-def _sorted_groups(h: np.ndarray, k: np.ndarray, i: np.ndarray):
-    """Rows of hashes that occur at more than one place, ordered by (hash, key, position), and where each hash begins."""
+def _sorted_groups(h: np.ndarray, more: np.ndarray, k: np.ndarray, i: np.ndarray):
+    """Rows of hashes that occur at more than one place, ordered by (hashes, key, position), and where each begins."""
     o = np.argsort(h, kind="stable")
     s = h[o]
     eq = s[1:] == s[:-1]
     o = o[np.r_[eq, False] | np.r_[False, eq]]
-    h, k, i = h[o], k[o], i[o]
-    o = np.lexsort((i, k, h))
-    h, k, i = h[o], k[o], i[o]
-    if len(h):
-        once = np.r_[True, (h[1:] != h[:-1]) | (k[1:] != k[:-1]) | (i[1:] != i[:-1])]  # equal rows are one place
-        h, k, i = h[once], k[once], i[once]
-        new = np.r_[True, h[1:] != h[:-1]]
-        size = np.diff(np.r_[np.flatnonzero(new), len(h)])
-        many = np.repeat(size > 1, size)
-        h, k, i = h[many], k[many], i[many]
-    return k, i, np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.empty(0, np.int64)
+    o = o[np.lexsort((i[o], k[o], more[o], h[o]))]
+    h, more, k, i = h[o], more[o], k[o], i[o]
+    if not len(h):
+        return h, k, i, np.empty(0, np.int64)
+    same = np.r_[False, (h[1:] == h[:-1]) & (more[1:] == more[:-1])]
+    once = ~(same & np.r_[False, (k[1:] == k[:-1]) & (i[1:] == i[:-1])])  # equal rows are one place
+    h, more, k, i = h[once], more[once], k[once], i[once]
+    new = np.r_[True, (h[1:] != h[:-1]) | (more[1:] != more[:-1])]
+    size = np.diff(np.r_[np.flatnonzero(new), len(h)])
+    many = np.repeat(size > 1, size)
+    return h[many], k[many], i[many], np.flatnonzero(new[many])
 
 
 def repeated_windows(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -77,7 +80,16 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_i
     residue[list(COVER)] = True
 
     def cover(batches):
-        blobs = Blobs(_SAMPLE)
+        blobs, held, size = Blobs(_SAMPLE), [], 0
+
+        def flush():
+            h, k, i = (np.concatenate(c) for c in zip(*held))
+            th, tk, ti, at = _sorted_groups(h, np.zeros(len(h), np.uint8), k, i)
+            once = ~np.isin(h, th[at])
+            yield from blobs.add(n_sample + spread(mix(tk.view(U)), n_docs), th, tk, ti)  # tied, whatever else there is
+            for rows in ((h[once], k[once], i[once]), (th[at], tk[at], ti[at])):
+                yield from blobs.add(spread(rows[0], n_sample), *rows)
+
         for rb in chunks(batches, most=CHUNK):
             buf, off = utf8(rb.column(2))
             s, e, first = words(buf, off)
@@ -86,15 +98,21 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_i
             p = np.flatnonzero(residue[at % PERIOD] & (left >= short) & (np.repeat(np.diff(first), np.diff(first)) >= length))
             if not len(p):
                 continue
-            h = Spans(word_hashes(buf, s, e))(p, p + short)
-            k = np.repeat(rb.column(0).to_numpy(), np.diff(first))
-            yield from blobs.add(spread(h, n_sample), h, k[p], at[p])
+            held.append((Spans(word_hashes(buf, s, e))(p, p + short), np.repeat(rb.column(0).to_numpy(), np.diff(first))[p], at[p]))
+            size += len(p)
+            if size > ROWS_PER_BUCKET:
+                yield from flush()
+                held, size = [], 0
+        if size:
+            yield from flush()
         yield from blobs.take()
 
     def ties(batches):
         blobs = Blobs(_TIED)
-        for _, held in by_bucket(batches):
-            k, i, _ = _sorted_groups(*unpack(held, _SAMPLE))
+        for bucket, held in by_bucket(batches):
+            h, k, i = unpack(held, _SAMPLE)
+            if bucket < n_sample:
+                _, k, i, _ = _sorted_groups(h, np.zeros(len(h), np.uint8), k, i)
             yield from blobs.add(spread(mix(k.view(U)), n_docs), k, i)
         yield from blobs.take()
 
@@ -103,16 +121,18 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_i
             k, i = unpack(held, _TIED)
             o = np.lexsort((i, k))
             k, i = k[o], i[o]
+            once = np.r_[True, (k[1:] != k[:-1]) | (i[1:] != i[:-1])]
+            k, i = k[once], i[once]
             at = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
             yield pa.RecordBatch.from_arrays([pa.array(k[at]), strings(i.astype("<i4").view(np.uint8), np.r_[at, len(k)] * 4, pa.binary())], ["tk", "tied"])
 
-    tied = in_buckets(in_buckets(d.mapInArrow(cover, Blobs.schema), n_sample).mapInArrow(ties, Blobs.schema), n_docs).mapInArrow(per_doc, "tk bigint, tied binary")
+    tied = in_buckets(in_buckets(d.mapInArrow(cover, Blobs.schema), n_sample + min(n_docs, n_sample)).mapInArrow(ties, Blobs.schema), n_docs).mapInArrow(per_doc, "tk bigint, tied binary")
     tied = cut(tied)
     n_tied = tied.agg(F.sum(F.length("tied"))).first()[0] or 0
     n_block = max(8, n_tied // 4 * PERIOD // len(COVER) // ROWS_PER_BUCKET)
 
     def blocks(batches):
-        blobs = Blobs(_SAMPLE)
+        blobs = Blobs(_WINDOW)
         for rb in chunks(batches, most=CHUNK):
             buf, off = utf8(rb.column(2))
             s, e, first = words(buf, off)
@@ -129,15 +149,16 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_i
             w = np.flatnonzero(np.cumsum(mark)[:-1] > 0)
             if not len(w):
                 continue
-            h = Spans(word_hashes(buf, s, e))(w, w + length)
+            codes = word_hashes(buf, s, e)
+            h, more = Spans(codes)(w, w + length), Spans(mix(codes ^ U(0x5851F42D4C957F2D)))(w, w + length) >> U(32)
             at = w - np.repeat(first[:-1], count)[w]
-            yield from blobs.add(spread(h, n_block), h, np.repeat(rb.column(0).to_numpy(), count)[w], at)
+            yield from blobs.add(spread(h, n_block), h, more, np.repeat(rb.column(0).to_numpy(), count)[w], at)
         yield from blobs.take()
 
     def repeats(batches):
         blobs = Blobs(_SEEN)
         for _, held in by_bucket(batches):
-            k, i, at = _sorted_groups(*unpack(held, _SAMPLE))
+            _, k, i, at = _sorted_groups(*unpack(held, _WINDOW))
             size = np.diff(np.r_[at, len(k)])
             yield from blobs.add(spread(mix(k.view(U)), n_docs), k, i, np.repeat(k[at], size), np.repeat(i[at], size))
         yield from blobs.take()
