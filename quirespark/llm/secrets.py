@@ -1,23 +1,22 @@
-"""Secret scan: all rules in three deterministic automata, each walked once over the bytes.
+"""Secret scan: all rules in one deterministic automaton, walked once over the bytes.
 
 Rules are regular expressions over bytes (literals, classes, groups, alternation,
-``? * + {m,n}``). They are parsed into one non-deterministic automaton, made
-deterministic by subset construction over byte classes, minimised by partition
-refinement, and laid out as one transition array. ``Scanner.hits`` walks that array
-over many stretches of text in step, so numpy does the inner loop. A stretch is first
-walked from the start state; where the stretch before it turns out to end in another
-state, it is walked again from that one, until all agree. So long documents are cut
-without losing a match, whatever its length.
-
-Rules share an automaton only with rules of their ``group``: a token that may begin inside
-another's alphabet (after ``-`` or ``/``) would multiply the states of both.
+``? * + {m,n}``). A rule is a head, which tells it from the others, and a tail. The heads of all
+rules are parsed into one non-deterministic automaton, made deterministic by subset
+construction over byte classes, minimised by partition refinement, and laid out as one
+transition array. (A joint automaton of whole rules has tens of thousands of states, since
+tokens may begin inside each other; of heads it has hundreds and stays in the cache.)
+``Scanner.hits`` walks that array over many stretches of text in step, so numpy does the inner
+loop. A stretch is first walked from the start state; where the stretch before it turns out
+to end in another state, it is walked again from that one, until all agree. So long documents
+are cut without losing a match, whatever its length.
 
 A rule may start with ``before`` (a class that the preceding byte must have) and end
-with ``after``; the edges of a text count as a line end. A hit is where a rule's last
-byte is seen; its start is found by the automaton of the reversed rule, run only at
-hits. What may follow a hit (``rest``: the body and the end of a private key) is found by
-an automaton of its own, run forward only at hits; the longest is taken, and none is as
-good. Of overlapping hits of one rule the earliest-starting, then longest, is kept.
+with ``after``; the edges of a text count as a line end. Where a head's last byte is seen, the
+automaton of the reversed head finds the start and that of the rule's tail, run forward from
+there, the end (the longest; a hit without a tail is none). What may follow a hit (``rest``: the
+body and the end of a private key) is found likewise, and none is as good. Of overlapping hits
+of one rule the earliest-starting, then longest, is kept.
 
 Defined results: null text gives no row and stays null when redacted; equal rows give
 equal rows; an id may be null.
@@ -46,12 +45,16 @@ WIDE = frozenset(OPEN | {ord("-")})
 @dataclass(frozen=True)
 class Rule:
     name: str
-    pattern: str
+    head: str
+    tail: str = ""
     before: frozenset[int] = frozenset(EDGE)
     after: frozenset[int] = frozenset(EDGE)
-    group: int = 0
     rest: str = ""
 
+    @property
+    def pattern(self) -> str:
+        return self.head + self.tail
+
 
 _KEY = r"((RSA|EC|DSA|OPENSSH|PGP|ENCRYPTED) )?PRIVATE KEY( BLOCK)?-----"
 _GAP = r"([ \t\r\n]|\\[nrt])*"  # also line ends written as in JSON
@@ -59,17 +62,17 @@ _GAP = r"([ \t\r\n]|\\[nrt])*"  # also line ends written as in JSON
 _BODY = rf"(([^\-]|-[^\-]|--[^\-]|---[^\-]|----[^\-])*-----END {_KEY}|{_GAP}([A-Za-z\-]+: [^\n\\]*{_GAP})*([A-Za-z0-9+/=]{{16,}}{_GAP})+([A-Za-z0-9+/=]+)?)"
 
 RULES = (
-    Rule("aws_access_key", r"(AKIA|ASIA|AROA|AIDA)[A-Z0-9]{16}", WIDE),
-    Rule("github_token", r"gh[pousr]_[A-Za-z0-9]{36}", WIDE),
-    Rule("gitlab_token", r"glpat-[A-Za-z0-9_\-]{20}", OPEN, group=1),
-    Rule("slack_token", r"xox[abprs]-[A-Za-z0-9\-]{10,}", OPEN, group=1),
-    Rule("google_api_key", r"AIza[A-Za-z0-9_\-]{35}", OPEN, group=1),
-    Rule("stripe_key", r"(sk|rk)_(live|test)_[A-Za-z0-9]{16,}", WIDE),
-    Rule("npm_token", r"npm_[A-Za-z0-9]{36}", WIDE),
-    Rule("json_web_token", r"eyJ[A-Za-z0-9_\-]+\.eyJ[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+", OPEN, group=1),
-    Rule("private_key", rf"-----BEGIN {_KEY}", frozenset(ANY), frozenset(ANY), rest=_BODY),
-    Rule("hex_secret", r"([0-9a-f]{40}|[0-9a-f]{64}|[0-9A-F]{40}|[0-9A-F]{64})", WIDE),
-    Rule("assigned_secret", r"([Pp]assword|PASSWORD|[Ss]ecret|SECRET|[Aa]pi[_\-]?[Kk]ey|API[_\-]?KEY|[Tt]oken|TOKEN)[\"']?[ ]{0,2}[=:][ ]{0,2}[\"']?[A-Za-z0-9_\-+/]{8,}", frozenset(ANY - {*range(65, 91), *range(97, 123)}), frozenset(ANY - {ord(c) for c in "-+/"} - _NAMED["w"]), 2),
+    Rule("aws_access_key", r"(AKIA|ASIA|AROA|AIDA)", r"[A-Z0-9]{16}", WIDE),
+    Rule("github_token", r"gh[pousr]_", r"[A-Za-z0-9]{36}", WIDE),
+    Rule("gitlab_token", r"glpat-", r"[A-Za-z0-9_\-]{20}", OPEN),
+    Rule("slack_token", r"xox[abprs]-", r"[A-Za-z0-9\-]{10,}", OPEN),
+    Rule("google_api_key", r"AIza", r"[A-Za-z0-9_\-]{35}", OPEN),
+    Rule("stripe_key", r"(sk|rk)_(live|test)_", r"[A-Za-z0-9]{16,}", WIDE),
+    Rule("npm_token", r"npm_", r"[A-Za-z0-9]{36}", WIDE),
+    Rule("json_web_token", r"eyJ", r"[A-Za-z0-9_\-]+\.eyJ[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+", OPEN),
+    Rule("private_key", rf"-----BEGIN {_KEY}", "", frozenset(ANY), frozenset(ANY), _BODY),
+    Rule("hex_secret", r"([0-9a-f]{40}|[0-9a-f]{64}|[0-9A-F]{40}|[0-9A-F]{64})", "", WIDE),
+    Rule("assigned_secret", r"([Pp]assword|PASSWORD|[Ss]ecret|SECRET|[Aa]pi[_\-]?[Kk]ey|API[_\-]?KEY|[Tt]oken|TOKEN)[\"']?[ ]{0,2}[=:][ ]{0,2}[\"']?", r"[A-Za-z0-9_\-+/]{8,}", frozenset(ANY - {*range(65, 91), *range(97, 123)}), frozenset(ANY - {ord(c) for c in "-+/"} - _NAMED["w"])),
 )
 
 
@@ -260,27 +263,31 @@ def determinise(nfa: Nfa, start: int, accept: dict[int, int]) -> tuple[np.ndarra
     return cls, block[tr[pick]].astype(np.int32), acc[pick]
 
 
+def _forward(tree) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Automaton of a tree that starts where it is put, and its dead state."""
+    nfa = Nfa()
+    z = nfa.new()
+    cls, tr, acc = determinise(nfa, z, {nfa.add(tree, z): 0})
+    return cls, tr, acc, next((q for q in range(len(acc)) if not acc[q] and (tr[q] == q).all()), -1)
+
+
 class Scanner:
-    """Compiled rules of one group; made once on the driver and sent to the executors as arrays."""
+    """Compiled rules; made once on the driver and sent to the executors as arrays."""
 
     def __init__(self, rules: tuple[Rule, ...] = RULES):
         self.names = [r.name for r in rules]
         nfa, accept = Nfa(), {}
         start = nfa.new()
         nfa.step[start].append((frozenset(ANY), start))
-        self.back, self.rest = [], []
+        self.back, self.tail, self.rest = [], [], []
         for i, r in enumerate(rules):
-            tree = parse(r.pattern)
+            tree = parse(r.head)
             s = nfa.new()
             nfa.free[start].append(s)
-            accept[nfa.add(("cat", [("set", r.before), tree, ("set", r.after)]), s)] = i
-            b = Nfa()
-            z = b.new()
-            self.back.append(determinise(b, z, {b.add(("cat", [reverse(tree), ("set", r.before)]), z): 0}))
-            b = Nfa()
-            z = b.new()
-            self.rest.append(determinise(b, z, {b.add(parse(r.rest), z): 0}) if r.rest else None)
-        self.dead = [next((q for q in range(len(acc)) if not acc[q] and (tr[q] == q).all()), -1) for _, tr, acc in self.back]
+            accept[nfa.add(("cat", [("set", r.before), tree]), s)] = i
+            self.back.append(_forward(("cat", [reverse(tree), ("set", r.before)])))
+            self.tail.append(_forward(("cat", [parse(r.tail), ("set", r.after)])))
+            self.rest.append(_forward(parse(r.rest)) if r.rest else None)
         cls, tr, acc = determinise(nfa, start, accept)
         self.cls, self.k, self.acc = cls, tr.shape[1], acc
         self.table = (tr * self.k).reshape(-1)  # next state, already multiplied
@@ -322,68 +329,53 @@ class Scanner:
             todo = np.flatnonzero(want != begin)
             begin = want
         found = sorted((i * stretch + t, bits) for i, x in hit.items() for t, bits in x)
-        out = []
+        out, last = [], {}
         for e, bits in found:
             if e >= n:
                 continue
             d = int(np.searchsorted(fo, e, side="right")) - 1
+            text = buf[off[docs[d]] : off[docs[d] + 1]]
+            head_end = e - int(fo[d])  # in the document; the frame's line end comes before it
             while bits:
                 r = (bits & -bits).bit_length() - 1
                 bits &= bits - 1
-                cls, tr, acc = self.back[r]
-                s, best, p = 0, -1, e - 1
-                raw = self._raw(buf, off, docs[d], int(fo[d]))
-                dead = self.dead[r]
-                while p >= fo[d] and s != dead:
-                    s = tr[s, cls[raw(p)]]
-                    if acc[s]:
-                        best = p + 1
-                    p -= 1
-                if best >= 0:
-                    end_at = e - int(fo[d]) - 1
-                    if self.rest[r]:
-                        end_at += self._on(self.rest[r], buf[off[docs[d]] + end_at : off[docs[d] + 1]])
-                    out.append((int(docs[d]), r, best - int(fo[d]) - 1, end_at))
+                begin_at = head_end - self._longest(self.back[r], text[:head_end][::-1], 1)
+                known = last.get((d, r))
+                if begin_at > head_end or known and known[0] != begin_at < known[1]:
+                    continue  # inside a hit of the rule
+                end_at = head_end + self._longest(self.tail[r], text[head_end:], 1)
+                if end_at < head_end:
+                    continue
+                if self.rest[r]:
+                    end_at += max(0, self._longest(self.rest[r], text[end_at:], 0))
+                last[d, r] = begin_at, end_at
+                out.append((int(docs[d]), r, begin_at, end_at))
         return _leftmost(out)
 
     @staticmethod
-    def _on(rest: tuple[np.ndarray, np.ndarray, np.ndarray], text: np.ndarray) -> int:
-        """Length of the longest match of the automaton at the start of the text, or 0."""
-        cls, tr, acc = rest
-        dead = next((q for q in range(len(acc)) if not acc[q] and (tr[q] == q).all()), -1)
-        s, best = 0, 0
-        for p, c in enumerate(cls[text].tolist()):
-            s = tr[s, c]
-            if acc[s]:
-                best = p + 1
-            elif s == dead:
-                break
-        return best
-
-    @staticmethod
-    def _raw(buf: np.ndarray, off: np.ndarray, doc: int, base: int):
-        lo, n = int(off[doc]), int(off[doc + 1] - off[doc])
-        return lambda p: int(buf[lo + p - base - 1]) if 0 < p - base <= n else 10
-
-
-class Scanners:
-    """A scanner for each group of the rules."""
-
-    def __init__(self, rules: tuple[Rule, ...] = RULES):
-        self.names = [r.name for r in rules]
-        by: dict[int, list[int]] = {}
-        for i, r in enumerate(rules):
-            by.setdefault(r.group, []).append(i)
-        self.parts = [(at, Scanner(tuple(rules[i] for i in at))) for at in by.values()]
-
-    def hits(self, buf: np.ndarray, off: np.ndarray, stretch: int = 512) -> list[tuple[int, int, int, int]]:
-        """(document, rule, start, end) with byte offsets within the document."""
-        return sorted((d, at[r], s, e) for at, scanner in self.parts for d, r, s, e in scanner.hits(buf, off, stretch))
+    def _longest(auto: tuple[np.ndarray, np.ndarray, np.ndarray, int], text: np.ndarray, edge: int) -> int:
+        """Length of the longest match at the start of the text, or -1; with ``edge`` its last byte is what borders it, a line end at the text's end, and isn't counted."""
+        cls, tr, acc, dead = auto
+        s, best, at, step = 0, -1, 0, 128
+        if acc[0]:
+            best = 0
+        while s != dead and at < len(text):
+            for c in cls[text[at : at + step]].tolist():
+                s = tr[s, c]
+                at += 1
+                if acc[s]:
+                    best = at
+                elif s == dead:
+                    return best - edge if best >= 0 else -1
+            step *= 2
+        if edge and s != dead and acc[tr[s, cls[10]]]:
+            best = len(text) + 1
+        return best - edge if best >= 0 else -1
 
 
 @functools.lru_cache(4)
-def compiled(rules: tuple[Rule, ...] = RULES) -> Scanners:
-    return Scanners(rules)
+def compiled(rules: tuple[Rule, ...] = RULES) -> Scanner:
+    return Scanner(rules)
 
 
 def _leftmost(found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
