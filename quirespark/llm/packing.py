@@ -2,12 +2,14 @@
 
 Documents are cut into pieces of at most ``capacity`` tokens; pieces are packed into
 bins of ``capacity``. Only the histogram of piece lengths (at most ``capacity``
-entries, whatever the corpus) reaches the driver. There every length, from long to
-short, looks up its exact complement as a single length, a pair sum and a triple sum;
-a found combination is consumed as often as the counts allow. What no combination
+entries, whatever the corpus) reaches the driver. There single lengths, pair sums and
+triple sums are indexed, each sum with a combination that makes it. Every length, from long
+to short, looks up its exact complement in the three; a combination is consumed as often as
+the counts allow, and replaced in the index when a length of it has run out. What no combination
 fills goes through best-fit decreasing, again a whole count at a time. The outcome is
 a list of patterns with multiplicities, which the executors turn into places: a
-piece's ordinal among the pieces of its length selects pattern, bin and offset.
+piece's ordinal among the pieces of its length selects pattern, bin and offset. Ordinals
+are counted in shares of a length of about ``SHARE`` pieces, so that a hot length is no single task.
 
 Defined results: null or empty text has no piece and no row; equal rows are packed
 once each; a null id stays null in the output; an empty table gives no row.
@@ -21,56 +23,81 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import key_of, record
+from .common import cut, key_of, record
 
 CAPACITY = 2048
-SALTS = 64
+SHARE = 1 << 20
 
 
 def _most(cnt: np.ndarray, pattern: tuple[int, ...]) -> int:
     return min(int(cnt[x]) // pattern.count(x) for x in pattern)
 
 
+class Sums:
+    """Which single lengths, pairs and triples make a sum, of lengths of which pieces are left."""
+
+    def __init__(self, cnt: np.ndarray):
+        self.cnt, top = cnt, len(cnt)
+        lengths = np.flatnonzero(cnt)
+        # The larger part of a pair, the largest of a triple; 0 where there is none.
+        self.two, self.three = np.zeros(top, np.int64), np.zeros(top, np.int64)
+        for a in lengths.tolist():
+            b = lengths[(lengths <= a) & (lengths + a < top)]
+            self.two[a + b] = a
+        for a in lengths.tolist():
+            b = np.flatnonzero(self.two[: top - a])
+            self.three[a + b] = a
+
+    def pair(self, total: int, used: tuple[int, ...]) -> tuple[int, int] | None:
+        a = int(self.two[total])
+        if not a:
+            return None
+        if _most(self.cnt, (*used, a, total - a)):
+            return a, total - a
+        x = np.arange(total - 1, (total - 1) // 2, -1)
+        x = x[(self.cnt[x] > 0) & (self.cnt[total - x] > 0)]
+        for a in x.tolist():
+            if _most(self.cnt, (*used, a, total - a)):
+                self.two[total] = a
+                return a, total - a
+        if not len(x):
+            self.two[total] = 0  # lengths only ever run out
+        return None
+
+    def triple(self, total: int, used: tuple[int, ...]) -> tuple[int, int, int] | None:
+        a = int(self.three[total])
+        if not a:
+            return None
+        if self.cnt[a] and (p := self.pair(total - a, (*used, a))):
+            return (a, *p)
+        x = np.arange(total - 2, 0, -1)
+        for a in x[(self.cnt[x] > 0) & (self.two[total - x] > 0)].tolist():
+            if p := self.pair(total - a, (*used, a)):
+                self.three[total] = a
+                return (a, *p)
+        if not ((self.cnt[x] > 0) & (self.two[total - x] > 0)).any():
+            self.three[total] = 0
+        return None
+
+
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """Patterns (piece lengths of a bin, long to short) and how many bins have each."""
     cnt = np.zeros(capacity + 1, np.int64)
     for n, c in counts.items():
         cnt[n] += c
     out: list[tuple[tuple[int, ...], int]] = []
-    # Lengths only ever run out, so an index of pair sums made once stays a superset; sums that fail are struck.
-    have = cnt > 0
-    pair_sum = np.convolve(have.astype(np.int32), have.astype(np.int32))[: capacity + 1] > 0
-
-    def pair(total: int, used: tuple[int, ...], largest: int) -> tuple[int, int] | None:
-        a = np.arange(min(total - 1, largest), (total - 1) // 2, -1)
-        if not len(a):
-            return None
-        for i in np.flatnonzero((cnt[a] > 0) & (cnt[total - a] > 0)):
-            p = (int(a[i]), total - int(a[i]))
-            if _most(cnt, (*used, *p)):
-                return p
-        return None
-
+    sums = Sums(cnt)
     left: dict[int, int] = {}
     for n in range(capacity, 0, -1):
         while cnt[n]:
-            gap, found = capacity - n, None
+            gap = capacity - n
             if not gap:
                 found = (n,)
             elif cnt[gap] and _most(cnt, (n, gap)):
                 found = (n, gap)
-            elif pair_sum[gap] and (p := pair(gap, (n,), capacity)):
+            elif p := sums.pair(gap, (n,)) or sums.triple(gap, (n,)):
                 found = (n, *p)
             else:
-                big = np.arange(min(gap - 2, n), (gap + 2) // 3 - 1, -1)
-                if len(big):
-                    for a in big[(cnt[big] > 0) & pair_sum[gap - big]]:
-                        if p := pair(gap - int(a), (n, int(a)), int(a)):
-                            found = (n, int(a), *p)
-                            break
-                        if not (cnt[: gap - a + 1] * cnt[: gap - a + 1][::-1]).any():
-                            pair_sum[gap - a] = False
-            if not found:
                 left[n] = int(cnt[n])
                 cnt[n] = 0
                 break
@@ -133,25 +160,27 @@ class Places:
 _OUT = pa.schema([("bin_id", pa.int64()), ("slot", pa.int32()), ("bin_offset", pa.int32()), ("doc_id", pa.int64()), ("piece_no", pa.int32()), ("piece_start", pa.int64()), ("n_tokens", pa.int32())])
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, n_tokens: Column | None = None) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, n_tokens: Column | None = None, share: int = SHARE) -> DataFrame:
     """One row per piece: bin_id, slot, bin_offset, doc_id, piece_no, piece_start, n_tokens.
 
-    ``n_tokens`` is the length of a row in tokens; by default its words.
+    ``n_tokens`` is the length of a row in tokens; by default one for each run without white space.
     """
     n = n_tokens if n_tokens is not None else F.regexp_count(F.col(text_col), F.lit(r"\S+"))
-    d = docs.select(key_of(id_col, text_col).alias("k"), F.col(id_col).cast("bigint").alias("id"), F.coalesce(n, F.lit(0)).cast("bigint").alias("n")).where("n > 0")
+    d = cut(docs.select(key_of(id_col, text_col).alias("k"), F.col(id_col).cast("bigint").alias("id"), F.coalesce(n, F.lit(0)).cast("bigint").alias("n")).where("n > 0"))
     pieces = d.select("k", "id", "n", F.explode(F.sequence(F.lit(0), F.expr(f"cast((n - 1) div {capacity} as int)"))).alias("piece")).select(
-        "k", "id", "piece", F.least(F.lit(capacity), F.col("n") - F.col("piece").cast("bigint") * capacity).cast("int").alias("len"), F.expr(f"pmod(xxhash64(k, piece), {SALTS})").cast("int").alias("salt")
+        "k", "id", "piece", F.least(F.lit(capacity), F.col("n") - F.col("piece").cast("bigint") * capacity).cast("int").alias("len")
     )
-    # Ordinals within a length: a row number in each salt, so that a hot length is no single task, behind the salts before it.
-    ranked = pieces.withColumn("rn", F.row_number().over(Window.partitionBy("len", "salt").orderBy("k", "piece")) - 1)
-    tally = [(r.len, r.salt, r.n) for r in pieces.groupBy("len", "salt").agg(F.count("*").alias("n")).collect()]  # at most capacity * SALTS rows
-    base = np.zeros((capacity + 1, SALTS), np.int64)
-    for length, salt, c in tally:
-        base[length, salt] = c
-    counts = base.sum(1)
+    counts = {r.len: r.n for r in pieces.groupBy("len").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
+    shares = docs.sparkSession.createDataFrame([(x, -(-c // share)) for x, c in counts.items()], "len int, shares int")
+    pieces = pieces.join(F.broadcast(shares), "len").select("k", "id", "piece", "len", F.expr("cast(pmod(xxhash64(k, piece), shares) as int)").alias("part"))
+    # Ordinals within a length: a row number in each share, behind the shares before it.
+    ranked = pieces.withColumn("rn", F.row_number().over(Window.partitionBy("len", "part").orderBy("k", "piece")) - 1)
+    base = np.zeros((capacity + 1, max([1, *(-(-c // share) for c in counts.values())])), np.int64)
+    if base.shape[1] > 1:
+        for r in pieces.groupBy("len", "part").agg(F.count("*").alias("n")).collect():  # at most capacity + pieces / share rows
+            base[r.len, r.part] = r.n
     base = np.cumsum(base, 1) - base
-    places = Places(plan({int(x): int(counts[x]) for x in np.flatnonzero(counts)}, capacity))
+    places = Places(plan(counts, capacity))
 
     def place(batches):
         for rb in batches:
@@ -159,7 +188,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
                 continue
             c = {f: rb.column(i).to_numpy(zero_copy_only=False) for i, f in enumerate(rb.schema.names) if f != "id"}
             length = c["len"].astype(np.int64)
-            b, slot, at = places(length, c["rn"].astype(np.int64) + base[length, c["salt"]])
+            b, slot, at = places(length, c["rn"].astype(np.int64) + base[length, c["part"]])
             yield record(_OUT, b, slot.astype(np.int32), at.astype(np.int32), rb.column(rb.schema.get_field_index("id")), c["piece"].astype(np.int32), c["piece"].astype(np.int64) * capacity, length.astype(np.int32))
 
     return ranked.mapInArrow(place, "bin_id bigint, slot int, bin_offset int, doc_id bigint, piece_no int, piece_start bigint, n_tokens int")

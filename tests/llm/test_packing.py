@@ -1,6 +1,7 @@
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from quirespark.llm import packing
@@ -30,6 +31,46 @@ def test_exact_complements_are_found():
         assert sum(m for _, m in p) == bins and all(sum(x) == 10 for x, _ in p)
 
 
+def least_bins(pieces, capacity):
+    """The optimum, by trying every bin for every piece."""
+    best = [len(pieces)]
+
+    def put(i, gaps):
+        if len(gaps) >= best[0] and i < len(pieces) or len(gaps) > best[0]:
+            return
+        if i == len(pieces):
+            best[0] = len(gaps)
+            return
+        for g in sorted(set(gaps)):
+            if g >= pieces[i]:
+                rest = list(gaps)
+                rest.remove(g)
+                put(i + 1, [*rest, g - pieces[i]])
+        put(i + 1, [*gaps, capacity - pieces[i]])
+
+    put(0, [])
+    return best[0]
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_small_cases_against_the_optimum(seed):
+    g = random.Random(seed)
+    pieces = sorted((g.randrange(1, 13) for _ in range(g.randrange(1, 10))), reverse=True)
+    got = packing.plan(Counter(pieces), 12)
+    valid(Counter(pieces), got, 12)
+    assert sum(m for _, m in got) <= least_bins(pieces, 12) + 1
+
+
+def test_sums_are_indexed():
+    cnt = np.zeros(41, np.int64)
+    cnt[[3, 7, 11, 20]] = (2, 1, 1, 1)
+    s = packing.Sums(cnt)
+    have = [3, 7, 11, 20]
+    pairs = {a + b for a in have for b in have if a + b <= 40}
+    assert set(np.flatnonzero(s.two).tolist()) == pairs and set(np.flatnonzero(s.three).tolist()) == {a + b for a in have for b in pairs if a + b <= 40}
+    assert s.pair(14, ()) == (11, 3) and s.pair(14, (11,)) is None and s.triple(17, ()) == (11, 3, 3) and s.triple(17, (3,)) is None
+
+
 def test_no_worse_than_best_fit_decreasing():
     g = random.Random(9)
     counts = Counter(min(200, int(g.lognormvariate(3.5, 0.8)) + 1) for _ in range(3000))
@@ -47,6 +88,9 @@ def test_no_worse_than_best_fit_decreasing():
 def test_places_of_all_pieces(spark, odd, nothing):
     docs = spark.createDataFrame([(i, "w " * random.Random(i).randrange(0, 300)) for i in range(400)] + [(500, "w " * 1000), (501, None), (502, ""), (None, "a b c"), (503, "x y"), (503, "x y")], "doc_id bigint, text string")
     rows = packing.pack(docs.repartition(4), capacity=128).collect()
+    assert sorted(map(tuple, packing.pack(docs, capacity=128).drop("bin_id", "slot", "bin_offset").collect()), key=str) == sorted(map(tuple, packing.pack(docs, capacity=128, share=3).drop("bin_id", "slot", "bin_offset").collect()), key=str)
+    few = packing.pack(docs, capacity=128, share=3)
+    assert few.select("bin_id", "slot").distinct().count() == few.count() == len(rows)
     bins, pieces = defaultdict(list), defaultdict(list)
     for r in rows:
         bins[r.bin_id].append((r.bin_offset, r.n_tokens, r.slot))
