@@ -10,7 +10,8 @@ FOREIGN = sorted({"aan", "alla", "alle", "ao", "auch", "auf", "aus", "aux", "ave
 SHARE = 0.06
 IMAGE = r"!\[[^\]]*\]\([^)]*\)"
 #: Letters of Greek, Cyrillic, Hebrew, Arabic, Thai, Kana, CJK and Hangul.
-OTHER = r"[\p{L}&&[Ͱ-ϿЀ-ԯ֐-׿؀-ۿ฀-๿぀-ヿ㐀-鿿가-힯豈-﫿]]"
+OTHER_RANGE = "[Ͱ-ϿЀ-ԯ֐-׿؀-ۿ฀-๿぀-ヿ㐀-鿿가-힯豈-﫿]"
+OTHER = rf"[\p{{L}}&&{OTHER_RANGE}]"
 
 
 def non_english(text: Column) -> Column:
@@ -21,6 +22,6 @@ def non_english(text: Column) -> Column:
     count = lambda known: F.size(F.filter(words, lambda w: w.isin(*known)))
     n = F.size(words)
     return (
-        F.when(letters < 12, False).when(other / letters > 0.3, True).when((letters < 30) | (n < 20), False)
-        .when(count(ENGLISH) / n >= SHARE, False).otherwise(count(FOREIGN) / n >= SHARE)
+        F.when(letters < 12, False).when(other > 0.3 * letters, True).when((letters < 30) | (n < 20), False)
+        .when(count(ENGLISH) >= SHARE * n, False).otherwise(count(FOREIGN) >= SHARE * n)
     )

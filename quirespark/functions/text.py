@@ -76,9 +76,18 @@ def unescape_underscores(c: Column) -> Column:
     return F.replace(c, F.lit("\\_"), F.lit("_"))
 
 
+CROSS_REF = r"\[?([A-Za-z][^\]]{1,80})\]?\(#(page-\d+-\d+)\)"
+
+
 def repair_cross_ref(c: Column) -> Column:
-    """``Se[e Foo](#page-1-2)`` to ``[See Foo](#page-1-2)``; a bracket behind a space is healthy."""
-    return sub(c, r"\[?([A-Za-z](?:[^\]\[]{0,79}[^\]\[ ])?)\[([^\]\[]{0,79})\]\(#(page-\d+-\d+)\)", "[$1$2](#$3)")
+    """``Se[e Foo](#page-1-2)`` to ``[See Foo](#page-1-2)``: a label loses the brackets inside it, unless a space stands before the first."""
+    cut = F.split(sub(c, f"({CROSS_REF})", "\u0001\u0002$1\u0001"), "\u0001")
+
+    def one(m: Column) -> Column:
+        label, anchor = F.regexp_extract(m, CROSS_REF, 1), F.regexp_extract(m, CROSS_REF, 2)
+        return F.when(~F.contains(label, F.lit("[")) | label.rlike(r"^[^\[]* \["), m).otherwise(F.concat(F.lit("["), F.replace(label, F.lit("["), F.lit("")), F.lit("](#"), anchor, F.lit(")")))
+
+    return F.array_join(F.transform(cut, lambda p: F.when(F.startswith(p, F.lit("\u0002")), one(F.substring(p, 2, 1 << 30))).otherwise(p)), "")
 
 
 def promote_numbered(line: Column) -> Column:
@@ -223,26 +232,50 @@ def clean_label(stem: Column) -> Column:
     return strip(sub(sub(stem, r"[_-]+", " "), r"\s+", " "))
 
 
-def file_slug(name: Column) -> Column:
-    """Lower-case stem of letters, digits and dollar signs joined by hyphens; ``section`` when nothing is left; 200 characters at most."""
-    c = sub(sub(F.lower(name), r"[^\p{L}\p{N}$]+", "-"), r"^-+|-+$")
-    return F.when(c == "", F.lit("section")).otherwise(F.substring(c, 1, 200))
+LINK = r"\[([^\]]+)\]\([^)]+\)"
 
 
 def strip_links(name: Column) -> Column:
-    """``[a](b)`` to ``a``, for links up to three deep."""
-    for _ in range(3):
-        name = sub(name, r"\[([^\[\]]*)\]\([^()]*\)", "$1")
-    return name
+    """``[a](b)`` to ``a``, inner links too: a pass takes one link of each nest at least, so there are as many passes as ends of links."""
+    ends = F.regexp_count(name, F.lit(r"\]\("))
+    return F.when(ends > 0, F.aggregate(F.sequence(F.lit(1), ends), name, lambda c, _: sub(c, LINK, "$1"))).otherwise(name)
+
+
+def path_slug(name: Column) -> Column:
+    """Lower-case letters, digits and dollar signs, all else a hyphen."""
+    return sub(sub(F.lower(name), r"[^\p{L}\p{N}$]+", "-"), r"^-+|-+$")
+
+
+def file_slug(name: Column) -> Column:
+    """Stem of a section's file: its name without links as a slug, ``section`` when nothing is left, 200 characters at most."""
+    c = path_slug(strip_links(name))
+    return F.when(c == "", F.lit("section")).when(F.length(c) > 200, sub(F.substring(c, 1, 200), r"^-+|-+$")).otherwise(c)
 
 
 def crumb(name: Column) -> Column:
-    c = strip(sub(sub(strip_links(name), r"[\[\]()|<>`]"), r"\s+", " "))
-    return F.when(F.length(c) > 50, F.concat(rstrip(F.substring(c, 1, 49)), F.lit("…"))).otherwise(c)
+    """A name as a link's label: without what would break the link or a table, 50 characters at most."""
+    c = strip(sub(sub(name, r"[|\[\]()<>\\\n\r\t]+", " "), r"\s+", " "))
+    return F.when(F.length(c) > 50, F.concat(rstrip(F.substring(c, 1, 50)), F.lit("…"))).otherwise(c)
+
+
+def json_value(c: Column, array: bool = False) -> Column:
+    """A value, or a list of texts, as JSON."""
+    one = lambda x: sub(F.to_json(F.array(x)), r"^\[|\]$")
+    return F.concat(F.lit("["), F.array_join(F.transform(c, one), ", "), F.lit("]")) if array else one(c)
+
+
+def frontmatter(lists: tuple[str, ...] = (), **fields: Column) -> Column:
+    """YAML block of JSON values in the given order; null fields are left out, and without any field there is no block."""
+    rows = [F.when(c.isNotNull(), F.concat(F.lit(f"{k}: "), json_value(c, k in lists))) for k, c in fields.items()]
+    body = F.concat_ws("\n", *rows)
+    return F.when(body == "", F.lit("")).otherwise(F.concat(F.lit("---\n"), body, F.lit("\n---\n\n")))
+
+
+def provenance(source_type: Column, source_label: Column, source_file: Column) -> Column:
+    """Front matter of where a text is from, if a type or a label is known."""
+    return F.when(source_type.isNull() & source_label.isNull(), F.lit("")).otherwise(frontmatter(source_type=source_type, source_label=source_label, source_file=source_file))
 
 
-def frontmatter(**fields: Column) -> Column:
-    """YAML block of JSON values in the given order; null fields are left out."""
-    value = lambda c: F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
-    rows = [F.when(c.isNotNull(), F.concat(F.lit(f"{k}: "), value(c))) for k, c in fields.items()]
-    return F.concat_ws("\n", F.lit("---"), *rows, F.lit("---"))
+def source_id(name: Column) -> Column:
+    """Slug of a file's stem, ASCII only."""
+    return sub(sub(F.lower(sub(sub(name, r"^.*/"), r"\.[^.]*$")), r"[^a-z0-9]+", "-"), r"^-+|-+$")

@@ -1,7 +1,9 @@
 """Lines to sections: headings, bodies, parents, what is kept, breadcrumbs, files.
 
-A document's lines stay in one partition: parsing is one exchange on doc_id, parents of
-numbered headings one equi-join on (doc_id, number). No document is ever collected.
+A document's lines stay in one partition: parsing is one exchange on doc_id, and all that
+follows keeps that partitioning. Sections tell their ancestors (``told``) or look them up in
+arrays of their document by number, so nothing is joined with itself. A document is at most one
+row of arrays, so it must fit a task's memory; the corpus need not.
 """
 
 from __future__ import annotations
@@ -10,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import crumb, file_slug, is_toc_phantom, strip, strip_links
+from ..functions.language import non_english
+from ..functions.text import crumb, file_slug, frontmatter, is_toc_phantom, path_slug, slug, strip, strip_links
 from .lines import upto, whole
 
 ANY = r"^(#{1,6})\s+(.+?)\s*$"
@@ -124,13 +127,14 @@ def find_parents(sections: DataFrame) -> DataFrame:
     near = lambda extra: F.greatest(F.lit(None).cast("int"), *[F.when(F.col("level") > k, F.last(F.when((F.col("level") == k) & real & extra, F.col("sec_no")), ignorenulls=True).over(w)) for k in range(1, 6)])
     df = sections.withColumn("by_level", near(F.lit(True))).withColumn("by_plain", near(F.col("number").isNull()))
     df = df.withColumn("prefix", F.when(F.contains("number", F.lit(".")), F.regexp_replace("number", r"\.\d+$", "")))
-    up = sections.where("number is not null").select(F.col("doc_id").alias("d"), F.col("number").alias("n"), F.col("sec_no").alias("s"), F.col("level").alias("l"))
-    # One row per section again: the latest ancestor wins.
-    seekers = df.where("prefix is not null").select("doc_id", "sec_no", "level", "prefix")
-    found = seekers.join(up, (seekers.doc_id == up.d) & (seekers.prefix == up.n) & (up.s < seekers.sec_no) & (up.l < seekers.level)).groupBy("doc_id", "sec_no").agg(F.max("s").alias("by_prefix"))
-    df = df.join(found, ["doc_id", "sec_no"], "left")
+    # Each section is there as one that seeks its prefix and as one that has a number; the latest above a seeker that has its prefix wins.
+    both = F.array(F.struct(F.col("prefix").alias("key"), F.lit(False).alias("has")), F.struct(F.col("number").alias("key"), F.lit(True).alias("has")))
+    df = df.select("*", F.explode(F.filter(both, lambda x: ~x["has"] | x["key"].isNotNull())).alias("x"))
+    k = Window.partitionBy("doc_id", "x.key").orderBy("sec_no", "x.has").rowsBetween(Window.unboundedPreceding, -1)
+    found = F.greatest(F.lit(None).cast("int"), *[F.when(F.col("level") > n, F.last(F.when((F.col("level") == n) & F.col("x.has"), F.col("sec_no")), ignorenulls=True).over(k)) for n in range(1, 6)])
+    df = df.withColumn("by_prefix", found).where(~F.col("x.has"))
     parent = F.when(F.col("preamble") == 1, F.lit(None)).when(F.col("number").isNull(), F.col("by_level")).when(F.col("prefix").isNull(), F.col("by_plain")).otherwise(F.col("by_prefix"))
-    return df.withColumn("parent_sec_no", parent.cast("int")).drop("by_level", "by_plain", "by_prefix", "prefix")
+    return df.withColumn("parent_sec_no", parent.cast("int")).drop("by_level", "by_plain", "by_prefix", "prefix", "x")
 
 
 def body_chars(body: Column) -> Column:
@@ -138,85 +142,267 @@ def body_chars(body: Column) -> Column:
     return F.length(strip(F.array_join(F.filter(body, lambda x: ~strip(x).rlike(PAGE_ANCHOR)), "\n")))
 
 
+NAV_LINE = r"^\s*(?:[-*+]\s+)?\[[^\]]+\]\([^)\s]*\)\s*$"
+
+
 def is_nav_list(body: Column) -> Column:
     """At least two lines that are links, and four fifths of all that aren't blank."""
     lines = F.filter(body, lambda x: strip(x) != "")
-    links = F.size(F.filter(lines, lambda x: x.rlike(r"^\s*(?:[-*+]|\d+\.)?\s*\[[^\]]+\]\([^)]*\)\s*$")))
-    return (links >= 2) & (links / F.size(lines) >= 0.8)
+    links = F.size(F.filter(lines, lambda x: x.rlike(NAV_LINE)))
+    return (links >= 2) & (links >= 0.8 * F.size(lines))
+
+
+def is_phantom() -> Column:
+    return is_toc_phantom(display_name(F.col("number"), F.col("title")))
 
 
 def drop_toc_phantoms(sections: DataFrame) -> DataFrame:
-    return sections.where(~is_toc_phantom(display_name(F.col("number"), F.col("title"))))
+    return sections.where(~is_phantom())
+
+
+def is_shell() -> Column:
+    """A heading above the split's depth without a text of its own: an ancestor, but no file."""
+    return (F.col("ancestor_only") == 1) & ~F.exists("body", lambda x: strip(x) != "")
+
+
+def _rows_of(sections: DataFrame, order: str = "sec_no") -> DataFrame:
+    """(doc_id, secs): a document's sections as one array in their order, and back with ``inline``."""
+    rest = [c for c in sections.columns if c not in ("doc_id", order)]
+    return sections.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(order, *rest)), lambda a, b: a[order] - b[order]).alias("secs"))
 
 
 def ancestors(sections: DataFrame, rounds: int = 8) -> DataFrame:
-    """Adds ``path``: the sec_no of every ancestor, root first. A parent is less deep than its child, so eight steps reach every root."""
-    # Parents of a document as one map beside its sections: the chain is walked without a join per level.
-    up = sections.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("sec_no", F.coalesce("parent_sec_no", F.lit(-1))))).alias("up"))
-    start = F.when(F.col("parent_sec_no").isNotNull(), F.array("parent_sec_no")).otherwise(F.array().cast("array<int>"))
+    """Adds ``path``: the sec_no of every ancestor, root first, lists of links left out; and ``open``: those of them up to the first that is no file of its own (a phantom or a shell). A parent is less deep than its child, so eight steps reach every root."""
+    flags = sections.withColumn("nav", is_nav_list(F.col("body")) & ~is_phantom()).withColumn("blocked", is_phantom() | is_shell())
+    d = _rows_of(flags).withColumn("base", F.element_at("secs", 1)["sec_no"])
+    at = lambda n: F.get("secs", n - F.col("base"))  # noqa: E731  # numbers of a document have no gap
+
+    def path(x: Column) -> Column:
+        def climb(p: Column, _: Column) -> Column:
+            top = at(F.get(p, F.lit(0)))["parent_sec_no"]
+            return F.when(top.isNotNull(), F.concat(F.array(top), p)).otherwise(p)
+
+        start = F.when(x["parent_sec_no"].isNotNull(), F.array(x["parent_sec_no"])).otherwise(F.array().cast("array<int>"))
+        return F.filter(F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, climb), lambda n: ~at(n)["nav"])
+
+    d = d.withColumn("paths", F.transform("secs", path))
+    opened = lambda p: F.aggregate(p, F.array().cast("array<int>"), lambda a, n: F.when(at(n)["blocked"], F.array().cast("array<int>")).otherwise(F.concat(a, F.array(n))))
+    row = F.zip_with("secs", "paths", lambda x, p: F.struct(*[x[c].alias(c) for c in flags.columns if c != "doc_id"], p.alias("path"), opened(p).alias("open")))
+    return d.select("doc_id", F.inline(row))
 
-    def climb(path, _):
-        top = F.coalesce(F.try_element_at(F.col("up"), F.get(path, F.lit(0))), F.lit(-1))
-        return F.when(top >= 0, F.concat(F.array(top), path)).otherwise(path)
 
-    df = sections.join(up, "doc_id").withColumn("path", F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, climb))
-    return df.drop("up")
+def told(rows: DataFrame, to: Column, value: Column, name: str, how=F.max) -> DataFrame:
+    """Rows with ``name``: what is said to them, put together; each row says ``value`` to the sections of its document that ``to`` lists. One window of the partitioning there is, no join."""
+    own = F.struct(*[F.col(c) for c in rows.columns if c not in ("doc_id", "sec_no")])
+    to_all = rows.select("doc_id", F.col("sec_no").alias("me"), own.alias("r"), value.alias("v"), to.alias("to"))
+    said = F.concat(F.array(F.struct(F.col("me").alias("sec_no"), F.col("r"), F.lit(None).cast(to_all.schema["v"].dataType).alias("v"))), F.transform("to", lambda n: F.struct(n.alias("sec_no"), F.lit(None).cast(to_all.schema["r"].dataType).alias("r"), F.col("v"))))
+    df = to_all.select("doc_id", F.inline(said)).withColumn(name, how("v").over(Window.partitionBy("doc_id", "sec_no")))
+    return df.where("r is not null").select("doc_id", "sec_no", "r.*", name)
 
 
 def keep_sections(sections: DataFrame, min_body: int = MIN_BODY) -> DataFrame:
-    """Sections with a body of enough characters, or with a kept descendant; needs ``path``."""
-    real = sections.withColumn("real", body_chars(F.col("body")) >= min_body)
-    needed = real.where("real").select("doc_id", F.explode(F.concat("path", F.array("sec_no"))).alias("sec_no")).distinct()
-    return real.drop("real").join(needed, ["doc_id", "sec_no"], "left_semi")
+    """Sections with a body of enough characters, or with a kept descendant up to which all are files; needs ``path`` and ``open``."""
+    real = (body_chars(F.col("body")) >= min_body) & ~F.col("blocked")
+    rows = told(sections, F.when(real, F.concat("open", F.array("sec_no"))).otherwise(F.array().cast("array<int>")), F.lit(1), "kept")
+    return rows.where("kept = 1").drop("kept")
+
+
+def english_sections(sections: DataFrame) -> DataFrame:
+    """Sections outside of every subtree that is not English; needs ``path``. A subtree's text is that of its sections in their order, phantoms left out."""
+    text = F.concat(heading_line(), F.lit("\n"), F.array_join("body", "\n"))
+    rows = told(sections.where(~is_phantom()), F.concat("path", F.array("sec_no")), F.struct(F.col("sec_no").alias("n"), text.alias("t")), "below", F.collect_list)
+    whole_text = F.array_join(F.transform(F.array_sort("below"), lambda x: x["t"]), "\n")
+    rows = rows.withColumn("foreign", non_english(whole_text)).drop("below")
+    d = _rows_of(rows)
+    bad = F.transform(F.filter("secs", lambda x: x["foreign"]), lambda x: x["sec_no"])
+    d = d.withColumn("bad", bad).select("doc_id", "bad", F.inline("secs"))
+    return d.where(~F.array_contains("bad", F.col("sec_no")) & ~F.arrays_overlap("bad", "path")).drop("bad", "foreign")
+
+
+def heading_line(title: Column | None = None) -> Column:
+    return F.concat(F.repeat(F.lit("#"), F.col("level")), F.lit(" "), F.when(F.col("number").isNotNull(), F.concat("number", F.lit(". "))).otherwise(F.lit("")), F.col("title") if title is None else title)
+
+
+def blocks_of(body: Column) -> Column:
+    """Blocks of lines between blanks; a code fence is one block with the blanks in it."""
+    state = F.struct(F.array().cast("array<array<string>>").alias("done"), F.array().cast("array<string>").alias("now"), F.lit(False).alias("fence"))
+
+    def step(a: Column, x: Column) -> Column:
+        ends = ~a["fence"] & (strip(x) == "")
+        mark = F.regexp_replace(x, r"^\s+", "").rlike(r"^(```|~~~)")
+        closed = F.when(F.size(a["now"]) > 0, F.concat(a["done"], F.array(a["now"]))).otherwise(a["done"])
+        return F.struct(
+            F.when(ends, closed).otherwise(a["done"]).alias("done"), F.when(ends, F.array().cast("array<string>")).otherwise(F.concat(a["now"], F.array(x))).alias("now"),
+            F.when(mark & ~ends, ~a["fence"]).otherwise(a["fence"]).alias("fence"),
+        )
 
+    return F.aggregate(body, state, step, lambda a: F.when(F.size(a["now"]) > 0, F.concat(a["done"], F.array(a["now"]))).otherwise(a["done"]))
 
-def breadcrumbs(sections: DataFrame) -> DataFrame:
-    """(doc_id, sec_no, crumb): titles of the ancestors, root first; needs ``path``."""
-    names = sections.select("doc_id", F.col("sec_no").alias("a"), crumb(strip_links(display_name(F.col("number"), F.col("title")))).alias("name"))
-    up = sections.select("doc_id", "sec_no", F.posexplode("path").alias("pos", "a"))
-    joined = up.join(names, ["doc_id", "a"], "left").groupBy("doc_id", "sec_no").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("name", F.lit("…")).alias("name")))).alias("x"))
-    trail = joined.select("doc_id", "sec_no", F.concat(F.lit("> ↑ "), F.array_join(F.transform("x", lambda x: x["name"]), " / ")).alias("crumb"))
-    return sections.select("doc_id", "sec_no").join(trail, ["doc_id", "sec_no"], "left")
+
+def filled(blocks: Column, most: int) -> Column:
+    """Parts of a body: blocks are added while a part's characters stay within ``most``; a larger block is a part of its own."""
+    size = lambda b: F.aggregate(b, F.lit(1), lambda n, x: n + F.length(x) + 1)
+    empty = F.array().cast("array<string>")
+    state = F.struct(F.array().cast("array<array<string>>").alias("done"), empty.alias("now"), F.lit(0).alias("n"))
+
+    def step(a: Column, b: Column) -> Column:
+        full = (F.size(a["now"]) > 0) & (a["n"] + size(b) > most)
+        now = F.when(full | (F.size(a["now"]) == 0), b).otherwise(F.concat(a["now"], F.array(F.lit("")), b))
+        return F.struct(F.when(full, F.concat(a["done"], F.array(a["now"]))).otherwise(a["done"]).alias("done"), now.alias("now"), (F.when(full, 0).otherwise(a["n"]) + size(b)).alias("n"))
+
+    return F.aggregate(blocks, state, step, lambda a: F.when(F.size(a["now"]) > 0, F.concat(a["done"], F.array(a["now"]))).otherwise(a["done"]))
+
+
+def pack_sections(sections: DataFrame, most: int) -> DataFrame:
+    """(doc_id, sec_no, part, parts, level, number, title, path, body): sections put together up to ``most`` characters.
+
+    The topmost section whose whole subtree fits takes in its descendants; what fits nowhere
+    keeps its own text, cut at block borders where that is longer. Needs ``path`` and ``open``; a
+    subtree hangs together by sections that are there, so of the path only the end that is kept counts.
+    """
+    own = F.length(heading_line()) + 1 + F.aggregate("body", F.lit(0), lambda n, x: n + F.length(x) + 1)
+    up = told(sections.withColumn("own", own), F.concat("open", F.array("sec_no")), F.col("own").cast("bigint"), "subtree", F.sum)
+    d = _rows_of(up).withColumn("fits", F.map_from_arrays(F.transform("secs", lambda x: x["sec_no"]), F.transform("secs", lambda x: x["subtree"] <= most)))
+    df = d.select("doc_id", "fits", F.inline("secs"))
+    head = F.filter(F.concat("open", F.array("sec_no")), lambda n: F.try_element_at("fits", n))
+    df = df.withColumn("head", F.when(F.size(head) > 0, F.element_at(head, 1)).otherwise(F.col("sec_no")))
+    mine = F.when(F.col("head") == F.col("sec_no"), F.col("body")).otherwise(F.concat(F.array(F.lit(""), heading_line()), "body"))
+    df = df.withColumn("mine", mine).withColumn("fit", F.try_element_at("fits", F.col("sec_no"))).drop("fits")
+    got = df.groupBy("doc_id", "head").agg(
+        F.min(F.struct("sec_no", "level", "number", "title", "path", "own", "fit")).alias("h"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("sec_no", "mine"))), lambda x: x["mine"])).alias("body"),
+    )
+    cut = F.when(~F.col("h.fit") & (F.col("h.own") > most), filled(blocks_of(F.col("body")), most)).otherwise(F.array("body"))
+    got = got.withColumn("cut", F.when(F.size(cut) > 1, cut).otherwise(F.array("body"))).withColumn("parts", F.size("cut"))
+    out = got.select("doc_id", F.col("head").alias("sec_no"), "parts", "h.level", "h.number", "h.title", "h.path", F.posexplode("cut").alias("p", "text"))
+    title = F.when(F.col("p") > 0, F.concat("title", F.lit(" (part "), (F.col("p") + 1).cast("string"), F.lit(" of "), F.col("parts").cast("string"), F.lit(")"))).otherwise(F.col("title"))
+    return out.select("doc_id", "sec_no", (F.col("p") + 1).alias("part"), "parts", "level", "number", title.alias("title"), "path", F.col("text").alias("body"))
+
+
+def folder(x: Column, above: Column) -> Column:
+    """Folders of a section's file: of a number its prefixes, else its ancestors' numbers or names, root first; ``above`` has number and title of each."""
+    parts = F.split(x["number"], r"\.")
+    chain = F.when(F.size(parts) <= 1, F.array(path_slug(F.element_at(parts, 1)))).otherwise(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: path_slug(F.array_join(F.slice(parts, F.lit(1), i), "."))))
+    own = lambda a: F.when(a["number"].isNotNull(), path_slug(a["number"])).otherwise(file_slug(a["title"]))
+    return F.when(x["number"].isNotNull(), chain).when(F.size(above) == 0, F.array(file_slug(x["title"]))).otherwise(F.transform(above, own))
+
+
+def relative(target: Column, start: Column) -> Column:
+    """A path (array of folders and file) as seen from a folder."""
+    n = F.least(F.size(target) - 1, F.size(start))
+    same = F.when(n > 0, F.size(F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.slice(target, F.lit(1), i) == F.slice(start, F.lit(1), i)))).otherwise(0)
+    return F.array_join(F.concat(F.array_repeat(F.lit(".."), F.size(start) - same), F.slice(target, same + 1, F.size(target))), "/")
+
+
+def folders(sections: DataFrame, nested: bool = False) -> DataFrame:
+    """Adds ``dir``, the folders of a section's file, none unless nested; takes all sections, of which some become files."""
+    if not nested:
+        return sections.withColumn("dir", F.array().cast("array<string>"))
+    rows = _rows_of(sections.withColumn("all", F.lit(True)))
+    d = rows.withColumn("known", F.map_from_arrays(F.transform("secs", lambda x: x["sec_no"]), F.transform("secs", lambda x: F.struct(x["number"].alias("number"), x["title"].alias("title")))))
+    row = F.transform("secs", lambda x: F.struct(x.alias("x"), folder(x, F.transform(x["path"], lambda n: F.try_element_at("known", n))).alias("dir")))
+    return d.select("doc_id", F.inline(row)).select("doc_id", "x.*", "dir").drop("all")
 
 
 def file_names(sections: DataFrame) -> DataFrame:
-    """(doc_id, sec_no, file): slug of the section's name; of sections that share one, those with the first one's body go and the others get -2, -3 behind."""
-    named = sections.select("doc_id", "sec_no", file_slug(display_name(F.col("number"), F.col("title"))).alias("slug"), strip(F.regexp_replace(F.array_join("body", "\n"), r"\s+", " ")).alias("b"))
-    w = Window.partitionBy("doc_id", "slug").orderBy("sec_no")
+    """Adds ``file``: slug of the section's name; of sections that share a path (``dir``), those with the first one's body go and the others get -2, -3 behind."""
+    name = file_slug(display_name(F.col("number"), F.col("title")))
+    if "dir" not in sections.columns:
+        sections = folders(sections)
+    named = sections.withColumn("stem", name).withColumn("b", strip(F.regexp_replace(F.array_join("body", "\n"), r"\s+", " ")))
+    w = Window.partitionBy("doc_id", "dir", "stem").orderBy("sec_no")
     named = named.withColumn("first", F.first("b").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("rn", F.row_number().over(w))
     kept = named.where((F.col("rn") == 1) | (F.col("b") != F.col("first"))).withColumn("n", F.row_number().over(w))
-    return kept.select("doc_id", "sec_no", F.concat("slug", F.when(F.col("n") > 1, F.concat(F.lit("-"), F.col("n").cast("string"))).otherwise(F.lit("")), F.lit(".md")).alias("file"))
+    file = F.concat("stem", F.when(F.col("n") > 1, F.concat(F.lit("-"), F.col("n").cast("string"))).otherwise(F.lit("")), F.lit(".md"))
+    return kept.withColumn("file", file).drop("stem", "b", "first", "rn", "n")
 
 
-def chunks(lines: DataFrame, min_body: int = MIN_BODY) -> DataFrame:
-    """(doc_id, sec_no, level, number, title, crumb, file, text): all of the above, a row per file that would be written.
+def identified(sections: DataFrame, nested: bool = False, min_body: int = MIN_BODY) -> DataFrame:
+    """(doc_id, sec_no, level, number, title, body, crumb, section_id, parent_id, section_path, order, children): what becomes a file, and where it stands.
 
-    The tree is walked inside one row per document, so that sections are made once and not
-    once for the paths, the names and what is kept.
+    Takes all sections with ``path``. The crumb links ancestors that are files and names the others;
+    children are links of the files right below.
     """
-    s = find_parents(drop_toc_phantoms(parse_sections(lines)))
-    name = display_name(F.col("number"), F.col("title"))
-    row = F.struct("sec_no", "level", "number", "title", "ancestor_only", "body", F.coalesce("parent_sec_no", F.lit(-1)).alias("parent"), crumb(strip_links(name)).alias("name"), file_slug(name).alias("slug"), (body_chars(F.col("body")) >= min_body).alias("real"))
-    docs = s.groupBy("doc_id").agg(F.array_sort(F.collect_list(row)).alias("secs"))
-    pick = lambda field: F.transform("secs", lambda x: x[field])
-    docs = docs.select("doc_id", "secs", F.map_from_arrays(pick("sec_no"), pick("parent")).alias("up"), F.map_from_arrays(pick("sec_no"), pick("name")).alias("names"))
-
-    def path(x: Column) -> Column:
-        def climb(p: Column, _: Column) -> Column:
-            top = F.coalesce(F.try_element_at(F.col("up"), F.get(p, F.lit(0))), F.lit(-1))
-            return F.when(top >= 0, F.concat(F.array(top), p)).otherwise(p)
-
-        return F.aggregate(F.sequence(F.lit(1), F.lit(8)), F.filter(F.array(x["parent"]), lambda y: y >= 0), climb)
-
-    docs = docs.withColumn("paths", F.transform("secs", path))
-    needed = F.array_distinct(F.flatten(F.zip_with("secs", "paths", lambda x, p: F.when(x["real"], F.concat(p, F.array(x["sec_no"]))).otherwise(F.array().cast("array<int>")))))
-    docs = docs.withColumn("kept", F.map_from_arrays(needed, needed))
-    trails = F.transform("paths", lambda p: F.when(F.size(p) > 0, F.concat(F.lit("> ↑ "), F.array_join(F.transform(p, lambda n: F.when(F.map_contains_key("kept", n), F.try_element_at("names", n)).otherwise(F.lit("…"))), " / "))))
-    rows = F.filter(F.zip_with("secs", trails, lambda x, c: F.struct(x.alias("x"), c.alias("crumb"))), lambda y: F.map_contains_key("kept", y["x"]["sec_no"]))
-    df = docs.select("doc_id", F.explode(rows).alias("y")).select("doc_id", "y.crumb", "y.x.*")
-    w = Window.partitionBy("doc_id", "slug").orderBy("sec_no")
-    df = df.withColumn("b", strip(F.regexp_replace(F.array_join("body", "\n"), r"\s+", " "))).withColumn("first", F.first("b").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("rn", F.row_number().over(w))
-    df = df.where((F.col("rn") == 1) | (F.col("b") != F.col("first"))).withColumn("n", F.row_number().over(w)).where("ancestor_only = 0")
-    text = F.concat(F.repeat(F.lit("#"), F.col("level")), F.lit(" "), F.when(F.col("number").isNotNull(), F.concat("number", F.lit(". "))).otherwise(F.lit("")), F.col("title"), F.lit("\n\n"), strip(F.array_join("body", "\n")))
-    file = F.concat("slug", F.when(F.col("n") > 1, F.concat(F.lit("-"), F.col("n").cast("string"))).otherwise(F.lit("")), F.lit(".md"))
-    return df.select("doc_id", "sec_no", "level", "number", "title", "crumb", file.alias("file"), text.alias("text"))
+    real = (body_chars(F.col("body")) >= min_body) & ~F.col("blocked")
+    rows = told(sections, F.when(real, F.concat("open", F.array("sec_no"))).otherwise(F.array().cast("array<int>")), F.lit(1), "kept").withColumn("kept", F.col("kept").isNotNull())
+    rows = folders(rows, nested)
+    files = file_names(rows.where("kept")).withColumn("order", F.row_number().over(Window.partitionBy("doc_id").orderBy("sec_no")))
+    # Sections without a file stay as names in their document's arrays.
+    bare = rows.where("not kept").select("*", F.lit(None).cast("string").alias("file"), F.lit(None).cast("int").alias("order"))
+    d = _rows_of(files.unionByName(bare).withColumn("shown", display_name(F.col("number"), F.col("title"))))
+    d = d.withColumn("by", F.map_from_arrays(F.transform("secs", lambda x: x["sec_no"]), F.transform("secs", lambda x: F.struct(x["shown"].alias("shown"), x["file"].alias("file"), x["dir"].alias("dir")))))
+    at = lambda n: F.try_element_at("by", n)
+    whole_path = lambda x: F.concat(x["dir"], F.array(x["file"]))
+    label = lambda x: F.when(crumb(strip_links(x["shown"])) == "", F.lit("…")).otherwise(crumb(strip_links(x["shown"])))
+    link = lambda name, x, start: F.concat(F.lit("["), name, F.lit("]("), relative(whole_path(x), start), F.lit(")"))
+
+    def row(x: Column) -> Column:
+        trail = F.transform(x["path"], lambda n: F.when(at(n)["file"].isNotNull(), link(label(at(n)), at(n), x["dir"])).otherwise(label(at(n))))
+        above = F.filter(x["path"], lambda n: at(n)["file"].isNotNull())
+        return F.struct(
+            *[x[c].alias(c) for c in ("sec_no", "level", "number", "title", "body", "order")],
+            F.when(F.size(x["path"]) > 0, F.concat(F.lit("> ↑ "), F.array_join(trail, " / "))).alias("crumb"), F.array_join(whole_path(x), "/").alias("section_id"),
+            F.when(F.size(above) > 0, F.array_join(whole_path(at(F.element_at(above, -1))), "/")).alias("parent_id"), F.transform(x["path"], lambda n: strip_links(at(n)["shown"])).alias("section_path"),
+            F.element_at(F.concat(F.array(F.lit(None).cast("int")), x["path"]), -1).alias("up"), strip_links(x["shown"]).alias("shown"), x["dir"].alias("dir"), whole_path(x).alias("whole_path"),
+        )
+
+    rows = d.select("doc_id", F.inline(F.transform(F.filter("secs", lambda x: x["file"].isNotNull()), row)))
+    listed = told(rows, F.when(F.col("up").isNotNull(), F.array("up")).otherwise(F.array().cast("array<int>")), F.struct("order", "shown", "whole_path"), "below", F.collect_list)
+    children = F.transform(F.array_sort("below"), lambda x: F.concat(F.lit("- ["), x["shown"], F.lit("]("), relative(x["whole_path"], F.col("dir")), F.lit(")")))
+    return listed.withColumn("children", children).drop("below", "up", "dir", "whole_path")
+
+
+def tree(lines: DataFrame) -> DataFrame:
+    """All sections with their ancestors."""
+    return ancestors(find_parents(parse_sections(lines)))
+
+
+def breadcrumbs(sections: DataFrame, min_body: int = MIN_BODY) -> DataFrame:
+    """(doc_id, sec_no, crumb) of the sections that become files."""
+    return identified(sections, min_body=min_body).select("doc_id", "sec_no", "crumb")
+
+
+def section_files(lines: DataFrame, nested: bool = False, min_body: int = MIN_BODY) -> DataFrame:
+    """(doc_id, section_id, content): the files of a document's sections, with their identity in front matter, the crumb, the text and the list of subsections."""
+    s = identified(tree(lines), nested, min_body)
+    head = frontmatter(
+        ("section_path",), doc_id=F.col("doc_id").cast("string"), section_id=F.col("section_id"), parent_id=F.col("parent_id"), section_title=strip_links(F.col("title")), section_path=F.when(F.size("section_path") > 0, F.col("section_path")),
+        section_number=F.col("number"), heading_level=F.col("level"), depth=F.size("section_path"), order=F.col("order"),
+    )
+    anchors = F.coalesce(F.array_position(F.transform("body", lambda x: ~x.rlike(PAGE_ANCHOR)), True) - 1, F.lit(0)).cast("int")
+    anchors = F.when(F.forall("body", lambda x: x.rlike(PAGE_ANCHOR)), F.size("body")).otherwise(anchors)
+    body = strip(F.array_join(F.slice("body", anchors + 1, F.greatest(F.size("body") - anchors, F.lit(0))), "\n"))
+    parts = F.filter(
+        F.array(
+            F.array_join(F.concat(F.array(heading_line()), F.slice("body", F.lit(1), anchors)), "\n"), F.col("crumb"), F.when(body != "", body),
+            F.when(F.size("children") > 0, F.concat(F.lit("## Subsections\n\n"), F.array_join("children", "\n"))),
+        ),
+        lambda x: x.isNotNull(),
+    )
+    return s.select("doc_id", "section_id", F.concat(head, F.regexp_replace(F.array_join(parts, "\n\n"), r"\s+$", ""), F.lit("\n")).alias("content"))
+
+
+def index(lines: DataFrame, nested: bool = False, min_body: int = MIN_BODY) -> DataFrame:
+    """(doc_id, md): a document's index, a link for each file without an ancestor that is one."""
+    s = identified(tree(lines), nested, min_body).where("parent_id is null")
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("order", F.concat(F.lit("- ["), "shown", F.lit("]("), "section_id", F.lit(")")).alias("line")))), lambda x: x["line"])
+    return s.groupBy("doc_id").agg(F.concat(F.lit("# Split Sections: "), F.first(F.col("doc_id").cast("string")), F.lit("\n\n## Top-level Sections\n\n"), F.array_join(rows, "\n"), F.lit("\n")).alias("md"))
+
+
+def chunks(lines: DataFrame, min_body: int = MIN_BODY, nested: bool = False) -> DataFrame:
+    """(doc_id, sec_no, level, number, title, crumb, file, text): a row per file that would be written."""
+    s = identified(tree(lines), nested, min_body)
+    text = F.concat(heading_line(), F.lit("\n\n"), strip(F.array_join("body", "\n")))
+    return s.select("doc_id", "sec_no", "level", "number", "title", "crumb", F.col("section_id").alias("file"), text.alias("text"))
+
+
+def linked_sections(sections: DataFrame, min_body: int = MIN_BODY) -> DataFrame:
+    """(doc_id, sec_no, slug, target): for each anchor that a section's text refers to the file it means: of the sections whose heading has this slug the one nearest in the tree (the fewest steps up to a common ancestor), the first of equals. Takes all sections with ``path``."""
+    s = identified(sections, min_body=min_body)
+    paths = sections.select("doc_id", "sec_no", "path")
+    s = s.join(paths, ["doc_id", "sec_no"]).withColumn("chain", F.reverse(F.concat("path", F.array("sec_no"))))
+    want = s.select("doc_id", "sec_no", "chain", F.explode(F.array_distinct(F.regexp_extract_all(F.array_join("body", "\n"), F.lit(r"\[[^\]]+\]\(#([^)]+)\)"), 1))).alias("slug"))
+    have = s.select("doc_id", slug(heading_line()).alias("slug"), F.col("order"), F.col("section_id").alias("target"), F.col("chain").alias("other")).where("slug <> ''")
+    common = F.filter(F.transform("chain", lambda n, i: F.when(F.array_contains("other", n), i)), lambda i: i.isNotNull())
+    far = F.when(F.size(common) > 0, F.element_at(common, 1)).otherwise(1 << 30)
+    pairs = want.join(have, ["doc_id", "slug"]).select("doc_id", "sec_no", "slug", F.struct(far.alias("far"), "order", "target").alias("t"))
+    return pairs.groupBy("doc_id", "sec_no", "slug").agg(F.min("t").alias("t")).select("doc_id", "sec_no", "slug", "t.target")

@@ -80,7 +80,26 @@ BOOK = f"""select cast(doc_id as bigint) doc_id, row_number() over (partition by
  union all select k, 4, i, 1, '' from ch where i < 3) x"""
 BOOK_WITH = "ch as (select n_nationkey k, n_name nm, r_regionkey + 1 i from nation cross join region)"
 
-_SOURCES = {"noise": (NOISE, "", ("documents",)), "out": (OUT, OUT_WITH, ("region", "nation", "supplier")), "tab": (TAB, TAB_WITH, ("lineitem",)), "book": (BOOK, BOOK_WITH, ("nation", "region"))}
+#: Sections that refer to each other by anchors of which several are equal, a list of links above the sections, an entry of a contents page with a child, and a heading above the split's depth.
+LINKS = """select cast(doc_id as bigint) doc_id, row_number() over (partition by doc_id order by a, b, c)-1 line_no, line from (
+ select c_nationkey doc_id, 0 a, 0 b, 0 c, '# Handbook [of](x.md) nation | ' || cast(c_nationkey as string) line from cu
+ union all select c_nationkey, 0, 0, 1, 'An opening paragraph that is long enough to be kept.' from cu
+ union all select c_nationkey, 0, 0, 2, '## Contents' from cu
+ union all select c_nationkey, 0, 0, 3 + i, '- [' || c_name || '](#' || lower(c_name) || ')' from cu
+ union all select c_nationkey, 1, i, 0, '### ' || c_name from cu
+ union all select c_nationkey, 1, i, 1, '<span id="page-' || cast(i as string) || '-1"></span>' from cu
+ union all select c_nationkey, 1, i, 2, 'Account of ' || c_name || ', see [the notes](#notes) and [no place](#nowhere) there.' from cu
+ union all select c_nationkey, 1, i, 3, '#### Notes' from cu where i % 3 <> 2
+ union all select c_nationkey, 1, i, 4, 'Notes on number ' || cast(i as string) || ' with [its account](#' || lower(c_name) || ').' from cu where i % 3 <> 2
+ union all select c_nationkey, 1, i, 5, '#### 1.1 Intro ' || cast(30 + i as string) from cu where i % 4 = 1
+ union all select c_nationkey, 1, i, 6, '##### Child of an entry' from cu where i % 4 = 1
+ union all select c_nationkey, 1, i, 7, 'The text of a child whose parent is an entry of contents.' from cu where i % 4 = 1
+ union all select c_nationkey, 1, i, 8, '#### 2.' || cast(i as string) || ' Numbered [part](#notes) of it' from cu where i % 4 = 2
+ union all select c_nationkey, 1, i, 9, 'A numbered part has a text of its own here.' from cu where i % 4 = 2
+ union all select c_nationkey, 1, i, 10, '' from cu) x"""
+LINKS_WITH = "cu as (select c_nationkey, c_name, row_number() over (partition by c_nationkey order by c_custkey) i from customer)"
+
+_SOURCES = {"noise": (NOISE, "", ("documents",)), "out": (OUT, OUT_WITH, ("region", "nation", "supplier")), "tab": (TAB, TAB_WITH, ("lineitem",)), "book": (BOOK, BOOK_WITH, ("nation", "region")), "links": (LINKS, LINKS_WITH, ("customer",))}
 
 
 def duck(name: str) -> str:

@@ -57,7 +57,7 @@ RULES = {
     "strip_inline_tags": (T.strip_inline_tags, rr("line", r"</?(i|b|strong)>", "", "gi")),
     "strip_page_spans": (T.strip_page_spans, rr("line", r'<span id="page-\d+-\d+"></span>')),
     "strip_page_refs": (T.strip_page_refs, rr("line", r"\[([^\]]+)\]\(#page-\d+-\d+\)", r"\1")),
-    "repair_cross_ref": (T.repair_cross_ref, rr("line", r"\[?([A-Za-z](?:[^\]\[]{0,79}[^\]\[ ])?)\[([^\]\[]{0,79})\]\(#(page-\d+-\d+)\)", r"[\1\2](#\3)")),
+    "repair_cross_ref": (T.repair_cross_ref, "array_to_string(list_transform(string_split(" + rr("line", f"({T.CROSS_REF})", "__").replace("'__'", "chr(1) || chr(2) || '~1' || chr(1)".replace("~", chr(92))) + f", chr(1)), lambda s: case when not starts_with(s, chr(2)) then s when not contains({ex('substr(s, 2)', T.CROSS_REF)}, '[') or {rm(ex('substr(s, 2)', T.CROSS_REF), chr(94) + r'[^\[]* \[')} then substr(s, 2) else '[' || replace({ex('substr(s, 2)', T.CROSS_REF)}, '[', '') || '](#' || {ex('substr(s, 2)', T.CROSS_REF, 2)} || ')' end), '')"),
     "unescape_underscores": (T.unescape_underscores, r"replace(line, '\_', '_')"),
     "collapse_spaces": (T.collapse_spaces, rr("line", r"\s{2,}", " ")),
     "list_bullet": (T.list_bullet, rr(rr(rr("line", r"^(\s*)-\s*o\s+(.+)$", r"\1  - \2", "i"), r"^(\s*)-\s*([a-z])\.\s+(.+)$", r"\1  - \2) \3", "i"), r"^(\s*)-\s*([ivxlcdm]+)\.\s+(.+)$", r"\1    - \2) \3", "i")),

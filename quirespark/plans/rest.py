@@ -7,14 +7,10 @@ from pyspark.sql import functions as F
 from ..functions import language
 from ..operators import quiz, state, tables
 from .fixtures import duck, spark_lines
+from . import structure
 from .passes import UPTO, ex, rm, rr, st
 
 _T = f"a as (select *, {st('line')} like '|%' t from lines), b as (select *, sum((not t)::int) {UPTO} block from a), c as (select doc_id, block, line_no, list_transform(string_split({rr(st('line'), r'^\||\|$')}, '|'), lambda x: {st('x')}) cells, {rm(st('line'), tables.DIVIDER)} divider from b where t)"
-# The lists that the SQL of language_filter was written with; the column rule has the reference's since.
-_SQL_ENGLISH = sorted({"the", "of", "and", "a", "to", "in", "is", "it", "that", "for", "was", "on", "are", "with", "as", "be", "at", "this", "have", "from", "or", "by", "not", "but", "we", "you", "they", "which", "will", "can"})
-_SQL_FOREIGN = sorted({"der", "die", "das", "und", "nicht", "ist", "ein", "eine", "von", "mit", "sich", "auf", "le", "la", "les", "des", "et", "est", "que", "une", "pour", "dans", "el", "los", "las", "de", "en", "y", "del", "por", "con", "se", "il", "di", "che", "per", "een", "het", "van", "och", "att"})
-_IN = lambda known: "[" + ", ".join(f"'{w}'" for w in known) + "]"
-
 
 def _read(spark, d, t):
     return spark.read.parquet(f"{d}/{t}.parquet")
@@ -72,7 +68,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "table_blocks": f"with {duck('tab')}, {_T} select doc_id, min(line_no) first_line, max(line_no) last_line, sum((not divider)::int) n_rows, max(len(cells)) n_cols from c group by doc_id, block",
         "table_normalize": f"with {duck('tab')}, {_T}, d as (select *, max(len(cells)) over w width, max(divider::int) over w has, row_number() over (partition by doc_id, block order by line_no) rn from c window w as (partition by doc_id, block)) select doc_id, line_no, 0 part, '| ' || array_to_string(list_concat(cells, list_transform(range(width - len(cells)), lambda i: case when divider then '---' else '' end)), ' | ') || ' |' line from d union all select doc_id, line_no, 1, '| ' || array_to_string(list_transform(range(width), lambda i: '---'), ' | ') || ' |' from d where rn = 1 and has = 0",
-        "language_filter": f"with a as (select doc_id, len(regexp_extract_all(text, '\\p{{L}}')) l, len(regexp_extract_all(text, '\\p{{Latin}}')) la, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}]+'), lambda w: w <> '') ws from documents), b as (select *, len(ws) n, len(list_filter(ws, lambda w: list_contains({_IN(_SQL_ENGLISH)}, w))) e, len(list_filter(ws, lambda w: list_contains({_IN(_SQL_FOREIGN)}, w))) f from a) select doc_id, (case when l < 12 then false when l - la > 0.3 * l then true when l < 30 or n < 20 then false when e >= 0.06 * n then false else f >= 0.06 * n end)::int dropped from b",
+        "language_filter": structure.language_sql("documents"),
         "answer_asof": "with a as (select user_id doc_id, event_id ord, case when event_id % 7 = 0 then (event_id // 7)::int end question, case when event_id % 7 <> 0 then chr((65 + event_id % 8)::int) end letter from events), b as (select *, last_value(question ignore nulls) over (partition by doc_id order by ord rows between unbounded preceding and current row) q from a) select doc_id, q question, string_agg(letter, '' order by ord) answers from b where letter is not null and q is not null group by 1, 2",
         "question_split": f"with {runs} select doc_id, question, stem, array_to_string(coalesce(options, []), '|') options from items",
         "quiz_render": f"with {runs} select doc_id, question, '### Question ' || question || case when stem <> '' then chr(10) || chr(10) || stem else '' end || chr(10) || chr(10) || array_to_string(list_transform(options, lambda x, i: '- ' || chr((64 + i)::int) || '. ' || x || case when question % 2 = 0 and i = 2 then ' ✓' else '' end), chr(10)) || case when question % 2 = 0 then chr(10) || chr(10) || '**Answer:** B' else '' end md from items",
