@@ -33,7 +33,6 @@ RIDGE = 1e-2
 SUPPORT = 2
 PRIOR_ROWS = 2  # rows of the average label that a word's count begins with
 TRAIN_PARTITIONS = 16  # of the sample, whose size is bounded; each sends one part of the normal equations
-ODDS_GAIN = 4  # the kernel is narrower along the statistics that come from odds
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SYMBOL = [ord(c) for c in "#$%&*|<>=+/\\{}[]^~_@`"]
@@ -216,7 +215,6 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rng = np.random.default_rng(seed)
     d = len(mean)
     weights = rng.standard_normal((d, features)) / np.sqrt(d) * 1.5
-    weights[-4:] *= ODDS_GAIN
     model = Model(known, odds, mean, scale, weights, rng.uniform(0, 2 * np.pi, features), np.zeros((features + 1, 2)), [])
 
     def normal(batches):
