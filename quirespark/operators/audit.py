@@ -1,7 +1,7 @@
 """Defects of extracted markdown as a findings table.
 
-Every detector reads (doc_id, line_no, line, fenced, prose) once; the union of all is one
-scan per detector of lines that share one exchange.
+The checks of single lines are one array of findings per line, so all of them are one pass;
+those of tables, headings and whole files are a pass each over lines that share one exchange.
 """
 
 from __future__ import annotations
@@ -32,17 +32,35 @@ def _finding(df: DataFrame, check: str, severity: str, message: Column) -> DataF
     return df.select("doc_id", F.lit(check).alias("check"), F.lit(severity).alias("severity"), (F.col("line_no") + 1).alias("line"), message.alias("message"))
 
 
+def _line_checks(line: Column) -> dict[str, tuple[str, Column, Column]]:
+    """Check -> (severity, whether a line outside fences has the defect, message)."""
+    cells = F.split(F.regexp_replace(strip(line), r"^\|+|\|+$", ""), r"\|")
+    worst = F.array_max(F.transform(cells, lambda c: F.regexp_count(c, F.lit(r"(?i)<br\s*/?>"))))
+    clean = F.regexp_replace(line, r"\]\(<[^>\n]*>\)", "]()")
+    tag = F.regexp_extract(clean, TABLE_TAG, 0)
+    hit = F.when(tag != "", tag).otherwise(F.regexp_extract(clean, EMPTY_ATTRIBUTE, 0))
+    n = F.regexp_count(line, F.lit(ENTITY))
+    return {
+        "collapsed_table": ("error", strip(line).startswith("|") & (worst >= BR_MIN), F.concat(F.lit("table cell of "), worst.cast("string"), F.lit(" joined lines"))),
+        "html_fragment": ("error", hit != "", F.concat(F.lit("left-over HTML of a table: "), hit)),
+        "html_entity": ("error", n > 0, F.concat(n.cast("string"), F.lit(" entities left"))),
+        "shattered_emphasis": ("error", line.rlike(r"\*{4,}") & ~line.rlike(r"^\s*\*+\s*$"), F.lit("four or more emphasis marks in a row")),
+    }
+
+
+def line_findings(lines: DataFrame, only: tuple[str, ...] = ()) -> DataFrame:
+    """Findings of all checks of single lines, in one pass."""
+    found = [F.when(when, F.struct(F.lit(name).alias("check"), F.lit(severity).alias("severity"), message.alias("message"))) for name, (severity, when, message) in _line_checks(F.col("line")).items() if not only or name in only]
+    df = prose(lines).select("doc_id", "line_no", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("x"))
+    return df.select("doc_id", "x.check", "x.severity", (F.col("line_no") + 1).alias("line"), "x.message")
+
+
 def collapsed_table(lines: DataFrame) -> DataFrame:
-    cells = F.split(F.regexp_replace(strip(F.col("line")), r"^\|+|\|+$", ""), r"\|")
-    df = prose(lines).where(strip(F.col("line")).startswith("|")).withColumn("worst", F.array_max(F.transform(cells, lambda c: F.regexp_count(c, F.lit(r"(?i)<br\s*/?>")))))
-    return _finding(df.where(F.col("worst") >= BR_MIN), "collapsed_table", "error", F.concat(F.lit("table cell of "), F.col("worst").cast("string"), F.lit(" joined lines")))
+    return line_findings(lines, ("collapsed_table",))
 
 
 def html_fragment(lines: DataFrame) -> DataFrame:
-    clean = F.regexp_replace("line", r"\]\(<[^>\n]*>\)", "]()")
-    df = prose(lines).withColumn("tag", F.regexp_extract(clean, TABLE_TAG, 0)).withColumn("attr", F.regexp_extract(clean, EMPTY_ATTRIBUTE, 0))
-    df = df.withColumn("hit", F.when(F.col("tag") != "", F.col("tag")).otherwise(F.col("attr")))
-    return _finding(df.where("hit <> ''"), "html_fragment", "error", F.concat(F.lit("left-over HTML of a table: "), F.col("hit")))
+    return line_findings(lines, ("html_fragment",))
 
 
 def replacement_char(lines: DataFrame) -> DataFrame:
@@ -51,13 +69,11 @@ def replacement_char(lines: DataFrame) -> DataFrame:
 
 
 def html_entity(lines: DataFrame) -> DataFrame:
-    df = prose(lines).withColumn("n", F.regexp_count("line", F.lit(ENTITY)))
-    return _finding(df.where("n > 0"), "html_entity", "error", F.concat(F.col("n").cast("string"), F.lit(" entities left")))
+    return line_findings(lines, ("html_entity",))
 
 
 def shattered_emphasis(lines: DataFrame) -> DataFrame:
-    df = prose(lines).where(F.col("line").rlike(r"\*{4,}") & ~F.col("line").rlike(r"^\s*\*+\s*$"))
-    return _finding(df, "shattered_emphasis", "error", F.lit("four or more emphasis marks in a row"))
+    return line_findings(lines, ("shattered_emphasis",))
 
 
 def misaligned_table(lines: DataFrame) -> DataFrame:
@@ -83,11 +99,15 @@ def duplicate_heading(lines: DataFrame) -> DataFrame:
 
 
 def empty_section(lines: DataFrame) -> DataFrame:
-    """Documents of headings only, without a list of subsections."""
+    """Files of headings, crumbs and page anchors only, without a list of subsections; front matter doesn't count."""
     s = strip(F.col("line"))
-    df = lines.groupBy("doc_id").agg(
-        F.min("line_no").alias("line_no"), F.max(((s != "") & ~s.rlike(r"^#{1,6}\s") & ~s.startswith("> ↑")).cast("int")).alias("body"), F.max(s.rlike(r"^##\s+Subsections").cast("int")).alias("sub"),
-    )
+    nth = F.sum((s == "---").cast("int")).over(upto())
+    fronted = F.max(((F.col("line_no") == 0) & (s == "---")).cast("int")).over(Window.partitionBy("doc_id"))
+    ends = F.sum((s == "---").cast("int")).over(Window.partitionBy("doc_id"))
+    df = lines.select("doc_id", "line_no", "line", s.alias("s"), nth.alias("nth"), fronted.alias("fronted"), ends.alias("ends"))
+    head = (F.col("fronted") == 1) & (F.col("ends") > 1) & ((F.col("nth") < 2) | ((F.col("nth") == 2) & (F.col("s") == "---")))
+    plain = ~head & (F.col("s") != "") & ~F.col("s").startswith("#") & ~F.col("s").startswith("> ↑") & ~F.col("s").rlike(r'^<span id="page-\d+-\d+"></span>$')
+    df = df.groupBy("doc_id").agg(F.lit(0).cast("bigint").alias("line_no"), F.max(plain.cast("int")).alias("body"), F.max((~head & (F.col("s") == "## Subsections")).cast("int")).alias("sub"))
     return _finding(df.where("body = 0 and sub = 0"), "empty_section", "warning", F.lit("no body"))
 
 
@@ -96,7 +116,8 @@ CHECKS = {f.__name__: f for f in (collapsed_table, misaligned_table, html_fragme
 
 def dangling_images(lines: DataFrame, files: DataFrame) -> DataFrame:
     """References to images that ``files`` (doc_id, path) doesn't have, as they are or percent-decoded."""
-    refs = lines.select("doc_id", "line_no", F.explode(F.regexp_extract_all("line", F.lit(r"!\[[^\]]*\]\(([^)\s]+)\)"), 1)).alias("target")).where(~F.col("target").rlike(r"^(?:https?:|data:)"))
+    refs = lines.select("doc_id", "line_no", F.explode(F.regexp_extract_all("line", F.lit(r"!\[[^\]]*\]\(([^)\n]+)\)"), 1)).alias("target")).withColumn("target", strip(F.col("target")))
+    refs = refs.withColumn("target", F.when(F.col("target").rlike("^<.*>$"), strip(F.regexp_extract("target", "^<(.*)>$", 1))).otherwise(F.col("target"))).where(~F.col("target").rlike(r"^(?:https?://|data:)") & (F.col("target") != ""))
     have = files.select(F.col("doc_id").alias("d"), "path")
     gone = refs.join(have, (refs.doc_id == have.d) & (refs.target == have.path), "left_anti")
     gone = gone.join(have, (gone.doc_id == have.d) & (F.try_url_decode(gone.target) == have.path), "left_anti")
@@ -105,9 +126,9 @@ def dangling_images(lines: DataFrame, files: DataFrame) -> DataFrame:
 
 def audit(lines: DataFrame) -> DataFrame:
     """Findings of all text checks."""
-    out = None
-    for f in CHECKS.values():
-        out = f(lines) if out is None else out.unionByName(f(lines))
+    out = line_findings(lines)
+    for f in (misaligned_table, replacement_char, duplicate_heading, empty_section):
+        out = out.unionByName(f(lines))
     return out
 
 

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from ..session import ship
-from . import links, passes, rest, structure
+from . import links, passes, rest, shape, structure
 
-_PARTS = (passes, structure, rest, links)
+_PARTS = (passes, structure, rest, links, shape)
 
 
 def queries() -> dict:

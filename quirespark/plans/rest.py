@@ -10,7 +10,13 @@ from .fixtures import duck, spark_lines
 from . import structure
 from .passes import UPTO, ex, rm, rr, st
 
-_T = f"a as (select *, {st('line')} like '|%' t from lines), b as (select *, sum((not t)::int) {UPTO} block from a), c as (select doc_id, block, line_no, list_transform(string_split({rr(st('line'), r'^\||\|$')}, '|'), lambda x: {st('x')}) cells, {rm(st('line'), tables.DIVIDER)} divider from b where t)"
+_CUT = lambda c: f"list_transform([list_transform(string_split({rr(st(c), r'^\\|+|\\|+$'.replace(chr(92) * 2, chr(92)))}, '|'), lambda x: {st('x')})], lambda z: z[1:coalesce(list_max(list_transform(z, lambda v, i: case when v <> '' then i end)), 0)])[1]"
+_TAB = lambda is_table: f"a as (select *, {is_table} t from lines), b as (select *, sum((not t)::int) {UPTO} block from a), c as (select doc_id, block, line_no, line, {_CUT('line')} cells, {rm(st('line'), tables.DIVIDER)} divider from b where t)"
+_T = _TAB(f"{st('line')} like '|%'")
+_NORMAL = f"""{_TAB(f"{st('line')} like '|%' and {st('line')} like '%|'")}, d as (select *, len(list_filter(cells, lambda x: x <> '')) filled, row_number() over (partition by doc_id, block order by line_no) rn from c),
+e as (select *, coalesce(max(filled) filter (rn = 1) over w = 1 and bool_or(divider) filter (rn = 2) over w and max(filled) filter (rn = 3) over w > 1, false) titled from d window w as (partition by doc_id, block)), f as (select *, not titled or rn > 2 body from e),
+g as (select *, max(len(cells)) filter (body and not divider) over w width, coalesce(bool_or(divider) filter (body) over w, false) has from f window w as (partition by doc_id, block)), h as (select *, greatest(width, 2) wd from g),
+i as (select *, '| ' || array_to_string(list_concat(cells, list_transform(range(greatest(wd - len(cells), 0)), lambda j: '')), ' | ') || ' |' padded, '| ' || array_to_string(list_transform(range(wd), lambda j: '---'), ' | ') || ' |' rule from h)"""
 
 def _read(spark, d, t):
     return spark.read.parquet(f"{d}/{t}.parquet")
@@ -67,7 +73,7 @@ def oracle_sql() -> dict[str, str]:
     runs = f"q as ({_QUIZ}), m as (select *, {ex('line', r'^Question (\d+)')} mark from q), r as (select *, sum((mark <> '')::int) {UPTO} run from m), o as (select *, case when mark = '' then {ex('line', r'^([A-H])[.)]? +(\S.*)$', 2)} end option from r where run > 0), n as (select *, max((option <> '')::int) over (partition by doc_id, run order by line_no rows between unbounded preceding and current row) seen from o), items as (select doc_id, max(mark)::int question, coalesce(string_agg(trim(line), ' ' order by line_no) filter (mark = '' and coalesce(seen, 0) = 0 and trim(line) <> ''), '') stem, list(option order by line_no) filter (option <> '') options from n group by doc_id, run)"
     return {
         "table_blocks": f"with {duck('tab')}, {_T} select doc_id, min(line_no) first_line, max(line_no) last_line, sum((not divider)::int) n_rows, max(len(cells)) n_cols from c group by doc_id, block",
-        "table_normalize": f"with {duck('tab')}, {_T}, d as (select *, max(len(cells)) over w width, max(divider::int) over w has, row_number() over (partition by doc_id, block order by line_no) rn from c window w as (partition by doc_id, block)) select doc_id, line_no, 0 part, '| ' || array_to_string(list_concat(cells, list_transform(range(width - len(cells)), lambda i: case when divider then '---' else '' end)), ' | ') || ' |' line from d union all select doc_id, line_no, 1, '| ' || array_to_string(list_transform(range(width), lambda i: '---'), ' | ') || ' |' from d where rn = 1 and has = 0",
+        "table_normalize": f"with {duck('tab')}, {_NORMAL} select doc_id, line_no, 0 part, case when titled and rn = 1 then '**' || list_filter(cells, lambda x: x <> '')[1] || '**' when width is null then line when divider then rule else padded end line from i where body or rn = 1 union all select doc_id, line_no, 1, case when titled and rn = 1 then '' else rule end from i where titled and rn = 1 or (width is not null and body and not has and rn = case when titled then 3 else 1 end)",
         "language_filter": structure.language_sql("documents"),
         "answer_asof": "with a as (select user_id doc_id, event_id ord, case when event_id % 7 = 0 then (event_id // 7)::int end question, case when event_id % 7 <> 0 then chr((65 + event_id % 8)::int) end letter from events), b as (select *, last_value(question ignore nulls) over (partition by doc_id order by ord rows between unbounded preceding and current row) q from a) select doc_id, q question, string_agg(letter, '' order by ord) answers from b where letter is not null and q is not null group by 1, 2",
         "question_split": f"with {runs} select doc_id, question, stem, array_to_string(coalesce(options, []), '|') options from items",

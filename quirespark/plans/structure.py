@@ -144,8 +144,9 @@ _AUDIT = {
     "html_entity": ("noise", f"c as (select *, len(regexp_extract_all(line, '{A.ENTITY}')) n from pl)", ("error", "n || ' entities left'", "c where n > 0")),
     "replacement_char": ("noise", "c as (select doc_id, min(line_no) line_no, sum(length(line) - length(replace(line, '\ufffd', ''))) n from lines where contains(line, '\ufffd') group by 1)", ("error", "n || ' replacement characters'", "c")),
     "shattered_emphasis": ("noise", "", ("error", "'four or more emphasis marks in a row'", f"pl where {rm('line', r'\*{4,}')} and not {rm('line', r'^\s*\*+\s*$')}")),
-    "duplicate_heading": ("noise", f"c as (select *, {ex('line', r'^(#{1,6})\s+(.+?)\s*$', 2)} title from pl), d as (select doc_id, min(line_no) line_no, arg_min(title, line_no) title, count(*) n from c where title <> '' and lower(title) <> 'subsections' group by doc_id, lower(title))", ("warning", "'heading ''' || title || ''' ' || n || ' times'", "d where n >= 4")),
-    "empty_section": ("book", f"c as (select doc_id, min(line_no) line_no, max(({st('line')} <> '' and not {rm(st('line'), r'^#{1,6}\s')} and not {st('line')} like '> ↑%')::int) body, max({rm(st('line'), r'^##\s+Subsections')}::int) sub from lines group by 1)", ("warning", "'no body'", "c where body = 0 and sub = 0")),
+    "duplicate_heading": ("book", f"c as (select *, {ex('line', r'^(#{1,6})\s+(.+?)\s*$', 2)} title from pl), d as (select doc_id, min(line_no) line_no, arg_min(title, line_no) title, count(*) n from c where title <> '' and lower(title) <> 'subsections' group by doc_id, lower(title))", ("warning", "'heading ''' || title || ''' ' || n || ' times'", "d where n >= 4")),
+    "empty_section": ("shells", f"""e0 as (select *, {st('line')} s, sum(({st('line')} = '---')::int) {UPTO} nth, max((line_no = 0 and {st('line')} = '---')::int) over (partition by doc_id) fronted, sum(({st('line')} = '---')::int) over (partition by doc_id) ends from lines), e1 as (select *, fronted = 1 and ends > 1 and (nth < 2 or nth = 2 and s = '---') head from e0),
+ c as (select doc_id, 0 line_no, max((not head and s <> '' and not s like '#%' and not s like '> ↑%' and not {rm('s', '^<span id="page-' + chr(92) + 'd+-' + chr(92) + 'd+"></span>$')})::int) body, max((not head and s = '## Subsections')::int) sub from e1 group by 1)""", ("warning", "'no body'", "c where body = 0 and sub = 0")),
 }
 
 

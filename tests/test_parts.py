@@ -38,7 +38,7 @@ def test_sections_of_odd_documents(spark):
     assert sorted(by) == [0, 5]
     a, b = sorted(by[0], key=lambda r: r.sec_no)
     assert (a.number, a.title, a.crumb, a.file) == ("1", "Alpha", None, "1-alpha.md")
-    assert (b.number, b.crumb) == ("1.1", "> ↑ 1. Alpha")
+    assert (b.number, b.crumb) == ("1.1", "> ↑ [1. Alpha](1-alpha.md)")
     assert [r.title for r in sorted(by[5], key=lambda r: r.sec_no)] == ["Front Matter", "A"]
 
 

@@ -37,6 +37,7 @@ def duck(small):
 def test_query(spark, small, duck, name):
     df = registry.queries()[name](spark, small)
     rows = df.collect()
+    assert rows, "a query without rows shows nothing"
     sql = registry.oracle_sql().get(name)
     if sql is None:
         return
