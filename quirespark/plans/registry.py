@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from ..session import ship
-from . import links, passes, rest, shape, structure
+from . import links, passes, quizzes, rest, shape, structure
 
-_PARTS = (passes, structure, rest, links, shape)
+_PARTS = (passes, structure, rest, links, shape, quizzes)
 
 
 def queries() -> dict:
