@@ -262,7 +262,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
                 same = np.array([back[boff[i] : boff[i + 1]].tobytes() == buf[off[i] : off[i + 1]].tobytes() for i in range(rb.num_rows)])
             yield record(schema, rb.column(0), np.diff(at).astype(np.int32), lists(ids, at, pa.int32()), same)
 
-    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id bigint, n_tokens int, ids array<int>, round_trip boolean")
+    return docs.select(F.col(id_col).try_cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id bigint, n_tokens int, ids array<int>, round_trip boolean")
 
 
 def decode(tokens: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path: str = VOCABULARY) -> DataFrame:
@@ -282,4 +282,4 @@ def decode(tokens: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path
             out = [None if bad else _text(x.as_py()) for x, bad in zip(whole, (wrong[1:] > wrong[:-1]) | ~np.asarray(col.is_valid()))]
             yield record(schema, rb.column(0), out)
 
-    return tokens.select(F.col(id_col).cast("bigint").alias("id"), F.col(ids_col).cast("array<int>").alias("ids")).mapInArrow(run, "doc_id bigint, text string")
+    return tokens.select(F.col(id_col).try_cast("bigint").alias("id"), F.col(ids_col).cast("array<int>").alias("ids")).mapInArrow(run, "doc_id bigint, text string")

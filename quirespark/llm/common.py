@@ -3,6 +3,9 @@
 Text is handled a chunk of a few megabytes at a time as one byte array with
 document offsets, so that numpy works over many documents per call and memory
 does not depend on how many rows Spark puts into an Arrow batch.
+
+Ids are integers below 2**62. An id that is no integer (a text such as "a7", a number too large for 64 bits) counts as
+none in every operator: the row is handled like one with a null id, and null in the result.
 """
 
 from __future__ import annotations
@@ -41,13 +44,13 @@ NO_ID = 1 << 62
 def key_of(id_col: str, text_col: str) -> Column:
     """Bigint key of a row: its id, or for a null id a number from NO_ID on, made from the text; so ids come before rows without one."""
     made = F.lit(NO_ID) + F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).bitwiseAND(F.lit(NO_ID - 1))
-    return F.coalesce(F.col(f"`{id_col}`").cast("bigint"), made)
+    return F.coalesce(F.col(f"`{id_col}`").try_cast("bigint"), made)
 
 
 def keyed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Columns k (key), id (bigint, may be null), text (null becomes empty); nothing else survives."""
     return df.select(
-        key_of(id_col, text_col).alias("k"), F.col(id_col).cast("bigint").alias("id"),
+        key_of(id_col, text_col).alias("k"), F.col(id_col).try_cast("bigint").alias("id"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
     )
 
@@ -227,8 +230,8 @@ def by_bucket(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, list[byt
 
 
 def in_buckets(df: DataFrame, n: int) -> DataFrame:
-    """Blob rows brought together by bucket: one shuffle of few, large rows."""
-    return df.repartition(n, "bucket").sortWithinPartitions("bucket")
+    """Blob rows brought together by bucket: one shuffle of few, large rows. A bucket's number is its partition's, so no partition gets several by chance."""
+    return df.repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket")
 
 
 def spread(h: np.ndarray, n: int) -> np.ndarray:

@@ -41,7 +41,7 @@ LOWEST = 100  # windows of less entropy (of 1000) are never features
 FILTER_BITS = 2048
 PER_FILTER = 160
 _F = np.round(np.array([0.0, *[c * np.log2(c) for c in range(1, WINDOW + 1)]]) * (1 << 20)).astype(np.int64)
-_FEATURES_PER_BUCKET = 500_000
+_FEATURES_PER_BUCKET = 100_000
 _BLOCK = 1024  # holders of a feature that are paired at once
 _HOT = 64  # holders of a feature among those that a task sends at a time, beyond which they are spread
 _POSTING = ["u8", "i8", "i4", "u1", "i4"]  # feature, class, number of the class's features, flags, others that hold it
@@ -347,9 +347,15 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             rows = [digest(np.frombuffer(x, U)).tobytes() for x in rb.column(2).to_pylist()]
             yield record(shown, *rb.columns, pa.compute.divide(pa.compute.binary_length(rb.column(2)), 8).cast(pa.int32()), rows)
 
-    digests = table.select("k", "id", "features", "g").mapInArrow(build, "k bigint, id bigint, features binary, g bigint, n_features int, digest binary").drop("features")
+    def shown_rows(rows: DataFrame) -> DataFrame:
+        return rows.select("k", "id", "features", "g").mapInArrow(build, "k bigint, id bigint, features binary, g bigint, n_features int, digest binary").drop("features")
+
+    # Rows without features are a class of their own, and perhaps a large one: they need no join.
+    joined = shown_rows(some).join(found, "g", "left")
+    bare = shown_rows(table.where("length(features) = 0"))
+    digests = joined.unionByName(bare.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in joined.schema if f.name not in bare.columns]))
     m = F.when(asks, F.when(F.col("one.f") == F.col("k"), F.col("two")).otherwise(F.col("one")))
-    return digests.join(found, "g", "left").withColumn("m", m).select(
+    return digests.withColumn("m", m).select(
         F.col("id").alias("doc_id"), "n_features", (F.length("digest") / (FILTER_BITS // 8)).cast("int").alias("n_filters"), "digest",
         F.when(F.col("k1") < NO_ID, F.col("k1")).alias("class_id"), F.when(asks, F.coalesce("n_links", F.lit(0))).alias("n_links"),
         F.when(F.col("m.f") < NO_ID, F.col("m.f")).alias("match_id"), (-F.col("m.s")).alias("match_score"),

@@ -166,7 +166,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     ``n_tokens`` is the length of a row in tokens; by default one for each run without white space.
     """
     n = n_tokens if n_tokens is not None else F.regexp_count(F.col(text_col), F.lit(r"\S+"))
-    d = cut(docs.select(key_of(id_col, text_col).alias("k"), F.col(id_col).cast("bigint").alias("id"), F.coalesce(n, F.lit(0)).cast("bigint").alias("n")).where("n > 0"))
+    d = cut(docs.select(key_of(id_col, text_col).alias("k"), F.col(id_col).try_cast("bigint").alias("id"), F.coalesce(n, F.lit(0)).cast("bigint").alias("n")).where("n > 0"))
     pieces = d.select("k", "id", "n", F.explode(F.sequence(F.lit(0), F.expr(f"cast((n - 1) div {capacity} as int)"))).alias("piece")).select(
         "k", "id", "piece", F.least(F.lit(capacity), F.col("n") - F.col("piece").cast("bigint") * capacity).cast("int").alias("len")
     )

@@ -147,11 +147,11 @@ _COUNTS = pa.schema([("w", pa.int64()), *((f"a{i}", pa.int64()) for i in range(4
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", quality_col: str = "quality", toxic_col: str = "toxic", sample: int = SAMPLE, features: int = FEATURES, ridge: float = RIDGE, seed: int = 7) -> Model | None:
     """The fitted model, or None when no row is labelled. Text moves only for the sample."""
     lab = (
-        labels.select(F.col(id_col).cast("bigint").alias("lid"), F.col(quality_col).cast("double").alias("q"), F.col(toxic_col).cast("double").alias("t"))
+        labels.select(F.col(id_col).try_cast("bigint").alias("lid"), F.col(quality_col).cast("double").alias("q"), F.col(toxic_col).cast("double").alias("t"))
         .where("lid is not null and q is not null and t is not null").groupBy("lid").agg(F.max("q").alias("q"), F.max("t").alias("t"))
         .orderBy(F.xxhash64("lid"), "lid").limit(sample)
     )
-    rows = cut(docs.select(F.col(id_col).cast("bigint").alias("lid"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(lab), "lid").repartition(TRAIN_PARTITIONS, "lid").select("text", "q", "t", (F.pmod(F.xxhash64("lid"), F.lit(5)) == 0).alias("held")))
+    rows = cut(docs.select(F.col(id_col).try_cast("bigint").alias("lid"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(lab), "lid").repartition(TRAIN_PARTITIONS, "lid").select("text", "q", "t", (F.pmod(F.xxhash64("lid"), F.lit(5)) == 0).alias("held")))
 
     def count(batches):
         totals = np.zeros(4, np.int64)
@@ -257,7 +257,7 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
         for rb in chunks(batches):
             yield record(_OUT, rb.column(0), *judge(model, rb.column(1), least, most_toxic))
 
-    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id bigint, quality_score double, quality_probability double, toxic_probability double, keep boolean")
+    return docs.select(F.col(id_col).try_cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id bigint, quality_score double, quality_probability double, toxic_probability double, keep boolean")
 
 
 def keep(docs: DataFrame, model: Model | None, text_col: str = "text", least: float = 0.5, most_toxic: float = 0.5) -> DataFrame:

@@ -405,7 +405,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules:
                 ids = rb.column(0).to_pylist()
                 yield record(_OUT, [ids[d] for d, *_ in found], [scanner.names[r] for _, r, _, _ in found], [s for *_, s, _ in found], [e for *_, e in found], [hashlib.sha256(buf[off[d] + s : off[d] + e].tobytes()).hexdigest() for d, _, s, e in found])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id bigint, rule string, start_byte int, end_byte int, secret_sha256 string")
+    return docs.select(F.col(id_col).try_cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id bigint, rule string, start_byte int, end_byte int, secret_sha256 string")
 
 
 def redact(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:

@@ -155,7 +155,7 @@ def encode_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             ids, off = bpe.encode(*utf8(rb.column(1)))
             yield _rows(rb.column(0), ids.astype(np.int64), off)
 
-    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, _DDL)
+    return docs.select(F.col(id_col).try_cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, _DDL)
 
 
 def encode_ids(tokens: DataFrame, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -176,7 +176,7 @@ def encode_ids(tokens: DataFrame, id_col: str = "doc_id", ids_col: str = "ids")
                 out = pa.RecordBatch.from_arrays(cols, schema=_OUT)
             yield out
 
-    return tokens.select(F.col(id_col).cast("bigint").alias("id"), F.col(ids_col).cast("array<bigint>").alias("ids")).mapInArrow(run, _DDL)
+    return tokens.select(F.col(id_col).try_cast("bigint").alias("id"), F.col(ids_col).cast("array<bigint>").alias("ids")).mapInArrow(run, _DDL)
 
 
 def decode_ids(coded: DataFrame) -> DataFrame:

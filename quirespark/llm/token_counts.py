@@ -128,4 +128,4 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             total = [np.r_[0, np.cumsum(x[code])][at] for x in (count, score)]
             yield record(schema, rb.column(0), np.diff(at), np.diff(total[0]), np.diff(total[1]) / 10_000)
 
-    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id bigint, n_pretokens bigint, n_tokens bigint, score double")
+    return docs.select(F.col(id_col).try_cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id bigint, n_pretokens bigint, n_tokens bigint, score double")

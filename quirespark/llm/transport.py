@@ -336,7 +336,7 @@ def units(streams: DataFrame, id_col: str = "doc_id", ts_col: str = "ts") -> Dat
             i32 = lambda c: u[c].astype(np.int32)
             yield record(_OUT, rb.column(0).take(pa.array(u["stream"])), i32("pid"), i32("stream_type"), i32("unit_no"), pts, dts, u["random_access"], i32("n_packets"), i32("lost_packets"), u["complete"], strings(u["payload"], u["offsets"], pa.binary()))
 
-    return streams.select(F.col(id_col).cast("bigint").alias("id"), F.col(ts_col).cast("binary").alias("ts")).mapInArrow(run, _DDL)
+    return streams.select(F.col(id_col).try_cast("bigint").alias("id"), F.col(ts_col).cast("binary").alias("ts")).mapInArrow(run, _DDL)
 
 
 def streams(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -348,4 +348,4 @@ def streams(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             ts, off = mux(*utf8(rb.column(1)))
             yield record(schema, rb.column(0), strings(ts, off, pa.binary()))
 
-    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id bigint, ts binary")
+    return docs.select(F.col(id_col).try_cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id bigint, ts binary")

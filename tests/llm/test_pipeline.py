@@ -49,6 +49,26 @@ def test_stages_on_nothing(spark, tmp_path):
     assert corpus_pipeline.run(spark, sf).count() == 0
 
 
+def test_stages_on_odd_rows(spark, tmp_path, odd, prose):
+    """Nulls, repeats, a very long text and columns named like the operators' own go through every stage; extra columns stay up to the last."""
+    spark.createDataFrame([(i, int(i % 2), 0) for i in range(1, 10)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = odd
+    for name, f in corpus_pipeline.STAGES[:4]:
+        docs = f(spark, docs, str(tmp_path))
+        assert docs.columns == odd.columns and docs.dtypes == odd.dtypes, name
+    assert docs.count() <= odd.count()
+    assert corpus_pipeline.STAGES[4][1](spark, docs, str(tmp_path)).columns[:4] == ["bin_id", "slot", "bin_offset", "doc_id"]
+
+
+def test_ids_that_are_no_integers(spark, prose):
+    """Count as none."""
+    rows = [("a7", prose(80, 1)), ("12", prose(80, 2)), ("99999999999999999999", prose(80, 3)), (None, prose(80, 4))]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    assert sorted(r.doc_id or 0 for r in simhash.near_duplicates(df).collect()) == [0, 0, 0, 12]
+    assert secrets.scan(df).count() == 0 and suffixes.repeated_passages(df).count() == 0 and {r.doc_id for r in packing.pack(df).collect()} == {12, None}
+    assert simhash.dedup(df).count() == 4
+
+
 def test_every_query_has_its_number():
     assert [int(n[2:].split("_")[0]) for n in queries.queries()] == list(range(1, 11))
     assert [n for n, _ in corpus_pipeline.STAGES] and 4 <= len(corpus_pipeline.STAGES) <= 5
