@@ -1,4 +1,9 @@
-"""Corpus preparation in five stages, each over all that the stage before it kept."""
+"""Corpus preparation in five stages, each over all that the stage before it kept.
+
+Every stage takes odd rows as its operator does: a null or empty text is scored, grouped and passed on like any other and
+has no piece in a bin; rows that share an id are one document to the near-duplicate stage, of which one stays; a row without
+an integer id is told apart by its text; columns beyond those of documents are passed on, whatever their names.
+"""
 
 from __future__ import annotations
 
@@ -60,10 +65,19 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def _delete(spark: SparkSession, where: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to the documents; between two stages the rows go through Parquet in the shared folder."""
+    """The stages applied to the documents; between two stages the rows go through Parquet in the shared folder.
+
+    A stage's rows are deleted when the next stage's are written; those of the last but one stay, since the result is read from them.
+    """
     docs = ship(spark).read.parquet(f"{sf_dir}/documents.parquet")
     base = spark.conf.get("spark.checkpoint.dir", None)
+    before = None
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
@@ -71,6 +85,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
                 where = f"{base.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
                 docs.write.parquet(where)
                 docs = spark.read.parquet(where)
+                if before:
+                    _delete(spark, before)
+                before = where
             else:
                 from quirespark.llm.common import cut
 
