@@ -156,20 +156,26 @@ def preserve_indent(original: Column, normalized: Column) -> Column:
     return F.when((indent != "") & body.rlike(r"^(?:\d+\.|[-*+])\s"), F.concat(indent, body)).otherwise(normalized)
 
 
-def clean_line(raw: Column, aggressive: bool = False, cross_refs: str = "keep") -> Column:
-    """The rules of a line in their order, but for tables, blank runs and headings' anchors."""
-    c = rstrip(raw)
-    c = strip_non_ascii(c) if aggressive else strip_control(c)
-    c = strip_page_spans(c) if aggressive else c
-    c = strip_inline_tags(c)
-    c = repair_cross_ref(preserve_indent(c, strip(c)))
-    c = strip_page_refs(c) if cross_refs == "strip" else c
-    c = promote_numbered(unescape_underscores(c))
+def bound(c: Column, *rules) -> Column:
+    """Rules one after the other, each on a value that is named once, so that an expression grows by their sum and not by their product."""
+    for rule in rules:
+        c = F.element_at(F.transform(F.array(c), rule), 1)
+    return c
+
+
+def _heading_marks(c: Column) -> Column:
     p = r"^(\s*#{1,6}\s+)(.*)$"
     h = rstrip(strip_page_spans(c))
-    c = F.when(strip(c).startswith("#"), F.when(h.rlike(p), F.concat(F.regexp_extract(h, p, 1), marker_pollution(F.regexp_extract(h, p, 2)))).otherwise(h)).otherwise(c)
-    c = list_bullet(c)
-    return preserve_indent(c, rstrip(c))
+    return F.when(strip(c).startswith("#"), F.when(h.rlike(p), F.concat(F.regexp_extract(h, p, 1), marker_pollution(F.regexp_extract(h, p, 2)))).otherwise(h)).otherwise(c)
+
+
+def clean_line(raw: Column, aggressive: bool = False, cross_refs: str = "keep") -> Column:
+    """The rules of a line in their order, but for tables, blank runs and headings' anchors."""
+    first = (lambda x: strip_page_spans(strip_non_ascii(rstrip(x)))) if aggressive else (lambda x: strip_control(rstrip(x)))
+    refs = strip_page_refs if cross_refs == "strip" else (lambda x: x)
+    return bound(
+        raw, lambda x: strip_inline_tags(first(x)), lambda x: preserve_indent(x, strip(x)), lambda x: unescape_underscores(refs(repair_cross_ref(x))), promote_numbered, _heading_marks, list_bullet, lambda x: preserve_indent(x, rstrip(x)),
+    )
 
 
 def is_prose_title(title: Column) -> Column:

@@ -363,7 +363,11 @@ def breadcrumbs(sections: DataFrame, min_body: int = MIN_BODY) -> DataFrame:
 
 def section_files(lines: DataFrame, nested: bool = False, min_body: int = MIN_BODY) -> DataFrame:
     """(doc_id, section_id, content): the files of a document's sections, with their identity in front matter, the crumb, the text and the list of subsections."""
-    s = identified(tree(lines), nested, min_body)
+    return section_contents(identified(tree(lines), nested, min_body)).select("doc_id", "section_id", "content")
+
+
+def section_contents(s: DataFrame) -> DataFrame:
+    """Files (``identified``) with their ``content``."""
     head = frontmatter(
         ("section_path",), doc_id=F.col("doc_id").cast("string"), section_id=F.col("section_id"), parent_id=F.col("parent_id"), section_title=strip_links(F.col("title")), section_path=F.when(F.size("section_path") > 0, F.col("section_path")),
         section_number=F.col("number"), heading_level=F.col("level"), depth=F.size("section_path"), order=F.col("order"),
@@ -378,7 +382,7 @@ def section_files(lines: DataFrame, nested: bool = False, min_body: int = MIN_BO
         ),
         lambda x: x.isNotNull(),
     )
-    return s.select("doc_id", "section_id", F.concat(head, F.regexp_replace(F.array_join(parts, "\n\n"), r"\s+$", ""), F.lit("\n")).alias("content"))
+    return s.withColumn("content", F.concat(head, F.regexp_replace(F.array_join(parts, "\n\n"), r"\s+$", ""), F.lit("\n"))).drop("body", "children")
 
 
 def index(lines: DataFrame, nested: bool = False, min_body: int = MIN_BODY) -> DataFrame:

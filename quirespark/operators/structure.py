@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import fragments, refs
 from ..functions.text import clean_line, collapse_emphasis, is_image_only, slug, strip
+from ..session import checkpointed
 from . import headings, links, tables
 from .lines import collect_lines, explode_lines, squeeze_blanks, upto, whole
 
@@ -81,16 +82,15 @@ def promote_outline(lines: DataFrame) -> DataFrame:
 
 
 def cleanup(docs: DataFrame, level: str = "basic", cross_refs: str = "keep") -> DataFrame:
-    """(doc_id, md): embedded HTML, entities, emphasis, outlines, the rules of a line, tables, blank runs and the passes over headings, in this order; ``off`` changes nothing."""
+    """(doc_id, md): embedded HTML, entities, emphasis, outlines, the rules of a line, tables, blank runs and the passes over headings, in this order; ``off`` changes nothing. The lines are written to the checkpoint folder twice on the way."""
     if level == "off":
         return docs.select("doc_id", "md")
     hard = level == "aggressive"
     lines = explode_lines(docs.select("doc_id", fragments.clean_text(F.col("md")).alias("md")))
     lines = lines.select("doc_id", "line_no", collapse_emphasis(F.col("line")).alias("line"))
     lines = promote_outline(lines).select("doc_id", "line_no", "line", "promoted")
-    outline = F.max("promoted").over(whole())
-    lines = lines.withColumn("outline", outline).drop("promoted")
-    flags = lines.select("doc_id", "outline").distinct()
+    lines = checkpointed(lines.withColumn("outline", F.max("promoted").over(whole())).drop("promoted"))
+    outlined = lines.where("outline = 1").select("doc_id").distinct()
     lines = lines.drop("outline")
     if cross_refs == "remap":
         lines = links.remap_page_refs(lines)
@@ -103,10 +103,9 @@ def cleanup(docs: DataFrame, level: str = "basic", cross_refs: str = "keep") ->
     is_table = strip(F.col("line")).startswith("|") & strip(F.col("line")).endswith("|")
     rest = lines.where(~is_table).select("doc_id", "line_no", F.lit(0).alias("part"), "line")
     lines = squeeze_blanks(_renumbered(rest.unionByName(tables.normalize_tables(lines))))
-    lines = headings.dedupe_consecutive(lines)
-    plain = lines.join(flags.where("outline = 0").select("doc_id"), "doc_id", "left_semi")
-    lines = headings.heading_passes(plain).unionByName(headings.outline_passes(lines.join(flags.where("outline = 1").select("doc_id"), "doc_id", "left_semi")))
-    return collect_lines(lines).select("doc_id", F.concat(strip(F.col("md")), F.lit("\n")).alias("md"))
+    lines = checkpointed(headings.dedupe_consecutive(lines).join(outlined.withColumn("outline", F.lit(1)), "doc_id", "left"))
+    done = headings.heading_passes(lines.where("outline is null").drop("outline")).unionByName(headings.outline_passes(lines.where("outline = 1").drop("outline")))
+    return collect_lines(done).select("doc_id", F.concat(strip(F.col("md")), F.lit("\n")).alias("md"))
 
 
 def _renumbered(parts: DataFrame) -> DataFrame:

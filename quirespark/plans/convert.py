@@ -1,7 +1,8 @@
 """From documents to chunks in one call, by a preset or by single options.
 
 The stages are those of a conversion: clean-up, levels, repair, structure, captions, split. Each takes and
-gives (doc_id, md); a stage that the options leave out passes its input on.
+gives (doc_id, md); a stage that the options leave out passes its input on. Between clean-up, heading stages and
+split the texts are written to the checkpoint folder, so that a lost executor costs a stage and no plan holds them all.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators import links, normalize, repair, sections, structure
 from ..operators.lines import collect_lines, explode_lines
+from ..session import checkpointed
 
 
 @dataclass(frozen=True)
@@ -54,7 +56,7 @@ def structured(docs: DataFrame, o: Options, captions: DataFrame | None = None) -
     if o.strip_templates:
         df = df.withColumn("md", structure.strip_template_pages(F.col("md")))
     df = structure.cleanup(df, o.cleanup, o.cross_refs)
-    lines = explode_lines(df)
+    lines = explode_lines(checkpointed(df))
     if o.normalize_headings:
         lines = normalize.normalize(lines)
     if o.repair_headings:
@@ -72,7 +74,7 @@ def convert(spark: SparkSession, docs: DataFrame, config: str | Options = "rag-d
     Documents without text, or without a section of enough text, have no chunk.
     """
     o = options(config) if isinstance(config, str) else config
-    lines = explode_lines(structured(docs.where("md is not null"), o, captions))
+    lines = explode_lines(checkpointed(structured(docs.where("md is not null"), o, captions)))
     tree = sections.ancestors(sections.find_parents(sections.parse_sections(lines, min_level=o.min_level)))
     if o.english_only:
         tree = sections.english_sections(tree)
@@ -80,6 +82,7 @@ def convert(spark: SparkSession, docs: DataFrame, config: str | Options = "rag-d
     text = F.concat(sections.heading_line(), F.lit("\n\n"), F.regexp_replace(F.array_join("body", "\n"), r"^\s+|\s+$", ""))
     if o.target_chars is None:
         return found.select("doc_id", "sec_no", F.lit(1).alias("part"), "level", "number", "title", "crumb", "section_id", "parent_id", text.alias("text"))
+    found = checkpointed(found)
     packed = sections.pack_sections(sections.keep_sections(tree, o.min_body), o.target_chars)
     ids = found.select("doc_id", "sec_no", "crumb", "section_id", "parent_id")
     return packed.join(ids, ["doc_id", "sec_no"]).select("doc_id", "sec_no", "part", "level", "number", "title", "crumb", "section_id", "parent_id", text.alias("text"))

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import frontmatter
+from ..operators import sections
 from ..operators.lines import explode_lines
-from ..operators.sections import chunks
 
 #: Suffix -> how a file is read.
 BACKENDS = {"md": "markdown", "markdown": "markdown", "txt": "markdown", "html": "html", "htm": "html", "xml": "quiz", "zip": "archive", "pdf": "pages", "docx": "office", "pptx": "office", "epub": "office", "png": "image", "jpg": "image", "jpeg": "image"}
@@ -32,20 +31,21 @@ def read_records(spark: SparkSession, path: str, schema: str = "doc_id bigint, m
     return spark.read.schema(schema).json(path)
 
 
-def write_chunks(docs: DataFrame, path: str, min_body: int = 20) -> DataFrame:
-    """Writes the section chunks of (doc_id, md) as Parquet, each with its identity in front matter, and returns what was written.
+def write_chunks(docs: DataFrame, path: str, min_body: int = sections.MIN_BODY, nested: bool = False) -> DataFrame:
+    """Writes the section files of (doc_id, md) as Parquet, each with its whole text, its identity in front matter and its list of subsections, and returns what was written.
 
-    Files are laid out by document hash, so that a reader of one document prunes to one folder.
+    Rows are laid out by document hash, so that a reader of one document prunes to one folder. An earlier
+    split in the folder is replaced, so no stale file stays.
     """
-    c = chunks(explode_lines(docs), min_body)
-    head = frontmatter(doc_id=F.col("doc_id").cast("string"), section_id=F.col("file"), title=F.col("title"), order=F.col("sec_no").cast("string"))
-    out = c.select("*", F.concat_ws("\n\n", head, "crumb", "text").alias("content"), F.pmod(F.xxhash64("doc_id"), F.lit(64)).cast("int").alias("part"))
-    out.write.mode("overwrite").partitionBy("part").parquet(path)
+    lines = explode_lines(docs)
+    s = sections.identified(sections.tree(lines), nested, min_body)
+    files = sections.section_contents(s)
+    files.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(64)).cast("int")).write.mode("overwrite").partitionBy("part").parquet(path)
     return docs.sparkSession.read.parquet(path)
 
 
-def index_entries(chunk_rows: DataFrame) -> DataFrame:
-    """(doc_id, md): a document's index, a link per chunk, indented by its level."""
-    line = F.concat(F.repeat(F.lit("  "), F.col("level") - 1), F.lit("- ["), "title", F.lit("]("), "file", F.lit(")"))
-    rows = F.array_sort(F.collect_list(F.struct("sec_no", line.alias("line"))))
-    return chunk_rows.groupBy("doc_id").agg(F.concat(F.lit("# Index\n\n"), F.array_join(F.transform(rows, lambda r: r["line"]), "\n")).alias("md"))
+def index_entries(files: DataFrame) -> DataFrame:
+    """(doc_id, md): a document's index, a link per file, indented by its depth."""
+    line = F.concat(F.repeat(F.lit("  "), F.size("section_path")), F.lit("- ["), "shown", F.lit("]("), "section_id", F.lit(")"))
+    rows = F.array_sort(F.collect_list(F.struct("order", line.alias("line"))))
+    return files.groupBy("doc_id").agg(F.concat(F.lit("# Index\n\n"), F.array_join(F.transform(rows, lambda r: r["line"]), "\n")).alias("md"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
-from quirespark.functions import html, mathml
-from quirespark.operators import audit, lines, sections, tables
+from quirespark.functions import fragments, html, mathml, text
+from quirespark.operators import audit, lines, sections, structure, tables
+from quirespark.plans import convert
 from quirespark.sources import documents
 from quirespark.streaming import inbox
 
@@ -66,7 +68,7 @@ def test_files_in_and_chunks_out(spark, tmp_path):
     md = documents.read_markdown(spark, f"{tmp_path}/in")
     out = documents.write_chunks(md, f"{tmp_path}/out")
     assert out.count() == 2 and out.where(F.col("content").startswith("---\n")).count() == 2
-    assert documents.index_entries(out).first().md == "# Index\n\n- [Alpha](1-alpha.md)\n  - [Beta](1-1-beta.md)"
+    assert documents.index_entries(out).first().md == "# Index\n\n- [1. Alpha](1-alpha.md)\n  - [1.1. Beta](1-1-beta.md)"
 
 
 def test_the_inbox_reads_each_file_once(spark, tmp_path):
@@ -97,3 +99,102 @@ def test_non_english_has_the_reference_lists_and_scripts(spark):
     want = {i: w for i, _, w in rows}
     want[8] = True  # Greek letters, twelve of them
     assert len(language.ENGLISH) == 51 and got == want
+
+
+# -- cases of the behaviour that is matched, as literals
+
+
+def one(spark, column, *values):
+    """What a column rule makes of texts."""
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, x string")
+    return [r.y for r in df.select("i", column(F.col("x")).alias("y")).orderBy("i").collect()]
+
+
+def test_labels_and_file_names(spark):
+    assert one(spark, text.crumb, "a|b", "a\\b (c)", "x" * 60, "[]") == ["a b", "a b c", "x" * 50 + "…", ""]
+    assert one(spark, text.file_slug, "[Foo](#bar) Baz", "Ünïcode & Co. $5", "***", "a" * 199 + " bc") == ["foo-baz", "ünïcode-co-$5", "section", "a" * 199]
+    assert one(spark, text.strip_links, "[a[b](c)](d) e", "no", "a[b](c)d") == ["ab e", "no", "abd"]
+    assert one(spark, text.repair_cross_ref, "Se[e Foo](#page-1-2)", "see [Foo](#page-1-2)", "[Foo](#page-1-2)") == ["[See Foo](#page-1-2)", "see [Foo](#page-1-2)", "[Foo](#page-1-2)"]
+
+
+def table(spark, *rows):
+    got = tables.normalize_tables(as_lines(spark, "\n".join(rows))).orderBy("line_no", "part").collect()
+    return [r.line for r in got]
+
+
+def test_tables_as_they_should_be(spark):
+    assert table(spark, "| Title |", "|---|", "| a | b |", "| 1 | 2 | |") == ["**Title**", "", "| a | b |", "| --- | --- |", "| 1 | 2 |"]
+    assert table(spark, "| a | b | c |", "| 1 |") == ["| a | b | c |", "| --- | --- | --- |", "| 1 |  |  |"]
+    assert table(spark, "| only |", "|:--|", "| x |") == ["| only |  |", "| --- | --- |", "| x |  |"]
+    assert table(spark, "| open", "text") == [] and table(spark, "|---|", "| --- |") == ["|---|", "| --- |"]
+
+
+def test_crumbs_of_dropped_parents(spark):
+    """A parent that is an entry of a contents page has no file, but its name stays in the crumb."""
+    body = "A body that is long enough to be kept as a file."
+    got = {r.title: r for r in sections.chunks(as_lines(spark, f"# Part\n{body}\n## 1.1 Intro 32\n### Child\n{body}\n"), 20).collect()}
+    assert got["Child"].crumb == "> ↑ 1.1. Intro 32" and "Intro 32" not in got
+
+
+def test_a_list_of_links_is_no_parent(spark):
+    body = "A body that is long enough to be kept as a file."
+    md = f"# Top\n{body}\n## Contents\n- [A](#a)\n- [B](#b)\n### A\n{body}\n### B\n{body}\n"
+    got = {r.title: r.crumb for r in sections.chunks(as_lines(spark, md)).collect()}
+    assert got["A"] == got["B"] == "> ↑ [Top](top.md)"
+
+
+def test_packing_to_a_size(spark):
+    para = "word " * 20
+    small = f"# A\n{para}\n## B\n{para}\n"
+    large = "# Big\n" + "\n\n".join([para] * 10) + "\n\n```\n" + para + "\n\n" + para + "\n```\n"
+    s = sections.keep_sections(sections.tree(as_lines(spark, small, large)))
+    got = sorted((r.doc_id, r.sec_no, r.part, r.parts, r.title, "\n".join(r.body)) for r in sections.pack_sections(s, 400).collect())
+    assert got[0][:5] == (0, 1, 1, 1, "A") and "## B" in got[0][5] and len([x for x in got if x[0] == 0]) == 1
+    parts = [x for x in got if x[0] == 1]
+    assert len(parts) == parts[0][3] > 2 and parts[1][4] == f"Big (part 2 of {len(parts)})"
+    assert sum(p[5].count("```") for p in parts) == 2 and all(p[5].count("```") in (0, 2) for p in parts)
+    assert "\n\n".join(p[5] for p in parts).split() == large.split()[2:]
+
+
+def test_relative_paths(spark):
+    df = spark.createDataFrame([(["a", "b", "f.md"], ["a", "c"]), (["f.md"], []), (["a", "f.md"], ["a"]), (["f.md"], ["x", "y"])], "t array<string>, s array<string>")
+    assert sorted(r.r for r in df.select(sections.relative(F.col("t"), F.col("s")).alias("r")).collect()) == ["../../f.md", "../b/f.md", "f.md", "f.md"]
+
+
+def test_fragments_of_html():
+    f = fragments.to_markdown
+    assert f("") == f("   ") == "" and f("<p>Some <b>bold <strong>in</strong></b> H<sub>2</sub>O</p>") == "Some **bold in** H2O"
+    assert f("<h2>Title</h2><p>text</p>") == "**Title**\n\ntext"
+    assert f('<img class="equation_image" alt="LaTeX: x^2">') == "$x^2$" and f('<img class="equation_image" data-equation-content="y" alt="z">') == "$y$"
+    assert f("<ul><li>a</li><li>b<ul><li>c</li></ul></li></ul>") == "* a\n* b\n  + c"
+    assert f("<p>x</p><script>z</script><div style='display: none'>h</div>") == "x"
+    assert f('<img src="m/a.png" alt="pic">', media=lambda s: "") == "pic" and f('<img src="m/a.png">', media=lambda s: "images/a.png") == "![](images/a.png)"
+    assert f("<table><tr><th>A</th></tr><tr><td>1<br>2</td></tr></table>") == "| A |\n| --- |\n| 1 2 |"
+    assert fragments.embedded("```\n<table>\n</table>\n```") == "```\n<table>\n</table>\n```"
+
+
+def test_the_clean_up_as_a_whole(spark):
+    md = "<table>\n<tr><th>A</th><th>B</th></tr>\n<tr><td>1</td><td>2</td></tr>\n</table>\n1.2. Numbered\n\n\n\nText &amp; <b>more</b> a\\_b\n## **Bold** one\nbody\n- a. item\n"
+    want = "| A | B |\n| --- | --- |\n| 1 | 2 |\n## 1.2. Numbered\n\nText & more a_b\n## Bold one\nbody\n  - a) item\n"
+    df = spark.createDataFrame([(1, md), (2, None), (3, "")], "doc_id bigint, md string")
+    assert {r.doc_id: r.md for r in structure.cleanup(df).collect()}[1] == want
+    assert {r.doc_id: r.md for r in structure.cleanup(df, "off").collect()} == {1: md, 2: None, 3: ""}
+
+
+def test_outlines_become_headings(spark):
+    md = "* + 1. First\n    1. Sub\n        1. Leaf\n2. Second\n3. Third\n"
+    lines_ = [r.line for r in structure.promote_outline(as_lines(spark, md)).orderBy("line_no").collect()]
+    assert [x for x in lines_ if x.startswith("#")] and not any(x.startswith("* +") for x in lines_)
+
+
+def test_documents_to_chunks_in_one_call(spark):
+    docs = spark.createDataFrame([(1, MD), (2, None), (3, ""), (4, "# A\n\n![x](images/p.png) and a body that is long enough.\n")], "doc_id bigint, md string")
+    got = {(r.doc_id, r.title): r for r in convert.convert(spark, docs).collect()}
+    assert sorted(got) == [(1, "Alpha"), (1, "Beta"), (4, "A")] and got[1, "Beta"].parent_id == got[1, "Alpha"].section_id
+    caption = spark.createDataFrame([(4, "p.png", "a map", None)], "doc_id bigint, basename string, caption string, mermaid string")
+    assert any("![a map](images/p.png)" in r.text for r in convert.convert(spark, docs, convert.options("flat", target_chars=2000), caption).collect())
+    assert convert.options("flat").nested is False and convert.options("flat", cleanup=None).cleanup == "basic"
+    with pytest.raises(ValueError):
+        convert.options("none")
+    with pytest.raises(ValueError):
+        convert.options("flat", colour=1)
