@@ -48,6 +48,8 @@ _TRIM = lambda c: st(rr(c, r"^[* ]+|[* ]+$"))
 _LOCK = r"^(\s*)#+\s+(\d+\.\d+(?:\.\d+)*[a-z]?\.?\s+.+?)\s*$"
 _NUM = r"^(#+)\s+(\d+(?:\.\d+)*\.)\s+(.+?)$"
 
+FREE = f"list_reduce(list_prepend(line, list_transform(range(len(regexp_extract_all(line, '\\]\\('))), lambda i: '')), lambda a, b: regexp_replace(a, '{T.LINK}', '\\1', 'g'))"
+
 #: name -> (column rule, SQL of the new line)
 RULES = {
     "collapse_emphasis": (T.collapse_emphasis, f"case when {rm('line', r'^\s*\*{3,}\s*$')} then line else {rr('line', r'\*{4,}', '**')} end"),
@@ -67,11 +69,11 @@ RULES = {
     "promote_numbered": (T.promote_numbered, f"case when {_S} like '#%' then case when {ex(_S, r'^(#+)\s*(.+?)$')} = '' then line else repeat('#', least(length({ex(_S, r'^(#+)\s*(.+?)$')}), 6)) || ' ' || {_TRIM(ex(_S, r'^(#+)\s*(.+?)$', 2))} end when {dots(ex(_S, r'^(\d+(?:\.\d+)*)\.\s+.+$'))} = 0 then line else repeat('#', least({dots(ex(_S, r'^(\d+(?:\.\d+)*)\.\s+.+$'))} + 1, 6)) || ' ' || {ex(_S, r'^(\d+(?:\.\d+)*)\.\s+.+$')} || '. ' || {_TRIM(ex(_S, r'^\d+(?:\.\d+)*\.\s+(.+)$'))} end"),
     "prose_demote": (T.demote_prose, f"case when {_S} not like '#%' then line when {rm(_S, _NUM)} then case when {PROSE_TITLE.format(t=ex(_S, _NUM, 3))} then {ex(_S, _NUM, 2)} || ' ' || {ex(_S, _NUM, 3)} else line end when {ex(_S, r'^(#+)\s+(.+?)$', 2)} = '' then line when {rm(ex(_S, r'^(#+)\s+(.+?)$', 2), r'^(?:Figure|Fig\.|Table|Tbl\.|Eq\.|Equation)\s+\d', 'i')} then {ex(_S, r'^(#+)\s+(.+?)$', 2)} when {rm(ex(_S, r'^(#+)\s+(.+?)$', 2), r'\p{Lu}')} and not {rm(ex(_S, r'^(#+)\s+(.+?)$', 2), r'\p{Ll}')} then line when (length({ex(_S, r'^(#+)\s+(.+?)$', 2)}) > 40 and {rm(ex(_S, r'^(#+)\s+(.+?)$', 2), r'[.?!]$')}) or (length({ex(_S, r'^(#+)\s+(.+?)$', 2)}) > 10 and {rm('left(' + ex(_S, r'^(#+)\s+(.+?)$', 2) + ', length(' + ex(_S, r'^(#+)\s+(.+?)$', 2) + ') - 10)', r'\. [A-Z]')}) then {ex(_S, r'^(#+)\s+(.+?)$', 2)} else line end"),
     "heading_slug": (T.slug, rr(rr(rr(rr("lower(" + rr(st(rr(_S, r'<span id="page-\d+-\d+"></span>')), r"^#+\s*") + ")", r"\s+", "-"), r"[^a-z0-9-]"), r"-+", "-"), r"^-+|-+$")),
-    "file_slug": (T.file_slug, f"case when {rr(rr('lower(line)', r'[^\p{L}\p{N}$]+', '-'), r'^-+|-+$')} = '' then 'section' else left({rr(rr('lower(line)', r'[^\p{L}\p{N}$]+', '-'), r'^-+|-+$')}, 200) end"),
-    "breadcrumb_label": (T.crumb, "case when length(x) > 50 then regexp_replace(left(x, 49), '\\s+$', '') || '…' else x end".replace("x", st(rr(rr(rr(rr(rr("line", r"\[([^\[\]]*)\]\([^()]*\)", r"\1"), r"\[([^\[\]]*)\]\([^()]*\)", r"\1"), r"\[([^\[\]]*)\]\([^()]*\)", r"\1"), r"[\[\]()|<>`]"), r"\s+", " "))) if False else None),
+    "file_slug": (T.file_slug, f"list_transform([{rr(rr(f'lower({FREE})', r'[^\p{L}\p{N}$]+', '-'), r'^-+|-+$')}], lambda z: case when z = '' then 'section' when length(z) > 200 then {rr('left(z, 200)', r'^-+|-+$')} else z end)[1]"),
+    "strip_links": (T.strip_links, FREE),
 }
-_CRUMB = st(rr(rr(rr(rr(rr("line", r"\[([^\[\]]*)\]\([^()]*\)", r"\1"), r"\[([^\[\]]*)\]\([^()]*\)", r"\1"), r"\[([^\[\]]*)\]\([^()]*\)", r"\1"), r"[\[\]()|<>`]"), r"\s+", " "))
-RULES["breadcrumb_label"] = (T.crumb, f"case when length({_CRUMB}) > 50 then {rr(f'left({_CRUMB}, 49)', r'\s+$')} || '…' else {_CRUMB} end")
+_CRUMB = st(rr(rr("line", r"[|" + "\\" + "[" + "\\" + "]()<>" + "\\\\" + r"\n\r\t]+", " "), r"\s+", " "))
+RULES["breadcrumb_label"] = (T.crumb, f"list_transform([{_CRUMB}], lambda z: case when length(z) > 50 then {rr('left(z, 50)', r'\s+$')} || '…' else z end)[1]")
 
 _HH = f"regexp_matches({_S}, '^#.')"
 _LEVEL = f"length({ex(_S, r'^(#+)\s*(.+?)$')})"

@@ -29,11 +29,13 @@ def _marks(spark, d):
     )
 
 
-_QUIZ = "select conv_id doc_id, turn * 10 + i line_no, case i when 0 then 'Question ' || cast(turn + 1 as string) when 1 then substring(text, 1, 40) when 2 then '' when 3 then 'A. ' || role when 4 then 'B) second' else 'C third' end line from conversations cross join (select 0 i union all select 1 union all select 2 union all select 3 union all select 4 union all select 5) k"
+#: The whole text of a turn between the question's number and its options.
+_QUIZ_SPARK = "select conv_id doc_id, cast(turn * 1000 + 1 + p as bigint) line_no, line from {c} lateral view posexplode(split(text, '\\\\n')) e as p, line union all select conv_id, cast(turn * 1000 + i as bigint), case i when 0 then 'Question ' || cast(turn + 1 as string) when 990 then '' when 991 then 'A. ' || role when 992 then 'B) second' else 'C third' end from {c} lateral view explode(array(0, 990, 991, 992, 993)) k as i"
+_QUIZ = "select conv_id doc_id, (turn * 1000 + 1 + unnest(range(len(string_split(text, chr(10))))))::bigint line_no, unnest(string_split(text, chr(10))) line from conversations union all select conv_id, (turn * 1000 + i)::bigint, case i when 0 then 'Question ' || (turn + 1) when 990 then '' when 991 then 'A. ' || role when 992 then 'B) second' else 'C third' end from conversations cross join (select unnest([0, 990, 991, 992, 993]) i) k"
 
 
 def _quiz(spark, d):
-    return spark.sql(_QUIZ.replace("from conversations", "from {c}"), c=_read(spark, d, "conversations"))
+    return spark.sql(_QUIZ_SPARK, c=_read(spark, d, "conversations"))
 
 
 def _plans(spark, d):
@@ -49,8 +51,12 @@ def _calls(spark, d):
 
 
 def _runs(spark, d):
-    o = _read(spark, d, "orders").select(F.concat(F.lit("p"), F.col("o_orderkey").cast("string")).alias("path"), (F.col("o_custkey") % 50).alias("n_lines"), F.sha2("o_orderpriority", 256).alias("sha256"), "o_orderkey", "o_custkey")
-    return o.where("o_orderkey % 5 <> 0").drop("o_orderkey", "o_custkey"), o.where("o_orderkey % 7 <> 0").withColumn("sha256", F.when(F.col("o_custkey") % 4 == 0, F.lit("new")).otherwise(F.col("sha256"))).withColumn("n_lines", F.col("n_lines") + F.col("o_custkey") % 3).drop("o_orderkey", "o_custkey")
+    """Two runs over all orders: some files got another name, some another text."""
+    o = _read(spark, d, "orders")
+    old = o.select(F.concat(F.lit("p"), F.col("o_orderkey").cast("string")).alias("path"), (F.col("o_custkey") % 50).alias("n_lines"), F.sha2("o_orderpriority", 256).alias("sha256"))
+    moved = F.when(F.col("o_orderkey") % 7 == 0, "q").otherwise("p")
+    new = o.select(F.concat(moved, F.col("o_orderkey").cast("string")).alias("path"), (F.col("o_custkey") % 50 + F.col("o_custkey") % 3).alias("n_lines"), F.when(F.col("o_custkey") % 4 == 0, F.lit("new")).otherwise(F.sha2("o_orderpriority", 256)).alias("sha256"))
+    return old, new
 
 
 def queries() -> dict:
@@ -82,5 +88,5 @@ def oracle_sql() -> dict[str, str]:
         "chunk_resume_anti": f"with p as ({_PLANS}), d as ({_DONE}) select * from p where not exists (select 1 from d where d.doc_id = p.doc_id and d.page_range = p.page_range and status = 'completed')",
         "chunk_concat_order": f"with p as ({_PLANS}) select doc_id, string_agg('pages ' || page_range, chr(10) || chr(10) order by chunk_no) md from p group by 1",
         "llm_usage_rollup": "select event_type task, count(*) calls, sum(event_id % 100) tokens, sum((event_id % 9 = 0)::int) failed, string_agg(distinct 'm' || user_id % 3, ',' order by 'm' || user_id % 3) models from events group by rollup (event_type)",
-        "baseline_diff": "with o as (select 'p' || o_orderkey path, o_custkey % 50 n_lines, o_orderpriority h from orders where o_orderkey % 5 <> 0), n as (select 'p' || o_orderkey path, o_custkey % 50 + o_custkey % 3 n_lines, case when o_custkey % 4 = 0 then 'new' else o_orderpriority end h from orders where o_orderkey % 7 <> 0) select path, case when o.h is null then 'added' when n.h is null then 'removed' else 'changed' end change, coalesce(n.n_lines, 0) - coalesce(o.n_lines, 0) delta from o full join n using (path) where o.h is null or n.h is null or o.h <> n.h",
+        "baseline_diff": "with o as (select 'p' || o_orderkey path, o_custkey % 50 n_lines, o_orderpriority h from orders), n as (select case when o_orderkey % 7 = 0 then 'q' else 'p' end || o_orderkey path, o_custkey % 50 + o_custkey % 3 n_lines, case when o_custkey % 4 = 0 then 'new' else o_orderpriority end h from orders) select path, case when o.h is null then 'added' when n.h is null then 'removed' else 'changed' end change, coalesce(n.n_lines, 0) - coalesce(o.n_lines, 0) delta from o full join n using (path) where o.h is null or n.h is null or o.h <> n.h",
     }
