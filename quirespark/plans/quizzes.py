@@ -5,11 +5,17 @@ Exports are made from the plain tables, so that what the parser must find is wha
 
 from __future__ import annotations
 
+import io
+import zipfile
+
+import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from ..operators import state as S
 from ..operators import table_repair as B
 from ..operators import vision as V
+from ..sources import office as Y
 from ..sources import qti as Q
 from .fixtures import duck, spark_lines
 from .passes import UPTO, ex, rm, rr, st
@@ -89,6 +95,36 @@ def _second(s, d):
     return pages, rows
 
 
+@F.pandas_udf(BinaryType())
+def _docx(xml: pd.Series) -> pd.Series:
+    """A word processor's file around a body."""
+
+    def one(x: str) -> bytes:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            z.writestr("word/document.xml", f'<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{x}</w:body></w:document>')
+            z.writestr("word/media/fig.png", x.encode()[:4])
+        return out.getvalue()
+
+    return xml.map(one)
+
+
+_PARA = lambda text, style="": f"<w:p><w:pPr>{style}</w:pPr><w:r><w:t>{text}</w:t></w:r></w:p>"
+_BODY = (
+    _PARA("NAME", '<w:pStyle w:val="Title"/>') + _PARA("About TYPE", '<w:pStyle w:val="Heading 2"/>') + _PARA("BRAND", '<w:numPr><w:ilvl w:val="0"/></w:numPr>') + _PARA("size SIZE", '<w:numPr><w:ilvl w:val="1"/></w:numPr>')
+    + "<w:p><w:r><w:rPr><w:b/></w:rPr><w:t>NAME</w:t></w:r><w:r><w:rPr><w:b/></w:rPr><w:t> TYPE</w:t></w:r><w:r><w:t> ends.</w:t></w:r></w:p>"
+    + f"<w:tbl><w:tr><w:tc>{_PARA('Brand')}</w:tc><w:tc>{_PARA('Size')}</w:tc></w:tr><w:tr><w:tc>{_PARA('BRAND')}{_PARA('a|b')}</w:tc></w:tr></w:tbl>"
+)
+
+
+def _office(s, d):
+    return _xml(s, d, _BODY).select("doc_id", F.lit("docx").alias("suffix"), _docx("xml").alias("content"))
+
+
+def _sheets(s, d):
+    return s.sql("select p_partkey doc_id, case when p_partkey % 9 = 8 then 'xyz' else 'csv' end suffix, encode(concat('Name,Size', char(10), '\"', p_name, ', ', p_type, '\",', cast(p_size as string), char(10), p_brand, '|x', char(10)), 'UTF-8') content from {p}", p=_read(s, d, "part"))
+
+
 def queries() -> dict:
     flat = lambda c, f: F.array_join(F.transform(c, f), ";")
     snaps = lambda s, d: _sql(_SNAPS, "orders")(s, d).withColumn("flags", F.when(F.col("f") > 0, F.map_from_arrays(F.array(F.lit("cleanup"), F.lit("cross_refs")), F.array(F.when(F.col("f") == 1, "off").otherwise("basic"), F.when(F.col("f") == 2, F.lit(None).cast("string")).otherwise("keep"))))).drop("f")
@@ -107,6 +143,9 @@ def queries() -> dict:
         "qti_media": lambda s, d: Q.media(Q.parse_manifest(_xml(s, d, MANIFEST))),
         "qti_names": lambda s, d: _read(s, d, "part").select("p_partkey", Q.image_name(F.concat("p_name", F.lit(" (1)__x.png"))).alias("image"), Q.quiz_title(F.concat("p_type", F.lit(': a/b? <"'), "p_name", F.lit('">'))).alias("title")),
         "question_files": lambda s, d: Q.question_files(Q.render_quizzes(Q.parse_meta(_xml(s, d, META)), _items(s, d).where("number = 6")), F.lit("Course"), F.lit("Exam"), F.lit("")),
+        "office_documents": lambda s, d: Y.read_office(_office(s, d)),
+        "office_media": lambda s, d: Y.media(_office(s, d)).select("doc_id", "name", F.decode("data", "UTF-8").alias("data")),
+        "office_sheets": lambda s, d: Y.read_office(_sheets(s, d)),
         "collapsed_cells": lambda s, d: B.collapsed_cells(B.blocks(_torn(s, d))),
         "split_tables": lambda s, d: B.split_tables(B.blocks(_torn(s, d))),
         "table_repair_records": lambda s, d: B.repair(_torn(s, d), *_second(s, d))[1],
@@ -185,6 +224,9 @@ fd as (select doc_id, first_line, arg_min(page, (-score, page)) page, arg_min(mt
         "qti_media": "select p_partkey doc_id, 'a b.png' name, 'media/a%20b.png' href from part",
         "qti_names": f"select p_partkey, {rr(rr('p_name', '[^A-Za-z0-9._-]+', '_'), '_{2,}', '_')} || '_1_x.png' image, p_type || ' - a - b (' || p_name || ')' title from part",
         "question_files": f"with {_Q7}, {_rendered(True)} select doc_id, 'Question 006.md' file, '---' || chr(10) || 'source_type: \"quiz\"' || chr(10) || 'source_label: \"Course\"' || chr(10) || 'course: \"Course\"' || chr(10) || 'exam: \"Exam\"' || chr(10) || 'question_number: 6' || chr(10) || 'question_type: \"Essay\"' || chr(10) || 'points: \"10 pts\"' || chr(10) || '---' || chr(10) || chr(10) || md || chr(10) \"content\" from r where number = 6",
+        "office_documents": "select p_partkey doc_id, '# ' || p_name || chr(10) || chr(10) || '## About ' || p_type || chr(10) || chr(10) || '- ' || p_brand || chr(10) || '  - size ' || p_size || chr(10) || '**' || p_name || ' ' || p_type || '** ends.' || chr(10) || chr(10) || chr(10) || '| Brand | Size |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || p_brand || '<br>a' || chr(92) || '|b |  |' || chr(10) md, 'ok' status from part",
+        "office_media": "select p_partkey doc_id, 'fig.png' name, '<w:p' \"data\" from part",
+        "office_sheets": "select p_partkey doc_id, case when p_partkey % 9 < 8 then '| Name | Size |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || p_name || ', ' || p_type || ' | ' || p_size || ' |' || chr(10) || '| ' || p_brand || chr(92) || '|x |  |' || chr(10) end md, case when p_partkey % 9 < 8 then 'ok' else 'unsupported' end status from part",
         "collapsed_cells": f"with {_TORN_SQL}, {_BROKEN} select doc_id, first_line, line_no, cell, br_count from mg",
         "split_tables": f"with {_TORN_SQL}, {_BROKEN} select doc_id, first_line, last_line, \"text\" from sp",
         "table_repair_records": f"{repaired}, p0 as (select doc_id, line_no, min(page) page0 from pl group by 1, 2) select lg.doc_id, lg.line_no + 1 line, br_count, case when page0 is not null then coalesce(fd.page, page0) end page, case when page0 is null then 'no-page' when fd.page is null then 'no-match' else 'repaired' end status from lg left join p0 using (doc_id, line_no) left join fd on fd.doc_id = lg.doc_id and fd.first_line = lg.first_line",
