@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,6 +14,8 @@ from .lines import upto
 
 ANCHOR_SPAN = r'<span id="(page-\d+-\d+)"></span>'
 HAMMING, THRESHOLD = 12, 5
+#: Pairs of hashes compared at once, and images of a document up to which it is handled together with others of its size.
+BLOCK, SMALL = 1 << 22, 32
 
 
 def image_refs(docs: DataFrame) -> DataFrame:
@@ -117,25 +121,71 @@ def cache_lookup(images: DataFrame, cache: DataFrame) -> DataFrame:
     return images.join(cache.select("phash", "caption", F.lit(True).alias("h")), "phash", "left").select("doc_id", "basename", "phash", F.coalesce("h", F.lit(False)).alias("hit"), "caption")
 
 
+def _components(values: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of a document's hashes the least of each one's chain, and the chain's number of images. Each hash is compared once with those not reached yet, some four million pairs at a time."""
+    uniq, inv, n = np.unique(values, return_inverse=True, return_counts=True)
+    root = np.empty(len(uniq), np.int64)
+    left = np.arange(len(uniq))
+    while len(left):
+        at, left = left[:1], left[1:]
+        least = uniq[at[0]]
+        while len(at):
+            root[at] = least
+            todo, found = at, []
+            while len(todo) and len(left):
+                k = max(1, BLOCK // len(left))
+                near = (np.bitwise_count((uniq[todo[:k], None] ^ uniq[None, left]).view(np.uint64)) <= distance).any(axis=0)
+                found.append(left[near])
+                todo, left = todo[k:], left[~near]
+            at = np.concatenate(found) if found else left[:0]
+    _, which = np.unique(root, return_inverse=True)
+    return root[inv], np.bincount(which, weights=n).astype(np.int64)[which][inv]
+
+
+def _small_components(m: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same of many documents with as many images each, a row per document."""
+    near = np.bitwise_count((m[:, :, None] ^ m[:, None, :]).view(np.uint64)) <= distance
+    root, top = m, np.iinfo(np.int64).max
+    while True:
+        now = np.where(near, root[:, None, :], top).min(axis=2)
+        if (now == root).all():
+            return root, (root[:, :, None] == root[:, None, :]).sum(axis=2)
+        root = now
+
+
+def _clusters(threshold: int, distance: int):
+    @F.arrow_udf("array<bigint>")
+    def clusters(hashes: pa.Array) -> pa.Array:
+        """For each hash of a document the least one of its cluster; null where the cluster is smaller than the threshold."""
+        flat, size = hashes.flatten().to_numpy(zero_copy_only=False).astype(np.int64), hashes.value_lengths().to_numpy(zero_copy_only=False)
+        ends = np.cumsum(size)
+        root, n = np.empty(len(flat), np.int64), np.empty(len(flat), np.int64)
+        for k in np.unique(size):
+            starts = (ends - size)[size == k]
+            if k > SMALL:
+                for i in starts:
+                    root[i : i + k], n[i : i + k] = _components(flat[i : i + k], distance)
+            elif k:
+                step = max(1, BLOCK // int(k * k))
+                for i in range(0, len(starts), step):
+                    at = starts[i : i + step, None] + np.arange(k)
+                    root[at], n[at] = _small_components(flat[at], distance)
+        return pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(root, pa.int64(), mask=n < threshold))
+
+    return clusters
+
+
 def decorations(images: DataFrame, threshold: int = THRESHOLD, distance: int = HAMMING) -> DataFrame:
     """(doc_id, basename, cluster): images (doc_id, basename, phash as bigint) of a document that look alike, in clusters of ``threshold`` or more.
 
-    An image joins the clusters of those within ``distance`` bits through chains. Hashes that
-    differ in at most 12 bits share one of 13 bands, so the join is on (doc_id, band), equal hashes
-    being one row; chains are followed by taking the least neighbour until nothing changes.
+    An image joins the clusters of those within ``distance`` bits through chains of any length. A
+    document's images are one row, so the only exchange is on doc_id; its hashes are compared all
+    with all, in blocks, and no pair is stored.
     """
-    one = images.groupBy("doc_id", "phash").agg(F.min("basename").alias("least"))
-    cut = [64 * i // (distance + 1) for i in range(distance + 2)]
-    band = lambda a, b: F.shiftrightunsigned("phash", a).bitwiseAND(F.lit((1 << (b - a)) - 1))
-    keys = one.select("doc_id", "phash", F.posexplode(F.array(*[band(a, b) for a, b in zip(cut, cut[1:])])).alias("band", "v"))
-    other = keys.select("doc_id", "band", "v", F.col("phash").alias("o"))
-    near = keys.join(other, ["doc_id", "band", "v"]).where(F.bit_count(F.col("phash").bitwiseXOR(F.col("o"))) <= distance).select("doc_id", "phash", "o").distinct()
-    label = one.select("doc_id", "phash", F.col("phash").alias("root"))
-    for _ in range(6):  # 2**6 links: each round also jumps to the root's own root
-        n = near.join(label.select("doc_id", F.col("phash").alias("o"), "root"), ["doc_id", "o"]).groupBy("doc_id", "phash").agg(F.min("root").alias("root"))
-        label = n.join(n.select("doc_id", F.col("phash").alias("root"), F.col("root").alias("up")), ["doc_id", "root"]).select("doc_id", "phash", F.col("up").alias("root"))
-    rows = images.join(label, ["doc_id", "phash"])
-    return rows.withColumn("n", F.count("*").over(Window.partitionBy("doc_id", "root"))).where(F.col("n") >= threshold).select("doc_id", "basename", F.col("root").alias("cluster"))
+    rows = images.where("doc_id is not null and phash is not null").groupBy("doc_id").agg(F.collect_list(F.struct("phash", "basename")).alias("rows")).where(F.size("rows") >= threshold)
+    rows = rows.withColumn("roots", _clusters(threshold, distance)(F.transform("rows", lambda x: x["phash"])))
+    found = F.filter(F.zip_with("rows", "roots", lambda x, r: F.struct(x["basename"].alias("basename"), r.alias("cluster"))), lambda x: x["cluster"].isNotNull())
+    return rows.select("doc_id", F.inline(found))
 
 
 def strip_decorations(docs: DataFrame, found: DataFrame) -> DataFrame:
