@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from quirespark.functions import fragments, html, mathml, text
-from quirespark.operators import audit, lines, sections, structure, tables
+from quirespark.operators import audit, lines, links, sections, structure, tables
 from quirespark.plans import convert
 from quirespark.sources import documents
 from quirespark.streaming import inbox
@@ -198,3 +200,28 @@ def test_documents_to_chunks_in_one_call(spark):
         convert.options("none")
     with pytest.raises(ValueError):
         convert.options("flat", colour=1)
+
+
+def test_decorations_through_chains_of_any_length(spark):
+    rng = random.Random(5)
+    chain = [rng.getrandbits(64)]
+    for _ in range(400):  # each within 12 bits of the one before it
+        chain.append(chain[-1] ^ sum(1 << b for b in rng.sample(range(64), 12)))
+    rows = [(1, f"c{i}", h) for i, h in enumerate(chain)] + [(2, f"r{i}", rng.getrandbits(64)) for i in range(300)] + [(3, f"s{i}", h) for i, h in enumerate(chain[:20])] + [(4, "alone", 7), (5, "none", None), (5, "none", None)]
+    rows = [(d, n, h if h is None or h < 1 << 63 else h - (1 << 64)) for d, n, h in rows]
+    got = {}
+    for r in links.decorations(spark.createDataFrame(rng.sample(rows, len(rows)), "doc_id bigint, basename string, phash bigint"), 2).collect():
+        got[r.doc_id, r.basename] = r.cluster
+    want = {}
+    for doc in {d for d, _, _ in rows}:
+        own = [(n, h) for d, n, h in rows if d == doc and h is not None]
+        left = sorted(h for _, h in own)
+        while left:
+            group, at = [], [left.pop(0)]
+            while at:
+                x = at.pop()
+                group.append(x)
+                at += [y for y in left if ((x ^ y) & (1 << 64) - 1).bit_count() <= 12]
+                left = [y for y in left if y not in at]
+            want |= {(doc, n): min(group) for n, h in own if h in group and len(group) > 1}
+    assert got == want and len({c for (d, _), c in got.items() if d == 1}) == 1 and (4, "alone") not in got
