@@ -7,9 +7,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from quirespark import session
 from quirespark.functions import fragments, html, mathml, text
-from quirespark.operators import audit, lines, links, sections, structure, tables
-from quirespark.plans import convert
+from quirespark.operators import audit, lines, links, sections, structure, table_repair, tables
+from quirespark.plans import convert, registry
 from quirespark.sources import documents
 from quirespark.streaming import inbox
 
@@ -225,3 +226,24 @@ def test_decorations_through_chains_of_any_length(spark):
                 left = [y for y in left if y not in at]
             want |= {(doc, n): min(group) for n, h in own if h in group and len(group) > 1}
     assert got == want and len({c for (d, _), c in got.items() if d == 1}) == 1 and (4, "alone") not in got
+
+
+def test_pairs_of_a_long_text_in_linear_time(spark):
+    words = " ".join(f"w{i}" for i in range(60_000))  # the old form made the words anew for each pair
+    df = spark.createDataFrame([(words,), ("one",), ("",)], "t string").select(table_repair.bigrams(table_repair.tokens(F.col("t"))).alias("b"))
+    assert [len(r.b) for r in df.collect()] == [59_999, 0, 0]
+
+
+def test_plain_fragments_are_as_parsed(spark):
+    for x in ("a  b\n c", "  - x  ", "1. y\u00a0z", "\t", "a > b", None):
+        p = fragments._Tree()
+        p.feed(x or "")
+        p.close()
+        assert fragments.to_markdown(x) == " ".join(fragments._children(p.root, None, 0).split())
+
+
+def test_spread(spark, small):
+    df = spark.read.parquet(f"{small}/part.parquet")
+    assert session.spread(df, 20).rdd.getNumPartitions() == -(-df.count() // 20) and session.spread(df.where("false"), 20).rdd.getNumPartitions() == 1
+    made = registry.queries()["qti_items"](spark, small)
+    assert "REPARTITION_BY_NUM" in made._jdf.queryExecution().toString()
