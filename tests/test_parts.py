@@ -247,3 +247,17 @@ def test_spread(spark, small):
     assert session.spread(df, 20).rdd.getNumPartitions() == -(-df.count() // 20) and session.spread(df.where("false"), 20).rdd.getNumPartitions() == 1
     made = registry.queries()["qti_items"](spark, small)
     assert "REPARTITION_BY_NUM" in made._jdf.queryExecution().toString()
+
+
+def test_sections_below_one_that_is_no_file_of_its_own(spark):
+    same = "## Same\n\nThis text is long enough to be a file.\n\n"
+    doc = f"# A\n\n{same}### X\n\nA text of the first child, long enough.\n\n{same}### Y\n\nA text of the second child, see [x](#x) and [y](#y).\n"
+    tree = sections.tree(as_lines(spark, doc))
+    assert {r.sec_no: r.crumb for r in sections.breadcrumbs(tree).collect()} == {2: "> ↑ A", 3: "> ↑ A / [Same](same.md)", 5: "> ↑ A / Same"}
+    assert {(r.slug, r.target) for r in sections.linked_sections(tree).collect()} == {("x", "x.md"), ("y", "y.md")}
+
+
+def test_what_a_section_is_told_is_there_once(spark):
+    rows = spark.range(1, 3001).selectExpr("0L doc_id", "cast(id as int) sec_no")
+    got = sections.told(rows, F.array(F.lit(1)), F.col("sec_no"), "below", F.collect_list)
+    assert got.agg(F.sum(F.size("below"))).first()[0] == 3000 and got.count() == 3000 and "Window" not in got._jdf.queryExecution().toString()
