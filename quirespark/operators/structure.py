@@ -40,15 +40,21 @@ def regenerate_toc(lines: DataFrame) -> DataFrame:
     df = lines.select("doc_id", "line_no", "line").withColumn("toc", F.min(F.when(line.rlike(TOC), F.col("line_no"))).over(whole()))
     df = df.withColumn("next", F.min(F.when((F.col("line_no") > F.col("toc")) & line.rlike(TOC_HEADING), F.col("line_no"))).over(whole()))
     title = strip(F.regexp_replace(strip(F.regexp_extract("line", TOC_HEADING, 2)), r"\*+$", ""))
-    entry = (F.col("line_no") >= F.col("next")) & line.rlike(TOC_HEADING) & ~line.rlike(TOC) & (title != "")
-    df = df.withColumn("depth", F.when(entry, F.length(F.regexp_extract("line", TOC_HEADING, 1)))).withColumn("least", F.min("depth").over(whole()))
+    entry = F.coalesce((F.col("line_no") >= F.col("next")) & line.rlike(TOC_HEADING) & ~line.rlike(TOC) & (title != ""), F.lit(False))
+    df = df.withColumn("entry", entry).withColumn("depth", F.when(F.col("entry"), F.length(F.regexp_extract("line", TOC_HEADING, 1)))).withColumn("least", F.min("depth").over(whole()))
+    df = df.withColumn("nth", F.sum(F.col("entry").cast("int")).over(upto())).withColumn("n", F.sum(F.col("entry").cast("int")).over(whole()))
     label = F.when(slug(line) != "", F.concat(F.lit("["), title, F.lit("](#"), slug(line), F.lit(")"))).otherwise(title)
-    df = df.withColumn("bullet", F.when(F.col("depth").isNotNull(), F.concat(F.repeat(F.lit("  "), F.col("depth") - F.col("least")), F.lit("- "), label)))
-    made = F.transform(F.array_sort(F.collect_list(F.when(F.col("bullet").isNotNull(), F.struct("line_no", "bullet"))).over(whole())), lambda x: x["bullet"])
-    df = df.withColumn("made", F.when(F.col("line_no") == F.col("toc"), made))
-    block = F.concat(F.array(F.lit("## Table of Contents"), F.lit("")), F.col("made"), F.when(F.size("made") > 0, F.array(F.lit(""))).otherwise(F.array().cast("array<string>")))
-    own = F.when(F.col("line_no") == F.col("toc"), block).when((F.col("line_no") > F.col("toc")) & (F.col("line_no") < F.coalesce("next", F.lit(1 << 62))), F.array().cast("array<string>")).otherwise(F.array("line"))
-    return df.select("doc_id", "line_no", F.posexplode(own).alias("part", "line"))
+    bullet = F.concat(F.repeat(F.lit("  "), F.col("depth") - F.col("least")), F.lit("- "), label)
+    # A heading brings its entry to the contents' place itself, so that no row holds the list of them all.
+    at = lambda no, part, text: F.struct(no.alias("line_no"), part.cast("int").alias("part"), text.alias("line"))
+    own, toc = at(F.col("line_no"), F.lit(0), line), F.col("toc")
+    block = F.array(at(toc, F.lit(0), F.lit("## Table of Contents")), at(toc, F.lit(1), F.lit("")))
+    rows = (
+        F.when(F.col("line_no") == toc, F.when(F.col("n") > 0, F.concat(block, F.array(at(toc, F.col("n") + 2, F.lit(""))))).otherwise(block))
+        .when((F.col("line_no") > toc) & (F.col("line_no") < F.coalesce("next", F.lit(1 << 62))), F.slice(F.array(own), 1, 0))
+        .when(F.col("entry"), F.array(own, at(toc, F.col("nth") + 1, bullet))).otherwise(F.array(own))
+    )
+    return df.select("doc_id", F.inline(rows))
 
 
 def promote_outline(lines: DataFrame) -> DataFrame:

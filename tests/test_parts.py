@@ -261,3 +261,14 @@ def test_what_a_section_is_told_is_there_once(spark):
     rows = spark.range(1, 3001).selectExpr("0L doc_id", "cast(id as int) sec_no")
     got = sections.told(rows, F.array(F.lit(1)), F.col("sec_no"), "below", F.collect_list)
     assert got.agg(F.sum(F.size("below"))).first()[0] == 3000 and got.count() == 3000 and "Window" not in got._jdf.queryExecution().toString()
+
+
+def test_contents_are_made_without_a_list_of_all_headings(spark):
+    text = "\n".join(["# Book", "## Table of Contents", "old", *[f"{'#' * (2 + i % 3)} Part {i}" for i in range(500)]])
+    df = structure.regenerate_toc(as_lines(spark, text, "## Table of Contents\nold", "# no contents"))
+    assert "collect_list" not in df._jdf.queryExecution().toString()
+    rows = sorted((r.doc_id, r.line_no, r.part, r.line) for r in df.collect())
+    made = [r[3] for r in rows if r[:2] == (0, 1)]
+    assert made == ["## Table of Contents", "", *[f"{'  ' * (i % 3)}- [Part {i}](#part-{i})" for i in range(500)], ""]
+    assert [r[2] for r in rows if r[:2] == (0, 1)] == list(range(503)) and sum(r[0] == 0 for r in rows) == 1 + 503 + 500
+    assert [r for r in rows if r[0]] == [(1, 0, 0, "## Table of Contents"), (1, 0, 1, ""), (2, 0, 0, "# no contents")]
