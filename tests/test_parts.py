@@ -272,3 +272,22 @@ def test_contents_are_made_without_a_list_of_all_headings(spark):
     assert made == ["## Table of Contents", "", *[f"{'  ' * (i % 3)}- [Part {i}](#part-{i})" for i in range(500)], ""]
     assert [r[2] for r in rows if r[:2] == (0, 1)] == list(range(503)) and sum(r[0] == 0 for r in rows) == 1 + 503 + 500
     assert [r for r in rows if r[0]] == [(1, 0, 0, "## Table of Contents"), (1, 0, 1, ""), (2, 0, 0, "# no contents")]
+
+
+def test_references_are_sought_near_their_addresses_only(spark):
+    rng = random.Random(7)
+    bits = ["Se[e ", "[", "]", "](#page-3-4)", "(#page-12-1)", "(#page-", "(#page-1)", ")", " ", "é", "a", "1", "word " * 7, "x" * 79, "x" * 83, "漢" * 90, "long text " * 30, "\u0001", "\n"]
+    cases = ["".join(rng.choice(bits) for _ in range(rng.randrange(1, 14))) for _ in range(3000)]
+    cases += [f"{'b' * i}(#page-1-2) {'c' * j}](#page-3-4)" for i in range(76, 90) for j in range(76, 90)]
+    df = spark.createDataFrame([(c,) for c in [*cases, None]], "x string")
+    rows = df.select(text.repair_cross_ref(F.col("x")).alias("a"), text._repaired(F.col("x")).alias("b")).collect()
+    assert [r.a for r in rows] == [r.b for r in rows]
+    line = spark.createDataFrame([("word " * 100_000 + "Se[e Part](#page-3-4) of " + "word " * 100_000 + "[b](#page-1-1)" + "word " * 100_000,)], "x string")
+    sought = line.select(F.split(text._near_addresses(F.col("x")), "\u0001").alias("p")).first().p
+    assert "".join(sought) == line.first().x and sum(map(len, sought[::2])) < 250
+
+
+def test_strip_takes_what_the_pattern_took(spark):
+    cases = ["", " ", "\t\n\x0b\f\r a \r\f\x0b\n\t", "a ", "　é ", "a b", "\x1ca ", " \x00 ", None]
+    rows = spark.createDataFrame([(c,) for c in cases], "x string").select("x", text.strip(F.col("x")).alias("s"), text.rstrip(F.col("x")).alias("r"), F.regexp_replace("x", r"^\s+|\s+$", "").alias("ps"), F.regexp_replace("x", r"\s+$", "").alias("pr")).collect()
+    assert [(r.s, r.r) for r in rows] == [(r.ps, r.pr) for r in rows]
