@@ -8,6 +8,7 @@ from ..functions import fragments as X
 from ..functions import text as T
 from ..operators import normalize as N
 from ..operators import structure as Z
+from ..session import spread
 from .fixtures import duck, spark_lines
 from .passes import UPTO, ex, rm, rr, st
 
@@ -17,11 +18,13 @@ REPLIES = """select c_custkey doc_id, '1: ' || cast(c_nationkey % 9 as string) |
 EMBEDDED = """select o_orderkey doc_id, 'Order' || chr(10) || '<table>' || chr(10) || '<tr><th>Status</th><th>Priority</th></tr>' || chr(10) || '<tr><td>' || o_orderstatus || '</td><td><b>' || o_orderpriority || '</b></td></tr>' || chr(10) || '</table>' || chr(10) || '```' || chr(10) || '<table><tr><td>x</td></tr></table>' || chr(10) || '```' || chr(10) || '<img src="images/o.png" alt="' || o_orderpriority || '">' || chr(10) || 'in <table> a line' || chr(10) || '<table>' || chr(10) || 'never closed' md from orders"""
 
 
-def _md(text: str, table: str):
-    return lambda s, d: s.sql(text.replace(f"from {table}", "from {t}"), t=s.read.parquet(f"{d}/{table}.parquet"))
+def _md(text: str, table: str, rows: int = 0, key: str = ""):
+    """The texts of a table; with ``rows`` made in a task per so many."""
+    read = lambda s, d: s.read.parquet(f"{d}/{table}.parquet")
+    return lambda s, d: s.sql(text.replace(f"from {table}", "from {t}"), t=spread(read(s, d), rows, key) if rows else read(s, d))
 
 
-_templated, _entities, _replies, _embedded = _md(TEMPLATED, "documents"), _md(ENTITIES, "documents"), _md(REPLIES, "customer"), _md(EMBEDDED, "orders")
+_templated, _entities, _replies, _embedded = _md(TEMPLATED, "documents"), _md(ENTITIES, "documents"), _md(REPLIES, "customer"), _md(EMBEDDED, "orders", 50_000, "o_orderkey")
 
 
 def _plan(lines):

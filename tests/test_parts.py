@@ -291,3 +291,12 @@ def test_strip_takes_what_the_pattern_took(spark):
     cases = ["", " ", "\t\n\x0b\f\r a \r\f\x0b\n\t", "a ", "　é ", "a b", "\x1ca ", " \x00 ", None]
     rows = spark.createDataFrame([(c,) for c in cases], "x string").select("x", text.strip(F.col("x")).alias("s"), text.rstrip(F.col("x")).alias("r"), F.regexp_replace("x", r"^\s+|\s+$", "").alias("ps"), F.regexp_replace("x", r"\s+$", "").alias("pr")).collect()
     assert [(r.s, r.r) for r in rows] == [(r.ps, r.pr) for r in rows]
+
+
+def test_fragments_that_come_again_are_parsed_once_and_small_tables_are_spread(spark):
+    md = "<table><tr><td>once</td></tr></table>\ntext\n<img src='a.png' alt='x'>"
+    fragments._kept.cache_clear()
+    first = fragments.embedded(md)
+    assert fragments.embedded(md) == first and "once" in first and "![x](a.png)" in first
+    assert (fragments._kept.cache_info().hits, fragments._kept.cache_info().misses) == (2, 2)
+    assert registry.queries()["embedded_html"](spark, "/root/testdata/sf0.1").rdd.getNumPartitions() == 3  # of 150,000 orders in one row group
