@@ -300,3 +300,12 @@ def test_fragments_that_come_again_are_parsed_once_and_small_tables_are_spread(s
     assert fragments.embedded(md) == first and "once" in first and "![x](a.png)" in first
     assert (fragments._kept.cache_info().hits, fragments._kept.cache_info().misses) == (2, 2)
     assert registry.queries()["embedded_html"](spark, "/root/testdata/sf0.1").rdd.getNumPartitions() == 3  # of 150,000 orders in one row group
+
+
+def test_sections_are_made_in_tasks_of_a_share_that_does_not_grow(spark):
+    from quirespark.plans import fixtures, structure as plans
+
+    pages, docs = plans.page_lines(spark, "/root/testdata/sf0.1"), fixtures.spark_lines(spark, "/root/testdata/sf0.1", "noise", together=True)
+    assert (pages.rdd.getNumPartitions(), docs.rdd.getNumPartitions()) == (3, 5)  # of 2,500 pages and 10,000 documents in one row group each
+    plan = sections.parse_sections(docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1  # lines stay where their documents were put
